@@ -1,9 +1,11 @@
 """The registered queries of this package and their SQL."""
 
-from casewright.llm import decontaminate, near_dup
+from casewright.llm import decontaminate, near_dup, packing, token_files
 
 QUERIES = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
+    "op2_token_files": token_files.op2_token_files,
+    "op6_packing": packing.op6_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL = {
