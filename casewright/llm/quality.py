@@ -25,7 +25,7 @@ from casewright.llm import textblocks as tb
 from casewright.llm.work import fresh, read, with_arrow_columns
 
 CUT = 0.3
-SHRINK = 0.1
+SHRINK = 0.05
 _SPACE = tb.byte_set((0x09, 0x0D), (0x20, 0x20))
 _CLASS = np.zeros(256, np.uint8)  # 1 lower or other letters, 2 upper, 3 digit, 4 common stops, 5 other ASCII marks, 6 space, 7 line end
 _CLASS[:] = 5
@@ -158,7 +158,7 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b = self.link
-        return np.round(1 / (1 + np.exp(-np.clip(a * self.difference(x) + b, -40, 40))), 9)
+        return 1 / (1 + np.exp(-np.clip(a * self.difference(x) + b, -40, 40)))
 
 
 def _matrix(column) -> np.ndarray:

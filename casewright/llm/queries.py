@@ -1,13 +1,20 @@
 """The registered queries of this package and their SQL."""
 
-from casewright.llm import decontaminate, near_dup, packing, token_files
+from casewright.llm import chat, decontaminate, near_dup, packing, quality, sharding, token_files, topk, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
     "op2_token_files": token_files.op2_token_files,
+    "op4_chat_perspectives": chat.op4_chat_perspectives,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
+    "op7_topk": topk.op7_topk,
+    "op8_quality": quality.op8_quality,
+    "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op4_chat_perspectives": chat.ORACLE_SQL,
+    "op7_topk": topk.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
