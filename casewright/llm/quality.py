@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.llm import textblocks as tb
-from casewright.llm.work import fresh, read, with_arrow_columns
+from casewright.llm.work import Work, fresh, read, with_arrow_columns
 
 CUT = 0.3
 SHRINK = 0.05
@@ -203,9 +203,11 @@ def held_out(key):
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[DataFrame, str]:
     """docs with a double column of scores; its name is returned. labels: doc_id and the label."""
     stated, x = with_statistics(docs, text)
+    work = Work(docs.sparkSession, "quality")
+    plain, z = with_statistics(docs.select("doc_id", F.col(text).alias("text")))
+    known = work.table(plain.select("doc_id", F.col(z).alias("x")), "statistics")  # labels meet numbers, never texts
     own = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("_id")))
-    train = with_statistics(docs.select("doc_id", F.col(text).alias("text")).join(own, F.col("doc_id") == F.col("_id")).select("text", "y"))
-    model = fit(train[0].select(F.col(train[1]).alias("x"), "y"))
+    model = fit(work.table(known.join(own, F.col("doc_id") == F.col("_id")).select("x", "y"), "train"))
     name = fresh(stated, "_score")
 
     def make():
