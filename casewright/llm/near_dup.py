@@ -6,8 +6,10 @@
 3. In every band bucket each member meets one pivot (buckets of different bands choose different ones). Pairs whose
    minima agree well enough are confirmed on the full sets; confirmed pairs are links.
 4. Components come from alternating large-star and small-star steps.
-5. Buckets that still hold several components get their remaining cross-component pairs checked the same way, so no
-   link between bucket neighbours is lost, while a bucket within one component never makes pairs.
+5. Buckets that still hold several components: two members that are no links of the pivot's can only be linked by what
+   they share beside the pivot's set, or if what each shares with the pivot is enough by itself. Those pairs alone are
+   made, by a prefix filter, and checked as in 3. So no link between bucket neighbours is lost, and a family of copies
+   that differ each in its own way makes no pairs.
 
 Defined cases: null, empty or blank texts have no shingles, are linked with nothing and form their own component; a
 text with fewer words than a shingle is one shingle; rows that repeat a doc_id share one component; other columns of
@@ -137,19 +139,21 @@ def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _sides(work: Work, table: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the column of both ends, as x and y."""
+    ids = work.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    some = _only(table.select("doc_id", column), ids, ids.count())
+    x = some.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
+    y = some.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
+
+
 def _links(work: Work, docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are links: first by their minima, then on the full sets of their texts."""
 
-    def sides(table: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
-        ids = work.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        some = _only(table.select("doc_id", column), ids, ids.count())
-        x = some.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
-        y = some.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
-        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-
-    near = work.table(sides(signed.where("minima is not null"), "minima", pairs).mapInArrow(_agreeing(num / den - SLACK), "a long, b long").distinct(), "near")
+    near = work.table(_sides(work, signed.where("minima is not null"), "minima", pairs).mapInArrow(_agreeing(num / den - SLACK), "a long, b long").distinct(), "near")
     texts = docs.where("text is not null")
-    return work.table(sides(texts, "text", near).mapInArrow(_confirming(size, num, den), "a long, b long").distinct(), "links")
+    return work.table(_sides(work, texts, "text", near).mapInArrow(_confirming(size, num, den), "a long, b long").distinct(), "links")
 
 
 def components(work: Work, edges: DataFrame) -> DataFrame:
@@ -175,6 +179,61 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     return work.table(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(roots.select("doc_id", F.col("doc_id").alias("component"))), "components")
 
 
+def _relating(size: int, num: int, den: int):
+    """Rows (doc, pivot, text of each) to doc, pivot, sizes of the set and of what it shares with the pivot's, and a prefix of the rest.
+
+    A link from doc to any y of the bucket needs num/den of doc's set in common. What both share with the pivot gives
+    `inter` of it at most, so beta = num/den * size - inter more must come from outside the pivot's set, and then the
+    rest's members but the beta - 1 last in a common order hold one that y's prefix has too.
+    """
+
+    def relate(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("size", pa.int64()), ("inter", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        for batch in batches:
+            sides = [tb.text_bytes(batch.column(k)) for k in (2, 3)]
+            for low in range(0, len(batch), 256):
+                high = min(low + 256, len(batch))
+                (sa, ba), (sb, bb) = (shingle_sets(buf[off[low] : off[high]], off[low : high + 1] - off[low], size) for buf, off in sides)
+                n, inter, prefix = [], [], []
+                for r in range(high - low):
+                    x, p = sa[ba[r] : ba[r + 1]], sb[bb[r] : bb[r + 1]]
+                    own = x[p[np.minimum(np.searchsorted(p, x), len(p) - 1)] != x] if len(p) else x
+                    n.append(len(x))
+                    inter.append(len(x) - len(own))
+                    beta = max(1, -(-num * len(x) // den) - inter[-1])
+                    prefix.append(own[: max(0, len(own) - beta + 1)].view(np.int64))
+                yield tb.to_batch(schema, doc_id=batch.column(0).slice(low, high - low), pivot=batch.column(1).slice(low, high - low), size=n, inter=inter, prefix=prefix)
+
+    return relate
+
+
+def _rest(work: Work, docs: DataFrame, shared: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may still be links: bucket neighbours in different components, by what they have beside their pivot.
+
+    A pair either shares a member of both prefixes, or what each shares with the pivot would be enough by itself.
+    """
+    placed = shared.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", "pivot", F.coalesce("component", "doc_id").alias("component"))
+    parts = work.table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
+    pairs = work.table(shared.where("doc_id <> pivot").join(parts, "key").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "open-pairs")
+    related = work.table(_sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size, num, den), "doc_id long, pivot long, size long, inter long, prefix array<long>"), "related")
+    of = found.withColumnRenamed("doc_id", "d")
+    related = related.join(of.hint("merge"), F.col("doc_id") == F.col("d"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("d")
+    counts = work.table(related.groupBy("pivot", "component").agg(F.count("*").alias("n")), "counts")
+    mains = work.table(counts.groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"), "mains")
+    related = work.table(related.join(mains.hint("merge"), "pivot"), "placed")
+    apart = F.col("x.component") != F.col("y.component")
+
+    def ends(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    prefixes = work.table(related.select("pivot", "doc_id", "component", "main", F.explode("prefix").alias("member")), "prefixes")
+    sharing = prefixes.where("component <> main").alias("x").join(prefixes.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart)
+    enough = (F.least("x.inter", "y.inter") * (num + den)) >= num * (F.col("x.size") + F.col("y.size"))
+    near = related.drop("prefix")
+    resting = near.where(f"component <> main and inter * {den} >= {num} * size").alias("x").join(near.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & apart & enough)
+    return ends(sharing).union(ends(resting)).distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
 
@@ -191,19 +250,12 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     members = heads.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key", "band")
     pivot = F.when(F.max("band") % 3 == 0, F.min("doc_id")).when(F.max("band") % 3 == 1, F.max("doc_id")).otherwise(F.min_by("doc_id", F.xxhash64("doc_id", "key")))
     buckets = work.table(members.groupBy("key").agg(pivot.alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "pivot"), "buckets")
-    shared = work.table(members.select("doc_id", "key").join(buckets, "key"), "shared")
+    shared = work.table(members.select("doc_id", "key").join(buckets.hint("merge"), "key"), "shared")
     pairs = work.table(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = _links(work, docs, signed, pairs, size, num, den)
     found = components(work, links)
 
-    # cross-component pairs of the buckets that still hold several components
-    placed = shared.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("component"))
-    parts = work.table(placed.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
-    open_keys = work.table(parts.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main"), "open")
-    placed = work.table(placed.join(open_keys, "key"), "placed")
-    minor, major = placed.where("component <> main").alias("s"), placed.alias("t")
-    rest = minor.join(major.hint("merge"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") != F.col("t.component")))
-    rest = rest.select(F.least("s.doc_id", "t.doc_id").alias("a"), F.greatest("s.doc_id", "t.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = _rest(work, docs, shared, found, size, num, den).join(pairs, ["a", "b"], "left_anti")
     more = _links(work, docs, signed, work.table(rest, "rest"), size, num, den)
     if not more.isEmpty():
         star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
