@@ -263,9 +263,22 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     return (
         base.join(found.withColumnRenamed("doc_id", "class_id").hint("merge"), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each component, the one of the smallest doc_id; all columns stay.
+
+    Of rows that repeat a doc_id one stays; rows without an id all stay.
+    """
+    gone = Work(docs.sparkSession, "near-dup-gone").table(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id is not null")
+    if named.select("doc_id").distinct().count() < named.count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), num=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")

@@ -1,10 +1,12 @@
 """The registered queries of this package and their SQL."""
 
-from casewright.llm import chat, decontaminate, near_dup, packing, quality, sharding, token_files, topk, url_filter
+import corpus_pipeline
+from casewright.llm import chat, decontaminate, near_dup, packing, quality, sharding, substrings, token_files, topk, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
     "op2_token_files": token_files.op2_token_files,
+    "op3_substrings": substrings.op3_substrings,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
@@ -12,6 +14,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op4_chat_perspectives": chat.ORACLE_SQL,
