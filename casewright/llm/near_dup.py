@@ -3,7 +3,7 @@
 1. Each text becomes its set of word shingles (64-bit hashes), a 128-bit key of the set, `bands * rows` minima of
    universal hashes x -> a*x + b (mod 2^64, a odd), and one key for each band.
 2. Documents with equal sets form one class, represented by its smallest id; only representatives go on.
-3. In every band bucket each member meets one pivot (buckets of different bands choose different ones). Pairs whose
+3. In every band bucket each member meets one pivot, the one that shares its buckets with most others. Pairs whose
    minima agree well enough are confirmed on the full sets; confirmed pairs are links.
 4. Components come from alternating large-star and small-star steps.
 5. Buckets that still hold several components: two members that are no links of the pivot's can only be linked by what
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.llm import textblocks as tb
@@ -180,29 +180,30 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
 
 
 def _relating(size: int, num: int, den: int):
-    """Rows (doc, pivot, text of each) to doc, pivot, sizes of the set and of what it shares with the pivot's, and a prefix of the rest.
+    """Rows (doc, pivot, text of each) to doc, pivot, sizes of the set and of what it shares with the pivot's, and the rest.
 
     A link from doc to any y of the bucket needs num/den of doc's set in common. What both share with the pivot gives
     `inter` of it at most, so beta = num/den * size - inter more must come from outside the pivot's set, and then the
-    rest's members but the beta - 1 last in a common order hold one that y's prefix has too.
+    rest's members but the beta - 1 last in a common order (the first `take`) hold one that y's have too.
     """
 
     def relate(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("size", pa.int64()), ("inter", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("size", pa.int64()), ("inter", pa.int64()), ("take", pa.int64()), ("rest", pa.list_(pa.int64()))])
         for batch in batches:
             sides = [tb.text_bytes(batch.column(k)) for k in (2, 3)]
             for low in range(0, len(batch), 256):
                 high = min(low + 256, len(batch))
                 (sa, ba), (sb, bb) = (shingle_sets(buf[off[low] : off[high]], off[low : high + 1] - off[low], size) for buf, off in sides)
-                n, inter, prefix = [], [], []
+                n, inter, take, rest = [], [], [], []
                 for r in range(high - low):
                     x, p = sa[ba[r] : ba[r + 1]], sb[bb[r] : bb[r + 1]]
                     own = x[p[np.minimum(np.searchsorted(p, x), len(p) - 1)] != x] if len(p) else x
                     n.append(len(x))
                     inter.append(len(x) - len(own))
                     beta = max(1, -(-num * len(x) // den) - inter[-1])
-                    prefix.append(own[: max(0, len(own) - beta + 1)].view(np.int64))
-                yield tb.to_batch(schema, doc_id=batch.column(0).slice(low, high - low), pivot=batch.column(1).slice(low, high - low), size=n, inter=inter, prefix=prefix)
+                    take.append(max(0, len(own) - beta + 1))
+                    rest.append(own.view(np.int64))
+                yield tb.to_batch(schema, doc_id=batch.column(0).slice(low, high - low), pivot=batch.column(1).slice(low, high - low), size=n, inter=inter, take=take, rest=rest)
 
     return relate
 
@@ -215,7 +216,7 @@ def _rest(work: Work, docs: DataFrame, shared: DataFrame, found: DataFrame, size
     placed = shared.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", "pivot", F.coalesce("component", "doc_id").alias("component"))
     parts = work.table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
     pairs = work.table(shared.where("doc_id <> pivot").join(parts, "key").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "open-pairs")
-    related = work.table(_sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size, num, den), "doc_id long, pivot long, size long, inter long, prefix array<long>"), "related")
+    related = work.table(_sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size, num, den), "doc_id long, pivot long, size long, inter long, take long, rest array<long>"), "related")
     of = found.withColumnRenamed("doc_id", "d")
     related = related.join(of.hint("merge"), F.col("doc_id") == F.col("d"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("d")
     counts = work.table(related.groupBy("pivot", "component").agg(F.count("*").alias("n")), "counts")
@@ -226,10 +227,16 @@ def _rest(work: Work, docs: DataFrame, shared: DataFrame, found: DataFrame, size
     def ends(joined: DataFrame) -> DataFrame:
         return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-    prefixes = work.table(related.select("pivot", "doc_id", "component", "main", F.explode("prefix").alias("member")), "prefixes")
-    sharing = prefixes.where("component <> main").alias("x").join(prefixes.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart)
+    members = work.table(related.select("pivot", "doc_id", "component", "main", "size", "take", F.explode("rest").alias("member")), "members")
+    counted = work.table(members.groupBy("pivot", "member").agg(F.count("*").alias("n")), "counted")
+    # rare members first: what an edit alone brought in fills the prefixes and meets nothing
+    place = F.row_number().over(Window.partitionBy("pivot", "doc_id").orderBy("n", "member"))
+    ranked = members.join(counted.hint("merge"), ["pivot", "member"]).withColumn("place", place)
+    prefixes = work.table(ranked.where((F.col("place") <= F.col("take")) & (F.col("n") > 1)).select("pivot", "doc_id", "component", "main", "size", "member"), "prefixes")
+    alike = (F.least("x.size", "y.size") * den) >= (F.greatest("x.size", "y.size") * num)
+    sharing = prefixes.where("component <> main").alias("x").join(prefixes.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike)
     enough = (F.least("x.inter", "y.inter") * (num + den)) >= num * (F.col("x.size") + F.col("y.size"))
-    near = related.drop("prefix")
+    near = related.drop("rest")
     resting = near.where(f"component <> main and inter * {den} >= {num} * size").alias("x").join(near.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & apart & enough)
     return ends(sharing).union(ends(resting)).distinct()
 
@@ -247,10 +254,14 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     copies = work.table(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
     base = work.table(signed.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
     heads = signed.where("n_shingles > 0").join(copies, ["key1", "key2"], "left").where("class_id is null or class_id = doc_id")
-    members = heads.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key", "band")
-    pivot = F.when(F.max("band") % 3 == 0, F.min("doc_id")).when(F.max("band") % 3 == 1, F.max("doc_id")).otherwise(F.min_by("doc_id", F.xxhash64("doc_id", "key")))
-    buckets = work.table(members.groupBy("key").agg(pivot.alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "pivot"), "buckets")
-    shared = work.table(members.select("doc_id", "key").join(buckets.hint("merge"), "key"), "shared")
+    members = heads.select("doc_id", F.explode("bands").alias("key"))
+    sizes = work.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "n"), "buckets")
+    crowd = work.table(members.select("doc_id", "key").join(sizes.hint("merge"), "key"), "crowd")
+    # a document that meets many others over all its bands is near the middle of its family
+    central = work.table(crowd.groupBy("doc_id").agg((F.sum("n") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("weight")), "central")
+    weighed = work.table(crowd.join(central.hint("merge"), "doc_id").select("doc_id", "key", "weight"), "weighed")
+    pivots = work.table(weighed.groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot")), "pivots")
+    shared = work.table(weighed.select("doc_id", "key").join(pivots.hint("merge"), "key"), "shared")
     pairs = work.table(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = _links(work, docs, signed, pairs, size, num, den)
     found = components(work, links)
