@@ -34,9 +34,11 @@ from casewright.llm import textblocks as tb
 from casewright.llm.work import Work, fresh, read
 
 U = np.uint64
-SPAN, GRAM = 50, 25
+SPAN, GRAM = 50, 24
 PACK_BYTES = 4 << 20
-_PRIME = tb.mix(np.arange(21, 26, dtype=np.uint64)) | U(1)
+SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
+_PRIME = tb.mix(np.arange(21, 25, dtype=np.uint64)) | U(1)
+_BLOCK = 1 << 18  # bytes whose hashes stay in a core's cache
 
 
 # --- difference cover -------------------------------------------------------------------------------------------------
@@ -60,8 +62,24 @@ def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     return names, int(new.sum())
 
 
-def _less(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return np.searchsorted(sorted_keys, keys, side="left")
+def _less(keys: np.ndarray) -> np.ndarray:
+    """For small numbers: how many are less than each."""
+    count = np.bincount(keys)
+    return (np.cumsum(count) - count)[keys]
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members of a and b less than each of a, members of b less than each of a, members of a less than each of b)."""
+    keys = np.concatenate([a, b])
+    order = np.argsort(keys)
+    in_order, from_b = keys[order], order >= len(a)
+    start = np.zeros(len(keys), np.int64)
+    start[1:] = np.where(in_order[1:] != in_order[:-1], np.arange(1, len(keys)), 0)
+    start = np.maximum.accumulate(start)
+    b_before = np.concatenate([[0], np.cumsum(from_b)])[start]
+    less, less_b = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    less[order], less_b[order] = start, b_before
+    return less[: len(a)], less_b[: len(a)], (less - less_b)[len(a) :]
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -83,8 +101,7 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
         # the names of the places 1, 4, ... then of 2, 5, ...; a zero parts them
         rank = suffix_ranks(np.concatenate([names[: len(at1)], [0], names[len(at1) :]]), -(-depth // 3))
         rank12 = np.concatenate([rank[: len(at1)], rank[len(at1) + 1 :]])
-    ordered = np.sort(rank12)
-    top = int(ordered[-1]) + 2 if len(ordered) else 1
+    top = int(rank12.max(initial=0)) + 2
     of = np.zeros(len(t) + 2, np.int64)  # rank of the sampled suffixes, from 1
     of[at] = rank12 + 1
     at0 = np.arange(0, size, 3)
@@ -98,12 +115,13 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
         both = np.concatenate([at0, at2])
         named, _ = _names(t[both], t[np.minimum(both + 1, len(t) - 1)], of[both + 2])
         second0, second2 = named[: len(at0)], named[len(at0) :]
-    less12 = _less(ordered, rank12)
-    sorted0 = np.sort(first0)
+    less12 = _less(rank12)
+    ahead01, _, ahead1 = _merge(first0, first1)
+    _, ahead02, ahead2 = _merge(second0, second2)
     ranks = np.zeros(len(t), np.int64)
-    ranks[at0] = _less(sorted0, first0) + _less(np.sort(first1), first0) + _less(np.sort(second2), second0)
-    ranks[at1] = less12[: len(at1)] + _less(sorted0, first1)
-    ranks[at2] = less12[len(at1) :] + _less(np.sort(second0), second2)
+    ranks[at0] = ahead01 + ahead02
+    ranks[at1] = less12[: len(at1)] + ahead1
+    ranks[at2] = less12[len(at1) :] + ahead2
     return ranks[:n]
 
 
@@ -148,38 +166,37 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 def least_grams(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings with one least gram: (hash of the gram, first start, starts, row) in order of place.
 
-    The least gram of a string is the one of the smallest hash, the leftmost of equal ones.
+    The least gram of a string is the leftmost of the smallest hash, and its hash names it.
     """
     none = np.zeros(0, np.int64)
-    if len(buf) < span:
+    rows = np.flatnonzero(np.diff(offsets) >= span)
+    if not len(rows):
         return none.astype(np.uint64), none, none, none
-    view = tb.eight_bytes(buf)
+    x = buf.astype(np.uint64)
+    for k in (1, 2, 4):  # at every place the next 2, 4, 8 bytes as one number
+        y = x[k:] << U(8 * k)
+        y |= x[:-k]
+        x = y
     n = len(buf) - GRAM + 1
-    h = view[:n] * _PRIME[0]
-    for k, c in ((8, 1), (16, 2), (17, 3)):
-        h = h + view[k : n + k] * _PRIME[c]
-        h ^= h >> U(31)
-        h *= _PRIME[4]
+    h = x[:n] * _PRIME[0]
+    h += x[8 : n + 8] * _PRIME[1]
+    h += x[16 : n + 16] * _PRIME[2]
+    h ^= h >> U(32)
+    h *= _PRIME[3]
     h ^= h >> U(29)
-    width = span - GRAM + 1
-    low = _slide(h, width, np.minimum)  # of the string that starts here
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
-    inside = np.flatnonzero(np.arange(len(low)) + span <= offsets[1:][row])
-    # where the least gram stands: the next place whose hash is the window's least
-    is_least = np.zeros(n, bool)
-    top = np.empty(n, np.uint64)
-    high = _slide(np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    top[:] = high[:n]
-    is_least = top == h
-    spots = np.flatnonzero(is_least)
-    at = spots[np.searchsorted(spots, inside)]
-    while True:  # a place may be least for an earlier window only
-        wrong = np.flatnonzero(h[at] != low[inside])
-        if not len(wrong):
-            break
-        at[wrong] = spots[np.searchsorted(spots, at[wrong], side="right")]
-    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[inside][1:] != row[inside][:-1])]) if len(at) else none
-    return h[at[new]], inside[new], np.diff(np.r_[new, len(at)]), row[inside][new]
+    low = _slide(h, span - GRAM + 1, np.minimum)  # of the string that starts here
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[1:] |= h[: len(low) - 1] == low[:-1]  # the least gram was the string's first, so it has gone
+    begin, end = offsets[:-1][rows], offsets[1:][rows] - span + 1
+    new[begin] = True
+    start = np.flatnonzero(new)
+    row = np.searchsorted(begin, start, side="right") - 1
+    keep = (row >= 0) & (start < end[row])
+    start, row = start[keep], row[keep]
+    count = np.minimum(np.r_[start[1:], len(buf)], end[row]) - start
+    return low[start], start, count, rows[row]
 
 
 # --- the Spark job ----------------------------------------------------------------------------------------------------
@@ -207,7 +224,7 @@ def _send_grams(buckets: int, span: int):
     def run(key, table):
         ids, buf, offsets = _pack_rows(table)
         parts = []
-        for low, high in tb.row_blocks(offsets):
+        for low, high in tb.row_blocks(offsets, _BLOCK):
             h, _, _, row = least_grams(buf[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], span)
             parts.append(np.stack([h >> U(16), ids[low + row].view(np.uint64)]))
         both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
@@ -250,7 +267,7 @@ def _neighbourhoods(table: pa.Table, grams: pa.Table, span: int):
     ids, buf, offsets = _pack_rows(table)
     shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_wide(x) >> U(1) for x in grams.column("grams").to_pylist()]]))
     h, start, count, row = [], [], [], []
-    for low, high in tb.row_blocks(offsets):
+    for low, high in tb.row_blocks(offsets, _BLOCK):
         a, b, c, r = least_grams(buf[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], span)
         at = np.searchsorted(shared, a >> U(16))
         keep = shared[np.minimum(at, len(shared) - 1)] == a >> U(16) if len(shared) else np.zeros(len(a), bool)
@@ -266,7 +283,7 @@ def _neighbourhoods(table: pa.Table, grams: pa.Table, span: int):
 
 
 def _send_neighbourhoods(buckets: int, span: int):
-    schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("texts", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("texts", pa.binary()), ("sizes", pa.binary()), ("parts", pa.binary()), ("owners", pa.binary())])
 
     def run(key, table, grams):
         ids, buf, _, (h, start, count, row, first, _) = _neighbourhoods(table, grams, span)
@@ -279,8 +296,8 @@ def _send_neighbourhoods(buckets: int, span: int):
             if len(own):
                 size = count[own] + span - 1
                 at = np.arange(size.sum()) + np.repeat(start[own] - (np.cumsum(size) - size), size)
-                out.append((b, _blob(buf[at]), _blob(size.astype(np.uint8)), _blob(ids[row[own]])))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                out.append((b, _blob(buf[at]), _blob(size.astype(np.uint8)), _blob((h[own] >> U(8)).astype(np.uint8)), _blob(ids[row[own]])))
+        columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
         pack = [key[0].as_py() if key[0].as_py() is not None else -1] * len(out)
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(pack, pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=schema)
 
@@ -290,36 +307,47 @@ def _send_neighbourhoods(buckets: int, span: int):
 def _sort_bucket(span: int):
     """For each pack's neighbourhoods, in the order sent: a bit for each string that starts in a document before its owner."""
 
-    def run(key, table):
+    def part(sent) -> list[np.ndarray]:
+        """For each pack's (text, begins, ends, owners) of one part: the bits of its neighbourhoods."""
         texts: dict[bytes, int] = {}
         owners: list[int] = []
-        sent = []
-        for raw, sizes, own in zip(table.column("texts").to_pylist(), table.column("sizes").to_pylist(), table.column("owners").to_pylist(), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64))
-            docs = np.frombuffer(own, np.int64)
+        asked = []
+        for raw, begins, ends, docs in sent:
             index = np.empty(len(ends), np.int64)
-            begin = 0
-            for k, (end, doc) in enumerate(zip(ends.tolist(), docs.tolist(), strict=True)):
-                t = raw[begin:end]
-                begin = end
-                i = texts.setdefault(t, len(owners))
+            for k, (begin, end, doc) in enumerate(zip(begins.tolist(), ends.tolist(), docs.tolist(), strict=True)):
+                i = texts.setdefault(raw[begin:end], len(owners))
                 if i == len(owners):
                     owners.append(doc)
                 elif doc < owners[i]:
                     owners[i] = doc
                 index[k] = i
-            sent.append((index, docs))
+            asked.append((index, docs))
         least = smallest_owners(list(texts), np.array(owners, np.int64), span)
         starts = np.array([len(x) for x in least])
-        flat, begin = np.concatenate(least), np.cumsum(starts) - starts
+        flat, first = np.concatenate(least), np.cumsum(starts) - starts
         bits = []
-        for index, docs in sent:
+        for index, docs in asked:
             n = starts[index]
-            at = np.arange(n.sum()) + np.repeat(begin[index] - (np.cumsum(n) - n), n)
-            covered = flat[at] < np.repeat(docs, n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            bits.append(_blob(np.bitwise_or.reduceat(covered.astype(np.uint32) << place.astype(np.uint32), np.cumsum(n) - n)))
-        return pa.table([table.column("bucket"), table.column("pack"), pa.array(bits, pa.binary())], names=["bucket", "pack", "bits"])
+            begin = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            covered = flat[place + np.repeat(first[index], n)] < np.repeat(docs, n)
+            bits.append(np.bitwise_or.reduceat(covered.astype(np.uint32) << place.astype(np.uint32), begin) if len(n) else np.zeros(0, np.uint32))
+        return bits
+
+    def run(key, table):
+        sent = []
+        for raw, sizes, parts, own in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "parts", "owners")), strict=True):
+            size = np.frombuffer(sizes, np.uint8).astype(np.int64)
+            ends = np.cumsum(size)
+            sent.append((raw, ends - size, ends, np.frombuffer(own, np.int64), np.frombuffer(parts, np.uint8)))
+        n = min(256, max(1, sum(len(x[0]) for x in sent) // SORT_BYTES))
+        bits = [np.zeros(len(x[2]), np.uint32) for x in sent]
+        for k in range(n):
+            own = [np.flatnonzero(x[4] % n == k) for x in sent]
+            if any(map(len, own)):
+                for out, at, got in zip(bits, own, part([(x[0], x[1][at], x[2][at], x[3][at]) for x, at in zip(sent, own, strict=True)]), strict=True):
+                    out[at] = got
+        return pa.table([table.column("bucket"), table.column("pack"), pa.array([_blob(x) for x in bits], pa.binary())], names=["bucket", "pack", "bits"])
 
     return run
 
@@ -343,10 +371,11 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             covered = (mask[of[place]] >> step.astype(np.uint32) & 1).astype(bool) | (ids[row[place]] > owner[of[place]])
             at = (start[place] + step)[covered]
-            change = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + span, -1)
-            removed = np.cumsum(change[:-1]) > 0
+            covered = np.zeros(len(buf) + 1, np.int32)
+            covered[at + 1] = 1
+            before = np.cumsum(covered, dtype=np.int32)  # covered starts ahead of each place
+            edge = min(span - 1, len(buf))
+            removed = before[1:] > np.concatenate([np.zeros(edge, np.int32), before[: len(buf) - edge]])
         if whole_characters:  # a character stays unless all of its bytes go
             lead = np.flatnonzero((buf & 0xC0) != 0x80)
             lead = np.unique(np.concatenate([lead, offsets[:-1][offsets[:-1] < offsets[1:]]]))
@@ -378,7 +407,7 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     slim = packs.select("pack", "doc_id", "text")
     grams = slim.groupBy("pack").applyInArrow(_send_grams(n, span), "bucket int, pack int, grams binary")
     shared = work.table(grams.groupBy("bucket").applyInArrow(_answer_grams, "pack int, grams binary"), "grams")
-    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(n, span), "bucket int, pack int, texts binary, sizes binary, owners binary")
+    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(n, span), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
     bits = near.groupBy("bucket").applyInArrow(_sort_bucket(span), "bucket int, pack int, bits binary")
     answers = work.table(shared.select("pack", "grams", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(bits.select("pack", F.lit(None).cast("binary").alias("grams"), "bucket", "bits")), "answers")
     from pyspark.sql.pandas.types import to_arrow_schema
