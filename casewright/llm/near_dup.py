@@ -163,18 +163,16 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     its smaller neighbours on the smallest; both keep the components, and every component ends as one star.
     """
     edges = work.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
+        n = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        if n[0] == n[1] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break  # every node hangs on one root and no root hangs: both steps would change nothing
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = work.table(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = work.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         hung = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = work.table(hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("doc_id")).distinct()
     return work.table(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(roots.select("doc_id", F.col("doc_id").alias("component"))), "components")
 
