@@ -202,20 +202,24 @@ def held_out(key):
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[DataFrame, str]:
     """docs with a double column of scores; its name is returned. labels: doc_id and the label."""
-    stated, x = with_statistics(docs, text)
     work = Work(docs.sparkSession, "quality")
     plain, z = with_statistics(docs.select("doc_id", F.col(text).alias("text")))
     known = work.table(plain.select("doc_id", F.col(z).alias("x")), "statistics")  # labels meet numbers, never texts
     own = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("_id")))
     model = fit(work.table(known.join(own, F.col("doc_id") == F.col("_id")).select("x", "y"), "train"))
-    name = fresh(stated, "_score")
+    name = fresh(docs, "_score")
+    if not model.classes:
+        return docs.withColumn(name, F.lit(1.0)), name
 
     def make():
-        return lambda column: [model.score(_matrix(column)) if len(column) else np.zeros(0)]
+        def run(column):
+            buf, offsets = tb.text_bytes(column)
+            parts = [model.score(statistics(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in tb.row_blocks(offsets)]
+            return [np.concatenate(parts) if parts else np.zeros(0)]
 
-    if not model.classes:
-        return stated.drop(x).withColumn(name, F.lit(1.0)), name
-    return with_arrow_columns(stated, [x], [T.StructField(name, T.DoubleType())], make).drop(x), name
+        return run
+
+    return with_arrow_columns(docs, [text], [T.StructField(name, T.DoubleType())], make), name
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from casewright.llm.work import Work, fresh, read
 
 U = np.uint64
 SPAN, GRAM = 50, 24
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
 _PRIME = tb.mix(np.arange(21, 25, dtype=np.uint64)) | U(1)
 _BLOCK = 1 << 18  # bytes whose hashes stay in a core's cache
@@ -252,10 +252,14 @@ def _answer_grams(key, table):
     """Of a bucket: the grams of each pack that two documents have."""
     parts = [_wide(x) for x in table.column("grams").to_pylist()]
     grams = np.concatenate(parts)
-    h, twice = grams >> U(1), (grams & U(1)).astype(bool)
-    in_order = np.sort(h)
-    shared = np.unique(np.concatenate([in_order[1:][in_order[1:] == in_order[:-1]], h[twice]]))
-    own = [p[np.isin(p >> U(1), shared, assume_unique=False)] for p in parts]
+    order = np.argsort(grams)
+    h = grams[order] >> U(1)
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    count = np.diff(np.r_[head, len(h)])
+    shared = (count > 1) | np.logical_or.reduceat((grams[order] & U(1)).astype(bool), head)
+    keep = np.empty(len(grams), bool)
+    keep[order] = np.repeat(shared, count)
+    own = [p[k] for p, k in zip(parts, np.split(keep, np.cumsum([len(p) for p in parts])[:-1]), strict=True)]
     return pa.table([table.column("pack").combine_chunks() if isinstance(table.column("pack"), pa.ChunkedArray) else table.column("pack"), pa.array([_blob(x.view(np.uint8).reshape(-1, 8)[:, :7]) for x in own], pa.binary())], names=["pack", "grams"])
 
 
@@ -377,8 +381,9 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
             edge = min(span - 1, len(buf))
             removed = before[1:] > np.concatenate([np.zeros(edge, np.int32), before[: len(buf) - edge]])
         if whole_characters:  # a character stays unless all of its bytes go
-            lead = np.flatnonzero((buf & 0xC0) != 0x80)
-            lead = np.unique(np.concatenate([lead, offsets[:-1][offsets[:-1] < offsets[1:]]]))
+            first_bytes = (buf & 0xC0) != 0x80
+            first_bytes[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+            lead = np.flatnonzero(first_bytes)
             if len(lead):
                 removed = np.repeat(np.logical_and.reduceat(removed, lead), np.diff(np.r_[lead, len(buf)]))
         edge = removed & ~np.r_[False, removed[:-1]] if len(buf) else removed
@@ -402,7 +407,7 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     work = Work(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // PACK_BYTES))  # packs and buckets of about 4 MB of text each
+    n = max(1, -(-size // PACK_BYTES))  # packs and buckets of about 2 MB of text each
     packs = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
     slim = packs.select("pack", "doc_id", "text")
     grams = slim.groupBy("pack").applyInArrow(_send_grams(n, span), "bucket int, pack int, grams binary")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from casewright.llm import textblocks as tb
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 500_000
 _SPACE = tb.byte_set((0x09, 0x0D), (0x20, 0x20))
 _LETTER = tb.byte_set((0x41, 0x5A), (0x61, 0x7A))
 _PUNCT = tb.byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))  # without the apostrophe

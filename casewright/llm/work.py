@@ -63,5 +63,7 @@ def with_arrow_columns(df: DataFrame, inputs: list[str], fields: list, make) ->
             out = f(*(batch.column(i) for i in places))
             columns = [c if isinstance(c, pa.Array) else pa.array(c, field.type) for c, field in zip(out, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.names])
+            del batch, out, columns
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
