@@ -182,7 +182,7 @@ def t19_strip_embedded_images(spark, sf):
 
 
 def _decisions(spark, sf):
-    return segmentation.normalized(view(spark, sf, "decision_docs"))
+    return segmentation.normalized(view(spark, sf, "whole_decisions"))
 
 
 def _bounds(spark, sf):
@@ -241,7 +241,7 @@ def g9_labelled_blocks(spark, sf):
 
 @query()
 def g10_segmentation_coverage(spark, sf):
-    docs = view(spark, sf, "decision_docs")
+    docs = view(spark, sf, "whole_decisions")
     return segmentation.segmentation_coverage(docs, segmentation.segment(docs))
 
 
@@ -252,7 +252,7 @@ _D = ctes("decision_docs")
 
 @query(_D + " SELECT doc_id, 'CIC/DEPT/A/2024/' || CAST(1000 + doc_id AS VARCHAR) AS case_number FROM v_decision_docs")
 def e1_case_number(spark, sf):
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.case_number(F.col("text")).alias("case_number"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.case_number(F.col("text")).alias("case_number"))
 
 
 @query("""WITH d AS (SELECT doc_id, 1 + doc_id % 28 AS d, 1 + doc_id % 12 AS m, doc_id % 100 AS y FROM documents)
@@ -265,40 +265,40 @@ def e2_normalize_date(spark, sf):
 
 @query(_D + " SELECT doc_id, make_date(2025, 4, CAST(1 + doc_id % 28 AS INTEGER)) AS decision_date, make_date(2025, 3, CAST(1 + doc_id % 28 AS INTEGER)) AS hearing_date, CAST(NULL AS DATE) AS first_appeal_date FROM v_decision_docs")
 def e3_labelled_dates(spark, sf):
-    return extraction.labelled_dates(view(spark, sf, "decision_docs")).select("doc_id", "decision_date", "hearing_date", "first_appeal_date")
+    return extraction.labelled_dates(view(spark, sf, "whole_decisions")).select("doc_id", "decision_date", "hearing_date", "first_appeal_date")
 
 
 @query(_D + " SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN ['8(1)(j)', '10', '20(1)'] ELSE ['8(1)(j)', '10'] END AS cited, ['8(1)(j)'] AS exempt FROM v_decision_docs")
 def e4_section_citations(spark, sf):
     cited = extraction.citations(F.col("text"))
-    return view(spark, sf, "decision_docs").select("doc_id", cited.alias("cited"), extraction.exemptions(cited).alias("exempt"))
+    return view(spark, sf, "whole_decisions").select("doc_id", cited.alias("cited"), extraction.exemptions(cited).alias("exempt"))
 
 
 @query(_D + " SELECT doc_id, doc_id % 4 = 3 AS imposed, CASE WHEN doc_id % 4 = 3 THEN 25000 END::BIGINT AS amount FROM v_decision_docs")
 def e5_penalty(spark, sf):
     imposed, amount = extraction.penalty(F.lit(""), F.col("text"))
-    return view(spark, sf, "decision_docs").select("doc_id", imposed.alias("imposed"), amount.alias("amount"))
+    return view(spark, sf, "whole_decisions").select("doc_id", imposed.alias("imposed"), amount.alias("amount"))
 
 
 @query(_D + " SELECT d.doc_id, 'A' || CAST(d.doc_id AS VARCHAR) AS appellant, 'Department of Records ' || lang AS respondent FROM v_decision_docs d JOIN documents USING (doc_id)")
 def e6_named_parties(spark, sf):
-    return extraction.named_parties(view(spark, sf, "decision_docs")).select("doc_id", "appellant", "respondent")
+    return extraction.named_parties(view(spark, sf, "whole_decisions")).select("doc_id", "appellant", "respondent")
 
 
 @query(_D + " SELECT doc_id, 'CIC' AS source, 'Central Information Commission' AS commission FROM v_decision_docs")
 def e7_source_and_commission(spark, sf):
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.source_of(F.col("text")).alias("source"), extraction.commission_of(F.col("text")).alias("commission"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.source_of(F.col("text")).alias("source"), extraction.commission_of(F.col("text")).alias("commission"))
 
 
 @query(_D + """, l AS (SELECT doc_id, lower(text) AS t FROM v_decision_docs) SELECT doc_id, CASE WHEN regexp_matches(t, '\\bpenalty|show cause|section\\s*20') THEN 'PENALTY' WHEN regexp_matches(t, 'partly allowed|partially allowed|redact|severance|section\\s*10') THEN 'PARTIAL' END AS by_document,
 CASE WHEN regexp_matches(t, '\\b(partly allowed|partially allowed|redact|severance|section 10)\\b') THEN 'PARTIAL' END AS by_rules FROM l""")
 def e8_classify_outcome(spark, sf):
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.outcome(F.col("text")).alias("by_document"), extraction.outcome(F.col("text"), rules.OUTCOME_RULES, F.lit(False)).alias("by_rules"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.outcome(F.col("text")).alias("by_document"), extraction.outcome(F.col("text"), rules.OUTCOME_RULES, F.lit(False)).alias("by_rules"))
 
 
 @query(_D + " SELECT doc_id, CASE WHEN contains(lower(text), 'directed to provide') THEN 'Incomplete replies can lead to direction for revised pointwise disclosure.' ELSE 'PIO should verify record custody, statutory exemptions, and provide a reasoned reply.' END AS signal, ['Personal information/privacy exemption analysis', 'Partial'] AS tags FROM v_decision_docs")
 def e9_reasoning_tags(spark, sf):
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.learning_signal(F.col("text")).alias("signal"), extraction.reasoning_tags(F.col("text"), F.lit("PARTIAL")).alias("tags"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.learning_signal(F.col("text")).alias("signal"), extraction.reasoning_tags(F.col("text"), F.lit("PARTIAL")).alias("tags"))
 
 
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(" + _SQUEEZE.format(c="text") + ", '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
@@ -312,23 +312,23 @@ def e10_key_sentences(spark, sf):
 
 @query()
 def e11_requested_items(spark, sf):
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.requested_items(F.col("text")).alias("items"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.requested_items(F.col("text")).alias("items"))
 
 
 @query(_D + " SELECT doc_id, ['High Court of Delhi'] AS courts, ['Circular No. 5/2020'] AS circulars FROM v_decision_docs")
 def e12_references(spark, sf):
     t = F.concat(F.lit("the High Court of Delhi, Circular No. 5/2020, "), F.lit("and so on"))
-    return view(spark, sf, "decision_docs").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
+    return view(spark, sf, "whole_decisions").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
 
 
 @query()
 def e13_entities(spark, sf):
-    return extraction.entities(view(spark, sf, "decision_docs"))
+    return extraction.entities(view(spark, sf, "whole_decisions"))
 
 
 @query()
 def e14_precedent_summary(spark, sf):
-    return extraction.extract_cases(view(spark, sf, "decision_docs")).select("doc_id", "precedent")
+    return extraction.extract_cases(view(spark, sf, "whole_decisions")).select("doc_id", "precedent")
 
 
 @query("SELECT doc_id, round(0.25::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0 END, 3) AS confidence FROM documents")
@@ -365,7 +365,7 @@ def e19_applicant_details(spark, sf):
 
 @query(_D + " SELECT count(*) AS cases, 1.0::DOUBLE AS with_number, 1.0::DOUBLE AS with_sections, 1.0::DOUBLE AS with_outcome FROM v_decision_docs")
 def e20_extraction_quality(spark, sf):
-    return extraction.extraction_quality(extraction.extract_cases(view(spark, sf, "decision_docs")))
+    return extraction.extraction_quality(extraction.extract_cases(view(spark, sf, "whole_decisions")))
 
 
 # --- chunking ---------------------------------------------------------------------------------------------------------
@@ -396,17 +396,17 @@ def c3_split_long(spark, sf):
 
 @query()
 def c4_synthetic_chunks(spark, sf):
-    return chunking.synthetic_chunks(extraction.extract_cases(view(spark, sf, "decision_docs")))
+    return chunking.synthetic_chunks(extraction.extract_cases(view(spark, sf, "whole_decisions")))
 
 
 @query()
 def c5_summary_chunk(spark, sf):
-    return chunking.summary_chunk(extraction.extract_cases(view(spark, sf, "decision_docs")))
+    return chunking.summary_chunk(extraction.extract_cases(view(spark, sf, "whole_decisions")))
 
 
 @query()
 def c6_chunk_metadata(spark, sf):
-    cases = extraction.extract_cases(view(spark, sf, "decision_docs")).withColumn("chunk_type", F.lit("FACTS"))
+    cases = extraction.extract_cases(view(spark, sf, "whole_decisions")).withColumn("chunk_type", F.lit("FACTS"))
     return chunking.flatten_metadata(cases.select("doc_id", chunking.chunk_metadata(cases.columns).alias("m")).select("doc_id", "m.*"), ["doc_id", "date", "public_authority", "rti_sections", "exemption_sections", "keywords"])
 
 

@@ -44,6 +44,8 @@ VIEWS = {
         CASE WHEN doc_id % 5 = 0 THEN 'native' ELSE 'ocr' END AS source FROM {documents}""",
     "cells": "SELECT l_orderkey AS table_id, CAST(l_linenumber AS INT) - 1 AS row, CAST(l_orderkey % 3 AS INT) AS col, 5 AS n_rows, 3 AS n_cols, l_returnflag || l_linestatus AS text FROM {lineitem}",
 }
+# decisions that hold the whole text; decision_docs, which the SQL reads, holds its start
+VIEWS["whole_decisions"] = VIEWS["decision_docs"].replace("substr(text, 1, 300)", "text")
 TABLE = re.compile(r"\{(\w+)\}")
 
 
