@@ -35,3 +35,8 @@ def test_decision_queries_read_the_whole_text(spark, tables):
     for name in ("c4_synthetic_chunks", "c5_summary_chunk"):
         assert any("roads of the town" in r.text for r in rows(name)), name
     assert rows("c6_chunk_metadata")[0].rti_sections == "24, 8(1)(j), 10"
+
+
+def test_tokens_of_every_document(spark, tables):
+    sf = tables([(n, "w " * n) for n in (1, 5, 10, 15, 25)])
+    assert {r.doc_id: r.tokens for r in QUERIES["c2_approx_tokens_all"](spark, sf).collect()} == {1: 1, 5: 6, 10: 13, 15: 20, 25: 32}
