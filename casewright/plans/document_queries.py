@@ -150,9 +150,14 @@ def t15_detect_script(spark, sf):
 _WORDS = "w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS freq FROM w GROUP BY word), dict AS (SELECT * FROM c WHERE freq >= 40), u AS (SELECT word FROM c WHERE freq < 3)"
 
 
-def _words(spark, sf):
+def _words(spark, sf, rare="freq < 3"):
     counted = view(spark, sf, "docs").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    return counted.where("freq < 3").select("word"), counted.where("freq >= 40")
+    return counted.where(rare).select("word"), counted.where("freq >= 40")
+
+
+def _all_words(spark, sf):
+    """Every counted word; spell_candidates takes those of the dictionary out."""
+    return _words(spark, sf, "true")
 
 
 @query(f"""WITH {_WORDS}, p AS (SELECT u.word, dict.word AS term, freq, levenshtein(u.word, dict.word) AS distance FROM u JOIN dict ON abs(length(u.word) - length(dict.word)) <= 2 WHERE length(u.word) BETWEEN 3 AND 6),
@@ -162,9 +167,17 @@ def t16_spell_candidates(spark, sf):
     return cleaning.spell_candidates(*_words(spark, sf))
 
 
+@query(f"""WITH {_WORDS}, a AS (SELECT word FROM c WHERE freq < 40), p AS (SELECT a.word, dict.word AS term, freq, levenshtein(a.word, dict.word) AS distance FROM a JOIN dict ON abs(length(a.word) - length(dict.word)) <= 2 WHERE length(a.word) BETWEEN 3 AND 6),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, term) AS r FROM p WHERE distance <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END)
+SELECT word, term, freq, CAST(distance AS INTEGER) AS distance, freq >= CASE WHEN distance = 1 THEN 4 ELSE 50 END AS accepted FROM k WHERE r = 1""")
+def t16_spell_candidates_all(spark, sf):
+    """t16_spell_candidates for every word; the SQL of that query leaves out the words seen 3 to 39 times."""
+    return cleaning.spell_candidates(*_all_words(spark, sf))
+
+
 @query()
 def t17_apply_corrections(spark, sf):
-    return cleaning.apply_corrections(view(spark, sf, "docs"), cleaning.spell_candidates(*_words(spark, sf)), "[a-z]+")[0]
+    return cleaning.apply_corrections(view(spark, sf, "docs"), cleaning.spell_candidates(*_all_words(spark, sf)), "[a-z]+")[0]
 
 
 @query(f"WITH {_WORDS}, n AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, freq + 500 * coalesce(n, 0) AS freq FROM dict LEFT JOIN n USING (word)")

@@ -40,3 +40,11 @@ def test_decision_queries_read_the_whole_text(spark, tables):
 def test_tokens_of_every_document(spark, tables):
     sf = tables([(n, "w " * n) for n in (1, 5, 10, 15, 25)])
     assert {r.doc_id: r.tokens for r in QUERIES["c2_approx_tokens_all"](spark, sf).collect()} == {1: 1, 5: 6, 10: 13, 15: 20, 25: 32}
+
+
+def test_words_between_rare_and_known_are_corrected(spark, tables):
+    sf = tables([(1, "report " * 40), (2, "reporq " * 5 + "repott")])
+    got = {r.word: (r.term, r.accepted) for r in QUERIES["t16_spell_candidates_all"](spark, sf).collect()}
+    assert got == {"reporq": ("report", True), "repott": ("report", True)}
+    texts = {r.doc_id: r.text for r in QUERIES["t17_apply_corrections"](spark, sf).collect()}
+    assert set(texts[2].split()) == {"report"}
