@@ -48,3 +48,11 @@ def test_words_between_rare_and_known_are_corrected(spark, tables):
     assert got == {"reporq": ("report", True), "repott": ("report", True)}
     texts = {r.doc_id: r.text for r in QUERIES["t17_apply_corrections"](spark, sf).collect()}
     assert set(texts[2].split()) == {"report"}
+
+
+def test_fields_and_evidence_of_every_document(spark, tables):
+    sf = tables([(7, "a"), (8, "b"), (27, "c")])
+    spark.createDataFrame([(7, "q"), (8, "q"), (21, "q")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert {r.doc_id for r in QUERIES["t5_critical_fields_all"](spark, sf).collect()} == {7, 8, 27}
+    got = {r.query_id: (r.confidence, len(r.sources)) for r in QUERIES["r18_evidence_confidence_all"](spark, sf).collect()}
+    assert got == {7: (0.6, 2), 8: (0.525, 1), 21: (0.25, 0)}
