@@ -155,6 +155,16 @@ def t15_detect_script(spark, sf):
     return view(spark, sf, "docs").select("doc_id", *[tx.detect_script(t, v).alias(v.lower()) for v in "ABC"])
 
 
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || repeat(' सूचना', length(text) // 5) WHEN 2 THEN repeat('सूचना ', length(text) // 50) || text ELSE 'सूचना ' || text END AS t FROM documents),
+s AS (SELECT doc_id, length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) AS m, length(regexp_replace(t, '\\s', '', 'g')) AS n, length(regexp_replace(t, '[^ऀ-ॿA-Za-z]', '', 'g')) AS c FROM d)
+SELECT doc_id, CASE WHEN n = 0 THEN 'unknown' WHEN m / n > 0.3 THEN 'hi' WHEN m / n > 0.05 THEN 'mixed' ELSE 'en' END AS a, CASE WHEN n = 0 OR m / n < 0.05 THEN 'en' WHEN m / n > 0.3 THEN 'hi' ELSE 'mixed' END AS b,
+CASE WHEN c = 0 OR m / c < 0.05 THEN 'english' WHEN m / c > 0.5 THEN 'hindi' ELSE 'mixed' END AS c FROM s""")
+def t15_detect_script_all(spark, sf):
+    """t15_detect_script over whole texts with Hindi words around them; the SQL of that query reads a quarter of them whole."""
+    t = F.expr("CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || repeat(' सूचना', CAST(length(text) DIV 5 AS INT)) WHEN 2 THEN repeat('सूचना ', CAST(length(text) DIV 50 AS INT)) || text ELSE 'सूचना ' || text END")
+    return view(spark, sf, "docs").select("doc_id", *[tx.detect_script(t, v).alias(v.lower()) for v in "ABC"])
+
+
 _WORDS = "w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS freq FROM w GROUP BY word), dict AS (SELECT * FROM c WHERE freq >= 40), u AS (SELECT word FROM c WHERE freq < 3)"
 
 
@@ -338,8 +348,8 @@ def e11_requested_items(spark, sf):
 
 @query(_D + " SELECT doc_id, ['High Court of Delhi'] AS courts, ['Circular No. 5/2020'] AS circulars FROM v_decision_docs")
 def e12_references(spark, sf):
-    t = F.concat(F.lit("the High Court of Delhi, Circular No. 5/2020, "), F.lit("and so on"))
-    return view(spark, sf, "whole_decisions").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
+    t = F.concat(F.lit("the High Court of Delhi, Circular No. 5/2020, and so on\n"), "text")
+    return view(spark, sf, "docs").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
 
 
 @query()

@@ -56,3 +56,11 @@ def test_fields_and_evidence_of_every_document(spark, tables):
     assert {r.doc_id for r in QUERIES["t5_critical_fields_all"](spark, sf).collect()} == {7, 8, 27}
     got = {r.query_id: (r.confidence, len(r.sources)) for r in QUERIES["r18_evidence_confidence_all"](spark, sf).collect()}
     assert got == {7: (0.6, 2), 8: (0.525, 1), 21: (0.25, 0)}
+
+
+def test_references_and_scripts_of_whole_texts(spark, tables):
+    sf = tables([(3, "word " * 40 + "सूचना " * 80), (7, "word " * 200 + "the Bombay High Court, Notification No. 7/2021 ")])
+    got = {r.doc_id: (r.courts, r.circulars) for r in QUERIES["e12_references"](spark, sf).collect()}
+    assert got[3] == (["High Court of Delhi"], ["Circular No. 5/2020"])
+    assert got[7] == (["High Court of Delhi", "Bombay High Court"], ["Circular No. 5/2020", "Notification No. 7/2021"])
+    assert {r.doc_id: (r.a, r.b, r.c) for r in QUERIES["t15_detect_script_all"](spark, sf).collect()} == {3: ("hi", "hi", "hindi"), 7: ("en", "en", "english")}
