@@ -9,8 +9,8 @@ Places are two-level running sums: over blocks of BLOCK turn numbers, then withi
 
 Defined cases: a null text is empty; a null role is the participant `unknown`; context roles (system) are rendered as
 such and are no participants, so a conversation of only such turns gives no rows; a null turn number stands first; turns
-with equal numbers are ordered by role and text; repeated rows stay; an empty table gives no rows; other columns are not
-read.
+with equal numbers are ordered by role and text; turns with a null conv_id are one conversation, whose id is null;
+repeated rows stay; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def rotate_perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT) ->
     on, and are null for the other speakers.
     """
     work = Work(turns.sparkSession, "chat")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.expr(f"coalesce(turn div {BLOCK}, -9223372036854775808)").alias("block"))
+    # within a struct a null id is equal to itself, so joins keep it
+    rows = turns.select(F.struct("conv_id").alias("conv_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.expr(f"coalesce(turn div {BLOCK}, -9223372036854775808)").alias("block"))
     cast = work.table(rows.where(~F.col("speaker").isin(*context)).select("conv_id", F.col("speaker").alias("perspective")).distinct(), "participants")
     own = F.col("speaker") == F.col("perspective")
     rendered_as = F.when(own, "assistant").when(F.col("speaker").isin(*context), "system").otherwise(F.concat(F.lit("user name="), "speaker"))
@@ -46,7 +47,7 @@ def rotate_perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT) ->
     placed = seen.withColumn("stop_in", F.sum("size").over(inside)).withColumn("place", F.row_number().over(inside) - 1)
     out = placed.join(ahead, key).withColumn("start", F.col("chars_before") + F.col("stop_in") - F.col("size")).withColumn("stop", F.col("start") + F.col("size"))
     trained = F.col("rendered_as") == "assistant"
-    return out.select("conv_id", "perspective", (F.col("turns_before") + F.col("place")).alias("position"), "turn", "speaker", "rendered_as", "segment", "start", "stop", F.when(trained, F.col("start") + F.col("head")).alias("mask_start"), F.when(trained, F.col("stop") - 1).alias("mask_stop"))
+    return out.select(F.col("conv_id.conv_id").alias("conv_id"), "perspective", (F.col("turns_before") + F.col("place")).alias("position"), "turn", "speaker", "rendered_as", "segment", "start", "stop", F.when(trained, F.col("start") + F.col("head")).alias("mask_start"), F.when(trained, F.col("stop") - 1).alias("mask_stop"))
 
 
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

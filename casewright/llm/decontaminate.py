@@ -6,7 +6,8 @@ is narrowed word by word, so matches are verbatim. A document's words inside any
 
 Defined cases: null or empty texts have no words and no hits; an item of fewer than `window` words, but at least one, is
 one shorter test suffix; items without words never match; repeated documents are judged each by itself; repeated item
-ids count once per document; further columns pass through untouched.
+ids count once per document; an item with a null id counts for n_hit and the longest match, all such items are one null
+among a document's items, as in the SQL; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -27,17 +28,24 @@ WORD = tb.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _TOP = U(43)  # 21 bits of each of three words make the sort key
 
 
+def in_order(ids) -> list:
+    """Distinct ids in order, a null last."""
+    return sorted(set(ids), key=lambda i: (i is None, i or 0))
+
+
 class TestSuffixes:
-    """The distinct windows of benchmark items: where each starts in one array of word hashes, its length and item."""
+    """The distinct windows of benchmark items: where each starts in one array of word hashes, its length and the place of its item in ids."""
 
     __test__ = False
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
+    def __init__(self, ids: list[int | None], texts: list[str], window: int):
         buf, offsets = tb.text_bytes(pa.array(texts, pa.string()))
         buf = tb.LOWER[buf]
         starts, ends, first = tb.word_spans(buf, offsets, WORD)
         self.words = np.concatenate([tb.span_hashes(buf, starts, ends), np.zeros(window + 2, np.uint64)])
         at, length, item = [], [], []
+        self.ids = in_order(ids)
+        number = {i: k for k, i in enumerate(self.ids)}
         for k, i in enumerate(ids):
             n, seen = int(first[k + 1] - first[k]), set()
             for s in range(first[k], first[k] + max(1, n - window + 1) if n else first[k]):
@@ -46,7 +54,7 @@ class TestSuffixes:
                     seen.add(gram)
                     at.append(s)
                     length.append(min(window, n))
-                    item.append(i)
+                    item.append(number[i])
         self.at, self.length, self.item = np.array(at, np.int64), np.array(length, np.int64), np.array(item, np.int64)
         parts = [np.where(self.length > j, self.words[self.at + j] >> _TOP, U(0)) for j in range(3)]
         self.low = parts[0] << U(42) | parts[1] << U(21) | parts[2]
@@ -91,11 +99,11 @@ def scan_block(buf: np.ndarray, offsets: np.ndarray, tests: TestSuffixes):
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
     n_hit = hit[base + count] - hit[base]
     of = np.searchsorted(base, at, side="right") - 1
-    items: list[list[int]] = [[] for _ in range(rows)]
+    items: list[list[int | None]] = [[] for _ in range(rows)]
     longest, where = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
     if len(at):
         for r, i in np.unique(np.stack([of, tests.item[test]], axis=1), axis=0):
-            items[r].append(int(i))
+            items[r].append(tests.ids[i])
         # windows that follow each other in both texts belong to one match
         order = np.lexsort((at, at - tests.at[test], tests.item[test]))
         a, d, length = at[order], (at - tests.at[test])[order], tests.length[test][order]
@@ -109,12 +117,12 @@ def scan_block(buf: np.ndarray, offsets: np.ndarray, tests: TestSuffixes):
     return count, n_hit, items, longest, where, hit, base
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str, slice_bytes: int) -> list[tuple[list[int], list[str]]]:
-    """The benchmark in parts of about slice_bytes, by hash of the item's id."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+def _slices(benchmark: DataFrame, item_id: str, text: str, slice_bytes: int) -> list[tuple[list[int | None], list[str]]]:
+    """The benchmark in parts of about slice_bytes, by hash of the item's id, or of its text where that is null."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // slice_bytes) or 1
-    parts = (items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n))
+    parts = (items.where(F.pmod(F.coalesce(F.when(F.col("i").isNotNull(), F.xxhash64("i")), F.xxhash64("t")), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n))
     return [([r.i for r in part], [r.t for r in part]) for part in parts]
 
 
@@ -148,7 +156,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
                             if known:
                                 old, was = known[low + r], np.unpackbits(np.frombuffer(bits[low + r], np.uint8), count=int(count[r])).astype(bool)
                                 own = own | was
-                                row[1], row[2] = int(own.sum()), sorted({*row[2], *old["items"]})
+                                row[1], row[2] = int(own.sum()), in_order([*row[2], *old["items"]])
                                 if (-old["longest"], old["longest_at"]) < (-row[3], row[4]):
                                     row[3:] = old["longest"], old["longest_at"]
                             masks.append(np.packbits(own).tobytes())
