@@ -6,14 +6,15 @@
 3. In every band bucket each member meets one pivot, the one that shares its buckets with most others. Pairs whose
    minima agree well enough are confirmed on the full sets; confirmed pairs are links.
 4. Components come from alternating large-star and small-star steps.
-5. Buckets that still hold several components: two members that are no links of the pivot's can only be linked by what
-   they share beside the pivot's set, or if what each shares with the pivot is enough by itself. Those pairs alone are
-   made, by a prefix filter, and checked as in 3. So no link between bucket neighbours is lost, and a family of copies
-   that differ each in its own way makes no pairs.
+5. Buckets that still hold several components take further pivots. Around each pivot a set is told by what it has apart
+   from the middle of its group: sets near the middle are linked without any pair being made, and two others only if those
+   differences have a large enough common part. A prefix filter makes the pairs that can have it, and they are checked as
+   in 3. So no link between bucket neighbours is lost, and copies that differ each in its own way make no pairs.
 
 Defined cases: null, empty or blank texts have no shingles, are linked with nothing and form their own component; a
-text with fewer words than a shingle is one shingle; rows that repeat a doc_id share one component; other columns of
-the input are not read.
+text with fewer words than a shingle is one shingle; rows that repeat a doc_id share one component; rows without a
+doc_id are linked with nothing: their class and component are null, they are kept, and `drop_near_duplicates` leaves all
+of them; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ U = np.uint64
 WORD = ~tb.byte_set((0x20, 0x20), (0x09, 0x0D))
 SHINGLE, BANDS, ROWS = 5, 24, 4
 BROADCAST_IDS = 1 << 20  # a list of so many ids at most (8 MB) is broadcast; a longer one is joined by shuffle
+NEAR, ROUNDS = 0.5, 3  # a bucket's member so alike to its pivot is settled in the pivot's group; pivots of a bucket at most
 SLACK = 0.2  # minima may agree that much less often than the threshold: over five standard deviations of 96 minima
 
 
@@ -177,66 +179,100 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     return work.table(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(roots.select("doc_id", F.col("doc_id").alias("component"))), "components")
 
 
-def _relating(size: int, num: int, den: int):
-    """Rows (doc, pivot, text of each) to doc, pivot, sizes of the set and of what it shares with the pivot's, and the rest.
-
-    A link from doc to any y of the bucket needs num/den of doc's set in common. What both share with the pivot gives
-    `inter` of it at most, so beta = num/den * size - inter more must come from outside the pivot's set, and then the
-    rest's members but the beta - 1 last in a common order (the first `take`) hold one that y's have too.
-    """
+def _relating(size: int):
+    """Rows (doc, pivot, text of each) to doc, pivot, sizes of both sets, and the members that just one of the two has."""
 
     def relate(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("size", pa.int64()), ("inter", pa.int64()), ("take", pa.int64()), ("rest", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("size", pa.int64()), ("pivot_size", pa.int64()), ("delta", pa.list_(pa.int64()))])
         for batch in batches:
             sides = [tb.text_bytes(batch.column(k)) for k in (2, 3)]
             for low in range(0, len(batch), 256):
                 high = min(low + 256, len(batch))
                 (sa, ba), (sb, bb) = (shingle_sets(buf[off[low] : off[high]], off[low : high + 1] - off[low], size) for buf, off in sides)
-                n, inter, take, rest = [], [], [], []
-                for r in range(high - low):
-                    x, p = sa[ba[r] : ba[r + 1]], sb[bb[r] : bb[r + 1]]
-                    own = x[p[np.minimum(np.searchsorted(p, x), len(p) - 1)] != x] if len(p) else x
-                    n.append(len(x))
-                    inter.append(len(x) - len(own))
-                    beta = max(1, -(-num * len(x) // den) - inter[-1])
-                    take.append(max(0, len(own) - beta + 1))
-                    rest.append(own.view(np.int64))
-                yield tb.to_batch(schema, doc_id=batch.column(0).slice(low, high - low), pivot=batch.column(1).slice(low, high - low), size=n, inter=inter, take=take, rest=rest)
+                deltas = [np.setxor1d(sa[ba[r] : ba[r + 1]], sb[bb[r] : bb[r + 1]], assume_unique=True).view(np.int64) for r in range(high - low)]
+                yield tb.to_batch(schema, doc_id=batch.column(0).slice(low, high - low), pivot=batch.column(1).slice(low, high - low), size=np.diff(ba), pivot_size=np.diff(bb), delta=deltas)
 
     return relate
 
 
-def _rest(work: Work, docs: DataFrame, shared: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that may still be links: bucket neighbours in different components, by what they have beside their pivot.
+def _groups(work: Work, docs: DataFrame, weighed: DataFrame, first: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
+    """Members (pivot, doc_id, size, pivot_size, delta) of groups in which all links of open buckets lie.
 
-    A pair either shares a member of both prefixes, or what each shares with the pivot would be enough by itself.
+    A bucket is open if it holds several components. Its members nearer to its pivot than NEAR are settled there; the
+    others take a further pivot among themselves, ROUNDS times. A link is no longer than 1 - num/den, so whoever is linked
+    with a settled member is near enough to that pivot to be in its group too. The last pivot keeps everybody.
+    """
+    placed = weighed.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", "weight", F.coalesce("component", "doc_id").alias("component"))
+    now, pivots, groups = placed, first, None
+    for k in range(ROUNDS):
+        several = work.table(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
+        if several.isEmpty():
+            break
+        now = work.table(now.join(several.hint("merge"), "key"), "members-open")
+        pivots = pivots or now.groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot"))
+        now = work.table(now.join(pivots.hint("merge"), "key"), "led")
+        pairs = work.table(now.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "open-pairs")
+        related = _sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size), "doc_id long, pivot long, size long, pivot_size long, delta array<long>")
+        both = F.col("size") + F.col("pivot_size")
+        related = work.table(related.withColumn("alike", (both - F.size("delta")) / (both + F.size("delta"))), "related")
+        last = k + 1 == ROUNDS
+        own = related if last else related.where(F.col("alike") >= NEAR - (1 - num / den) - 1e-9)
+        groups = own if groups is None else groups.unionByName(own)
+        if last or related.where(F.col("alike") < NEAR).isEmpty():
+            break
+        far = related.where(F.col("alike") < NEAR).select("doc_id", "pivot")
+        now, pivots = now.join(far.hint("merge"), ["doc_id", "pivot"], "left_semi").drop("pivot"), None
+    return groups and groups.drop("alike")
+
+
+def _rest(work: Work, docs: DataFrame, weighed: DataFrame, pivots: DataFrame, found: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """(components, pairs (a, b) that may still be links between them) by what sets have apart from a group's middle.
+
+    C is what over half of a group's sets hold, D(x) the members that just one of x and C has. x and y differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| members, and are linked if (den + num) times that is at most (den - num) times the
+    sum of their sizes. With h(x) = (den + num) |D(x)| - (den - num) |x| this means 2 (den + num) |D(x) & D(y)| >= h(x) + h(y).
+    So all with h(x) + h(y) <= 0 are linked as they are: a star around the least h tells their component. Others need a
+    common part of D of a size known beforehand. Members of D that nobody else has cannot be in it, and a prefix filter
+    over the rest, rare ones first, makes the few pairs that can have it.
     """
-    placed = shared.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", "pivot", F.coalesce("component", "doc_id").alias("component"))
-    parts = work.table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
-    pairs = work.table(shared.where("doc_id <> pivot").join(parts, "key").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "open-pairs")
-    related = work.table(_sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size, num, den), "doc_id long, pivot long, size long, inter long, take long, rest array<long>"), "related")
+    k, d = den + num, den - num
+    related = _groups(work, docs, weighed, pivots, found, size, num, den)
+    if related is None:
+        return found, None
+    own = related.groupBy("pivot").agg(F.max("pivot_size").alias("size"))
+    related = work.table(related.select("pivot", "doc_id", "size", "delta", (k * F.size("delta") <= d * (F.col("size") + F.col("pivot_size"))).alias("linked")).unionByName(own.select("pivot", F.col("pivot").alias("doc_id"), "size", F.array().cast("array<long>").alias("delta"), F.lit(False).alias("linked"))), "grouped")
+    total = related.groupBy("pivot").agg(F.count("*").alias("g"))
+    counted = related.select("pivot", F.explode("delta").alias("member")).groupBy("pivot", "member").agg(F.count("*").alias("n"))
+    # a pivot's flips are in more than half of the deltas, so they are fewer than two texts have words
+    flips = work.table(counted.join(total.hint("merge"), "pivot").where("2 * n > g").groupBy("pivot").agg(F.collect_list("member").alias("flips")), "flips")
+    moved = F.when(F.col("flips").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "flips"), F.array_except("flips", "delta")))
+    deltas = related.join(flips.hint("merge"), "pivot", "left").withColumn("delta", moved)
+    deltas = work.table(deltas.select("pivot", "doc_id", "size", "delta", "linked", (k * F.size("delta") - d * F.col("size")).cast("long").alias("h")), "deltas")
+    least = work.table(deltas.groupBy("pivot").agg(F.min(F.struct("h", "doc_id")).alias("least")).select("pivot", F.col("least.h").alias("h0"), F.col("least.doc_id").alias("y0")), "middles")
+    near = deltas.select("pivot", "doc_id", "h").join(least.hint("merge"), "pivot").where("h + h0 <= 0 and doc_id <> y0").select(F.col("y0").alias("a"), F.col("doc_id").alias("b"))
+    star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
+    found = components(work, star.union(near).union(deltas.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))))
+
     of = found.withColumnRenamed("doc_id", "d")
-    related = related.join(of.hint("merge"), F.col("doc_id") == F.col("d"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("d")
-    counts = work.table(related.groupBy("pivot", "component").agg(F.count("*").alias("n")), "counts")
-    mains = work.table(counts.groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"), "mains")
-    related = work.table(related.join(mains.hint("merge"), "pivot"), "placed")
+    deltas = deltas.join(of.hint("merge"), F.col("doc_id") == F.col("d"), "left").select("pivot", "doc_id", "size", "delta", "h", F.coalesce("component", "doc_id").alias("component"))
+    deltas = work.table(deltas, "placed")
+    sizes = deltas.groupBy("pivot", "component").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    order = Window.partitionBy("pivot").orderBy(F.desc("n"), "component")
+    ordered = sizes.withColumn("k", F.row_number().over(order))
+    mains = ordered.groupBy("pivot").agg(F.max(F.when(F.col("k") == 1, F.col("component"))).alias("main"), F.min("h").alias("h0"), F.min(F.when(F.col("k") > 1, F.col("h"))).alias("h1")).where("h1 is not null")
+    mains = work.table(mains, "mains")
+    members = work.table(deltas.join(mains.hint("merge"), "pivot").select("pivot", "doc_id", "component", "size", "h", "h0", "h1", (F.col("component") == F.col("main")).alias("in_main"), F.explode("delta").alias("member")), "members")
+    counted = work.table(members.groupBy("pivot", "member").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    mine = Window.partitionBy("pivot", "doc_id")
+    ranked = members.join(counted.hint("merge"), ["pivot", "member"]).withColumn("place", F.row_number().over(mine.orderBy("n", "member"))).withColumn("left", F.count("*").over(mine) - F.col("place") + 1)
+    # `left` members of D, this one included, can still be common; h0 is the least h of a group, h1 of those outside its main component
+    ranked = work.table(ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h0")).drop("n", "place", "h0"), "prefixes")
+    x, y = ranked.where("not in_main").alias("x"), ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h1")).alias("y")
     apart = F.col("x.component") != F.col("y.component")
-
-    def ends(joined: DataFrame) -> DataFrame:
-        return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-
-    members = work.table(related.select("pivot", "doc_id", "component", "main", "size", "take", F.explode("rest").alias("member")), "members")
-    counted = work.table(members.groupBy("pivot", "member").agg(F.count("*").alias("n")), "counted")
-    # rare members first: what an edit alone brought in fills the prefixes and meets nothing
-    place = F.row_number().over(Window.partitionBy("pivot", "doc_id").orderBy("n", "member"))
-    ranked = members.join(counted.hint("merge"), ["pivot", "member"]).withColumn("place", place)
-    prefixes = work.table(ranked.where((F.col("place") <= F.col("take")) & (F.col("n") > 1)).select("pivot", "doc_id", "component", "main", "size", "member"), "prefixes")
     alike = (F.least("x.size", "y.size") * den) >= (F.greatest("x.size", "y.size") * num)
-    sharing = prefixes.where("component <> main").alias("x").join(prefixes.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike)
-    enough = (F.least("x.inter", "y.inter") * (num + den)) >= num * (F.col("x.size") + F.col("y.size"))
-    near = related.drop("rest")
-    resting = near.where(f"component <> main and inter * {den} >= {num} * size").alias("x").join(near.alias("y").hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & apart & enough)
-    return ends(sharing).union(ends(resting)).distinct()
+    enough = 2 * k * F.least("x.left", "y.left") >= F.col("x.h") + F.col("y.h")
+    sharing = x.join(y.hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike & enough)
+    return found, sharing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -249,9 +285,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     work = Work(spark, "near-dup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = work.table(docs.mapInArrow(_signer(size, bands, rows), SIGNED), "signed")
-    copies = work.table(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    base = work.table(signed.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
-    heads = signed.where("n_shingles > 0").join(copies, ["key1", "key2"], "left").where("class_id is null or class_id = doc_id")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    copies = work.table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    base = work.table(signed.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    heads = full.join(copies, ["key1", "key2"], "left").where("class_id is null or class_id = doc_id")
     members = heads.select("doc_id", F.explode("bands").alias("key"))
     sizes = work.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "n"), "buckets")
     crowd = work.table(members.select("doc_id", "key").join(sizes.hint("merge"), "key"), "crowd")
@@ -264,9 +301,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     links = _links(work, docs, signed, pairs, size, num, den)
     found = components(work, links)
 
-    rest = _rest(work, docs, shared, found, size, num, den).join(pairs, ["a", "b"], "left_anti")
-    more = _links(work, docs, signed, work.table(rest, "rest"), size, num, den)
-    if not more.isEmpty():
+    found, rest = _rest(work, docs, weighed, pivots, found, size, num, den)
+    more = rest and _links(work, docs, signed, work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest"), size, num, den)
+    if more and not more.isEmpty():
         star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
         found = components(work, star.union(more))
     return (

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from casewright.llm import near_dup
 from casewright.llm.near_dup import near_duplicates, op1_near_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,68 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "z")]
     got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def family(n, least, most, seed):
+    """n texts of 300 words that replace `least` to `most` words of one text each, and texts far from all of them."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(n):
+        one = list(base)
+        for k in rnd.sample(range(300), rnd.randint(least, most)):
+            one[k] = f"x{rnd.randrange(10**6)}"
+        rows.append((n - i, " ".join(one)))
+    return rows
+
+
+def tables_of(monkeypatch):
+    """Rows of every working table by its name."""
+    rows, plain = {}, near_dup.Work.table
+
+    def table(self, df, name):
+        out = plain(self, df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup.Work, "table", table)
+    return rows
+
+
+@pytest.mark.parametrize("n, least, most", [(150, 6, 9), (600, 6, 9), (300, 1, 12)])
+def test_rows_of_a_family_are_in_proportion_to_its_size(spark, monkeypatch, n, least, most):
+    rows, at = family(n, least, most, n), tables_of(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, num=85).collect())
+    assert got == brute(rows, 85)
+    # a document meets one pivot for each of its bands and rounds at most, and hardly anything else
+    assert all(at[t] <= near_dup.BANDS * n for t in ("pairs", "near", "open-pairs", "related")) and at.get("rest", 0) <= 2 * n, at
+
+
+def test_two_families_that_share_buckets_and_a_chain(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    common, rows = rnd.choices(words, k=120), []
+    for f in range(3):
+        base = common + rnd.choices(words, k=160)
+        for i in range(60):
+            one = list(base)
+            for k in rnd.sample(range(280), rnd.randint(0, 9)):
+                one[k] = rnd.choice(words)
+            rows.append((1000 - 100 * f - i, " ".join(one)))
+    now = list(base)
+    for i in range(60):
+        now[rnd.randrange(280)] = rnd.choice(words)
+        rows.append((2000 + i, " ".join(now)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num in (80, 85):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, num=num).collect()) == brute(rows, num)
+
+
+def test_rows_without_an_id_are_linked_with_nothing(spark):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (2, "a b c d e f"), (3, "word " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (None, 1, None, True), (None, 2, None, True)]
+    left = near_dup.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in left) == [(0, "a b c"), (0, "other"), (1, "a b c"), (3, "word ")]
