@@ -5,19 +5,21 @@ the same place. So the gram deals the strings out: all texts around the occurren
 a bucket holds every text that can share such a string. Only grams that occur in two documents matter.
 
 1. Packs of documents send the hashes of their least grams to buckets; a bucket answers which of them occur in two
-   documents or more.
+   documents or more, and which are so frequent (HOT) that their strings have to be dealt out further.
 2. Packs send the neighbourhoods of those grams (all strings whose least gram it is; about 60 bytes) to buckets, equal
-   ones of a pack once, with the smallest doc_id.
+   ones of a pack once, with the smallest doc_id. Of a hot gram each string goes to a bucket of its own hash.
 3. A bucket suffix-sorts its distinct neighbourhoods by a difference cover modulo 3: it sorts the triples at two of three
    places, recurses on their names, sorts the remaining suffixes by the ranks, merges the three orders, and compares
    adjacent prefixes of `span` bytes. Each run of equal prefixes takes its smallest doc_id.
 4. Packs get, for every neighbourhood, the strings that start in a document with a smaller id, and cut their bytes.
 
-Documents are dealt to packs by a hash of their id, not of their text, so a group of copies of any size spreads over all
-packs, and each pack sends it once.
+Documents are dealt to packs by a hash of their id and text, so a group of copies of any size, or rows without an id,
+spread over all packs, and each pack sends equal strings once. A pack sends a row to every bucket, so packs times buckets
+rows are shuffled, as many as a shuffle between as many tasks has blocks; PACK_BYTES and BUCKET_BYTES set both.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `span` never lose any; rows that repeat a doc_id
-are cut each, and never because of each other; an empty table gives no rows; texts of bytes that are no UTF-8 are handled
+are cut each, and never because of each other; rows without a doc_id come after all others: they lose what those have, and
+nothing is lost because of them; an empty table gives no rows; texts of bytes that are no UTF-8 are handled
 as bytes; further columns pass through `remove_repeats` untouched.
 """
 
@@ -35,7 +37,9 @@ from casewright.llm.work import Work, fresh, read
 
 U = np.uint64
 SPAN, GRAM = 50, 24
-PACK_BYTES = 2 << 20
+PACK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20  # of text
+HOT = 1 << 16  # places of a gram from which its strings are dealt out one by one
+LAST = (1 << 63) - 1  # stands for no doc_id
 SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
 _PRIME = tb.mix(np.arange(21, 25, dtype=np.uint64)) | U(1)
 _BLOCK = 1 << 18  # bytes whose hashes stay in a core's cache
@@ -125,17 +129,15 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     return ranks[:n]
 
 
-def smallest_owners(texts: list[bytes], owners: np.ndarray, span: int) -> list[np.ndarray]:
-    """For every text and every start of a `span`-byte string in it, the smallest owner of a text with that string."""
-    size = np.array([len(t) for t in texts])
+def smallest_owners(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, owners: np.ndarray, span: int) -> np.ndarray:
+    """For every `span`-byte string of every text (buf from its start, its size), in order, the smallest owner of a text with that string."""
     begin = np.cumsum(size + 1) - size - 1
     s = np.zeros(int((size + 1).sum()), np.int64)
-    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    s[: len(raw)] = raw
-    s += 1
-    s[begin + size] = 0
-    places = np.concatenate([np.arange(b, b + n - span + 1) for b, n in zip(begin, size, strict=True)])
-    of = np.repeat(np.arange(len(texts)), size - span + 1)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    s[step + np.repeat(begin, size)] = buf[step + np.repeat(starts, size)].astype(np.int64) + 1
+    n = size - span + 1
+    places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
+    of = np.repeat(np.arange(len(size)), n)
     order = np.argsort(suffix_ranks(s, span)[places])
     sorted_places = places[order]
     # adjacent prefixes, eight bytes at a time; ranks put equal ones side by side
@@ -147,7 +149,7 @@ def smallest_owners(texts: list[bytes], owners: np.ndarray, span: int) -> list[n
     head = np.flatnonzero(np.r_[True, ~same])
     least = np.empty(len(places), owners.dtype)
     least[order] = np.repeat(np.minimum.reduceat(owners[of][order], head), np.diff(np.r_[head, len(places)]))
-    return np.split(least, np.cumsum(size - span + 1)[:-1])
+    return least
 
 
 # --- least grams ------------------------------------------------------------------------------------------------------
@@ -202,15 +204,11 @@ def least_grams(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple
 # --- the Spark job ----------------------------------------------------------------------------------------------------
 
 
-def _tables(table: pa.Table, name: str):
-    return table.column(name).combine_chunks() if isinstance(table.column(name), pa.ChunkedArray) else table.column(name)
-
-
 def _pack_rows(table: pa.Table):
-    """The documents of a pack in order of (doc_id, text): ids, texts, and blocks of rows."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """The documents of a pack in order of (place, text): places, texts, and blocks of rows."""
+    table = table.sort_by([("place", "ascending"), ("text", "ascending")])
     buf, offsets = tb.text_bytes(table.column("text"))
-    return table.column("doc_id").to_numpy(), buf, offsets
+    return table.column("place").to_numpy(), buf, offsets
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -218,7 +216,7 @@ def _blob(x: np.ndarray) -> bytes:
 
 
 def _send_grams(buckets: int, span: int):
-    """A pack's distinct gram hashes by bucket: 6 bytes each, and whether two of its documents have it."""
+    """A pack's distinct gram hashes by bucket: 6 bytes each, and a byte of 2 log2(places), odd if two of its documents have it."""
     schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("grams", pa.binary())])
 
     def run(key, table):
@@ -232,44 +230,59 @@ def _send_grams(buckets: int, span: int):
         h, doc = both[:, order]
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         last = np.r_[head[1:], len(h)] - 1
-        grams = h[head] << U(1) | (doc[last] != doc[head])
-        bucket = grams % U(2 * buckets) >> U(1)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(b, _blob(grams[order[cuts[b] : cuts[b + 1]]].view(np.uint8).reshape(-1, 8)[:, :7])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+        count = np.frexp(np.diff(np.r_[head, len(h)]).astype(float))[1].astype(np.uint64)
+        grams = h[head] << U(8) | count << U(1) | (doc[last] != doc[head])
+        own, cuts, order = _by_bucket(h[head], buckets)
+        blobs = [_blob(grams[order[a:b]].view(np.uint8).reshape(-1, 8)[:, :7]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array(own, pa.int32()), pa.array([key[0].as_py()] * len(own), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
 
 
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(buckets in use, bounds of each, order of the hashes by bucket)."""
+    bucket = (h % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, first = np.unique(bucket[order], return_index=True)
+    return own.tolist(), np.r_[first, len(h)], order
+
+
 def _wide(blob: bytes) -> np.ndarray:
     out = np.zeros((len(blob) // 7, 8), np.uint8)
     out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
     return out.view(np.uint64).ravel()
 
 
-def _answer_grams(key, table):
-    """Of a bucket: the grams of each pack that two documents have."""
-    parts = [_wide(x) for x in table.column("grams").to_pylist()]
-    grams = np.concatenate(parts)
-    order = np.argsort(grams)
-    h = grams[order] >> U(1)
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    count = np.diff(np.r_[head, len(h)])
-    shared = (count > 1) | np.logical_or.reduceat((grams[order] & U(1)).astype(bool), head)
-    keep = np.empty(len(grams), bool)
-    keep[order] = np.repeat(shared, count)
-    own = [p[k] for p, k in zip(parts, np.split(keep, np.cumsum([len(p) for p in parts])[:-1]), strict=True)]
-    return pa.table([table.column("pack").combine_chunks() if isinstance(table.column("pack"), pa.ChunkedArray) else table.column("pack"), pa.array([_blob(x.view(np.uint8).reshape(-1, 8)[:, :7]) for x in own], pa.binary())], names=["pack", "grams"])
+def _answer_grams(hot: int):
+    """Of a bucket: the grams of each pack that two documents have; the last byte tells the hot ones."""
+
+    def run(key, table):
+        parts = [_wide(x) for x in table.column("grams").to_pylist()]
+        grams = np.concatenate(parts)
+        order = np.argsort(grams)
+        h = grams[order] >> U(8)
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[head, len(h)])
+        places = np.add.reduceat(np.exp2((grams[order] >> U(1) & U(127)).astype(float)), head)
+        shared = (count > 1) | np.logical_or.reduceat((grams[order] & U(1)).astype(bool), head)
+        keep, answer = np.empty(len(grams), bool), np.empty(len(grams), np.uint64)
+        keep[order] = np.repeat(shared, count)
+        answer[order] = h << U(8) | np.repeat(places > hot, count)
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        own = [x[k] for x, k in zip(np.split(answer, cuts), np.split(keep, cuts), strict=True)]
+        return pa.table([table.column("pack"), pa.array([_blob(x.view(np.uint8).reshape(-1, 8)[:, :7]) for x in own], pa.binary())], names=["pack", "grams"])
+
+    return run
 
 
 def _neighbourhoods(table: pa.Table, grams: pa.Table, span: int):
-    """The distinct neighbourhoods of a pack's shared grams, in a fixed order.
+    """The distinct neighbourhoods of a pack's shared grams, in a fixed order; of hot grams, their strings.
 
-    (hash of gram, text, smallest doc_id) of each, and for every occurrence (neighbourhood, row, start, starts).
+    (hash of gram or string, text, smallest place) of each, and for every occurrence (neighbourhood, row, start, starts).
     """
     ids, buf, offsets = _pack_rows(table)
-    shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_wide(x) >> U(1) for x in grams.column("grams").to_pylist()]]))
+    answered = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_wide(x) for x in grams.column("grams").to_pylist()]]))
+    shared, hot = answered >> U(8), (answered & U(1)).astype(bool)
     h, start, count, row = [], [], [], []
     for low, high in tb.row_blocks(offsets, _BLOCK):
         a, b, c, r = least_grams(buf[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], span)
@@ -280,6 +293,12 @@ def _neighbourhoods(table: pa.Table, grams: pa.Table, span: int):
         count.append(c[keep])
         row.append(r[keep] + low)
     h, start, count, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, start, count, row))
+    if hot.any() and len(h):
+        single = hot[np.searchsorted(shared, h >> U(16))]
+        n = np.where(single, count, 1)
+        start = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        h, count, row, single = np.repeat(h, n), np.where(np.repeat(single, n), 1, np.repeat(count, n)), np.repeat(row, n), np.repeat(single, n)
+        h[single] = tb.span_hashes(buf, start[single], start[single] + span)
     content = tb.span_hashes(buf, start, start + count + span - 1)
     # equal texts of the pack are one neighbourhood; rows are in order of doc_id, so the first has the smallest
     _, first, of = np.unique(content, return_index=True, return_inverse=True)
@@ -291,16 +310,13 @@ def _send_neighbourhoods(buckets: int, span: int):
 
     def run(key, table, grams):
         ids, buf, _, (h, start, count, row, first, _) = _neighbourhoods(table, grams, span)
-        bucket = (h[first] >> U(16)) % U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        used, cuts, order = _by_bucket(h[first] >> U(16), buckets)
         out = []
-        for b in range(buckets):
-            own = first[order[cuts[b] : cuts[b + 1]]]
-            if len(own):
-                size = count[own] + span - 1
-                at = np.arange(size.sum()) + np.repeat(start[own] - (np.cumsum(size) - size), size)
-                out.append((b, _blob(buf[at]), _blob(size.astype(np.uint8)), _blob((h[own] >> U(8)).astype(np.uint8)), _blob(ids[row[own]])))
+        for b, low, high in zip(used, cuts[:-1], cuts[1:], strict=True):
+            own = first[order[low:high]]
+            size = count[own] + span - 1
+            at = np.arange(size.sum()) + np.repeat(start[own] - (np.cumsum(size) - size), size)
+            out.append((b, _blob(buf[at]), _blob(size.astype(np.uint8)), _blob((h[own] >> U(8)).astype(np.uint8)), _blob(ids[row[own]])))
         columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
         pack = [key[0].as_py() if key[0].as_py() is not None else -1] * len(out)
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(pack, pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=schema)
@@ -311,47 +327,33 @@ def _send_neighbourhoods(buckets: int, span: int):
 def _sort_bucket(span: int):
     """For each pack's neighbourhoods, in the order sent: a bit for each string that starts in a document before its owner."""
 
-    def part(sent) -> list[np.ndarray]:
-        """For each pack's (text, begins, ends, owners) of one part: the bits of its neighbourhoods."""
-        texts: dict[bytes, int] = {}
-        owners: list[int] = []
-        asked = []
-        for raw, begins, ends, docs in sent:
-            index = np.empty(len(ends), np.int64)
-            for k, (begin, end, doc) in enumerate(zip(begins.tolist(), ends.tolist(), docs.tolist(), strict=True)):
-                i = texts.setdefault(raw[begin:end], len(owners))
-                if i == len(owners):
-                    owners.append(doc)
-                elif doc < owners[i]:
-                    owners[i] = doc
-                index[k] = i
-            asked.append((index, docs))
-        least = smallest_owners(list(texts), np.array(owners, np.int64), span)
-        starts = np.array([len(x) for x in least])
-        flat, first = np.concatenate(least), np.cumsum(starts) - starts
-        bits = []
-        for index, docs in asked:
-            n = starts[index]
-            begin = np.cumsum(n) - n
-            place = np.arange(n.sum()) - np.repeat(begin, n)
-            covered = flat[place + np.repeat(first[index], n)] < np.repeat(docs, n)
-            bits.append(np.bitwise_or.reduceat(covered.astype(np.uint32) << place.astype(np.uint32), begin) if len(n) else np.zeros(0, np.uint32))
-        return bits
+    def part(buf, begin, size, docs) -> np.ndarray:
+        """The bits of the neighbourhoods of one part."""
+        _, first, of = np.unique(tb.span_hashes(buf, begin, begin + size), return_index=True, return_inverse=True)
+        owners = np.full(len(first), LAST, np.int64)
+        np.minimum.at(owners, of, docs)
+        least = smallest_owners(buf, begin[first], size[first], owners, span)
+        starts = size[first] - span + 1
+        n = starts[of]
+        head = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(head, n)
+        covered = least[step + np.repeat((np.cumsum(starts) - starts)[of], n)] < np.repeat(docs, n)
+        return np.bitwise_or.reduceat(covered.astype(np.uint32) << step.astype(np.uint32), head)
 
     def run(key, table):
-        sent = []
-        for raw, sizes, parts, own in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "parts", "owners")), strict=True):
-            size = np.frombuffer(sizes, np.uint8).astype(np.int64)
-            ends = np.cumsum(size)
-            sent.append((raw, ends - size, ends, np.frombuffer(own, np.int64), np.frombuffer(parts, np.uint8)))
-        n = min(256, max(1, sum(len(x[0]) for x in sent) // SORT_BYTES))
-        bits = [np.zeros(len(x[2]), np.uint32) for x in sent]
-        for k in range(n):
-            own = [np.flatnonzero(x[4] % n == k) for x in sent]
-            if any(map(len, own)):
-                for out, at, got in zip(bits, own, part([(x[0], x[1][at], x[2][at], x[3][at]) for x, at in zip(sent, own, strict=True)]), strict=True):
-                    out[at] = got
-        return pa.table([table.column("bucket"), table.column("pack"), pa.array([_blob(x) for x in bits], pa.binary())], names=["bucket", "pack", "bits"])
+        buf, offsets = tb.text_bytes(table.column("texts"))
+        size, sent = tb.text_bytes(table.column("sizes"))
+        size, parts = size.astype(np.int64), tb.text_bytes(table.column("parts"))[0]
+        docs = np.frombuffer(tb.text_bytes(table.column("owners"))[0].tobytes(), np.int64)
+        begin = np.cumsum(size) - size  # texts of all packs follow each other
+        n = min(256, max(1, len(buf) // SORT_BYTES))
+        order = np.argsort(parts % n, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff((parts % n)[order]) != 0]), len(order)]
+        bits = np.zeros(len(size), np.uint32)
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[low:high]
+            bits[own] = part(buf, begin[own], size[own], docs[own])
+        return pa.table([table.column("bucket"), table.column("pack"), pa.array([_blob(x) for x in np.split(bits, sent[1:-1])], pa.binary())], names=["bucket", "pack", "bits"])
 
     return run
 
@@ -361,12 +363,11 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
 
     def run(key, table, answers):
         grams, bits = answers.filter(pa.compute.is_valid(answers.column("grams"))), answers.filter(pa.compute.is_valid(answers.column("bits")))
-        sorted_table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        sorted_table = table.sort_by([("place", "ascending"), ("text", "ascending")])
         ids, buf, offsets, (h, start, count, row, first, of) = _neighbourhoods(table, grams, span)
         removed = np.zeros(len(buf), bool)
         if len(first):
-            bucket = (h[first] >> U(16)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
+            _, _, order = _by_bucket(h[first] >> U(16), buckets)
             by = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
             mask = np.empty(len(first), np.uint32)
             mask[order] = np.concatenate([np.frombuffer(by[b], np.uint32) for b in sorted(by)])
@@ -405,14 +406,14 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
         raise ValueError("span is out of range")
     spark = docs.sparkSession
     work = Work(spark, "substrings")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // PACK_BYTES))  # packs and buckets of about 2 MB of text each
-    packs = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
-    slim = packs.select("pack", "doc_id", "text")
-    grams = slim.groupBy("pack").applyInArrow(_send_grams(n, span), "bucket int, pack int, grams binary")
-    shared = work.table(grams.groupBy("bucket").applyInArrow(_answer_grams, "pack int, grams binary"), "grams")
-    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(n, span), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
+    n, m = max(1, -(-size // PACK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    packs = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
+    slim = packs.select("pack", "place", "text")
+    grams = slim.groupBy("pack").applyInArrow(_send_grams(m, span), "bucket int, pack int, grams binary")
+    shared = work.table(grams.groupBy("bucket").applyInArrow(_answer_grams(HOT), "pack int, grams binary"), "grams")
+    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(m, span), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
     bits = near.groupBy("bucket").applyInArrow(_sort_bucket(span), "bucket int, pack int, bits binary")
     answers = work.table(shared.select("pack", "grams", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(bits.select("pack", F.lit(None).cast("binary").alias("grams"), "bucket", "bits")), "answers")
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -421,7 +422,7 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     kind = _parse_datatype_string(output)
     schema = to_arrow_schema(StructType([f if f.name != extra else packs.schema[extra] for f in kind]))
     payload = ["doc_id", *([extra] if extra else [])]
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(n, span, payload, schema, whole_characters), StructType([f if f.name != extra else packs.schema[extra] for f in kind]))
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(m, span, payload, schema, whole_characters), StructType([f if f.name != extra else packs.schema[extra] for f in kind]))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from casewright.llm import substrings
 
@@ -66,3 +67,54 @@ def test_overlaps_edges_and_odd_rows(spark):
     assert cut.columns == df.columns and cut.count() == len(rows)
     assert cut.where("text is null").count() == 1 and {r.kept for r in cut.collect()} == {"k"}
     assert not any("�" in (r.text or "") for r in cut.collect())
+
+
+def texts_with_a_common_phrase(n, seed):
+    rnd = random.Random(seed)
+    letters, phrase = "abcdefghij é", "this phrase of forty bytes is everywhere"
+    passages = ["".join(rnd.choices(letters, k=80)) for _ in range(10)]
+    rows = []
+    for i in range(n):
+        parts = [rnd.choice(letters) * rnd.randrange(3) + phrase + rnd.choice(letters), rnd.choice(passages), "".join(rnd.choices(letters, k=90)), phrase]
+        rows.append((n - i if i % 5 else None, "".join(rnd.sample(parts, rnd.randint(2, 4)))))
+    return rows
+
+
+def brute_with_nulls(rows):
+    # a row without an id comes after all others
+    placed = [(2**63 - 1 if i is None else i, t) for i, t in rows]
+    return [(None if r[0] == 2**63 - 1 else r[0], *r[1:]) for r in brute(placed)]
+
+
+@pytest.mark.parametrize("hot", [8, 1 << 16])
+def test_many_packs_hot_grams_and_rows_without_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "PACK_BYTES", 3000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(substrings, "SORT_BYTES", 400)
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rows = texts_with_a_common_phrase(150, 4) + [(3, "z" * 60_000), (2**53 + 1, "y" * 70), (2**53 + 2, "y" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    assert sorted(map(str, got_rows(substrings.cut_repeats(df, out)))) == sorted(map(str, brute_with_nulls(rows)))
+
+
+def got_rows(df):
+    return [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()]
+
+
+def test_shuffled_rows_are_packs_times_buckets_at_most(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PACK_BYTES", 20_000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 80_000)
+    made, plain = {}, substrings.Work.table
+
+    def table(self, df, name):
+        out = plain(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings.Work, "table", table)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    packs, buckets = -(-size // 20_000), -(-size // 80_000)
+    assert substrings.op3_substrings(spark, SF).count() == docs.count()
+    assert made["grams"] <= packs * buckets and made["answers"] <= 2 * packs * buckets
