@@ -1,8 +1,8 @@
 """URL filter: stated rules first, boosted trees on lexical features for the rest.
 
 A rule fits its host and all subdomains of it if the url's path starts with the rule's; the longest rule wins. Urls that
-a rule decides are the labelled ones: gradient-boosted trees learn from a bounded sample of them (TRAIN_ROWS rows, drawn
-by hash) and judge the others. Features: lengths, depth, digit ratio, entropy, counts of parameters, labels and marks,
+a rule decides are the labelled ones: gradient-boosted trees learn from a bounded sample of them (about TRAIN_ROWS rows,
+drawn by hash, and of each class about CLASS_ROWS at least, or all it has) and judge the others. Features: lengths, depth, digit ratio, entropy, counts of parameters, labels and marks,
 and statistics of the host's suffix counted over all urls.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, fits no rule and is judged by the trees;
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from casewright.llm.work import Work, read
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, CLASS_ROWS = 20_000, 1_000
 TREES, DEPTH = 12, 3
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digit_ratio", "entropy", "parameters", "labels", "hyphens", "letters_in_path", "first_part_length", "suffix_log_count", "suffix_share"]
 
@@ -89,11 +89,11 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFr
         other = F.lit("block" if blocked else "allow")
         return full.select(*out, F.coalesce("ruled", other).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     million = 1_000_000
-    sample = full.where("ruled is not null").where(F.pmod(F.xxhash64("url", "page_id"), F.lit(million)) < million * min(1.0, train_rows / labelled))
+    share = lambda n: million * min(1.0, max(train_rows / labelled, CLASS_ROWS / n))
+    drawn = F.when(F.col("ruled") == "block", share(blocked)).otherwise(share(labelled - blocked))
+    sample = full.where("ruled is not null").where(F.pmod(F.xxhash64("url", "page_id"), F.lit(million)) < drawn)
     sample = work.table(sample.select(*FEATURES, F.when(F.col("ruled") == "block", 1.0).otherwise(0.0).alias("label")).coalesce(2), "train")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    if sample.agg(F.count_distinct("label")).first()[0] < 2:
-        sample = work.table(full.where("ruled is not null").select(*FEATURES, F.when(F.col("ruled") == "block", 1.0).otherwise(0.0).alias("label")), "train-all")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(assembler.transform(sample))
     scored = model.transform(assembler.transform(full)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
     free = F.col("rule").isNull()
