@@ -6,10 +6,12 @@ gives each shard its exact share, so counts are at most one apart. Keys that ove
 the next one with room, so only they move.
 
 Rows of one cell share all preferences, so the walk is decided on the counts of the cells (4096 numbers, whatever the
-table's size) and each row finds its shard by its rank within its cell.
+table's size) and each row finds its shard by its rank within its cell. Ranks are counted by parts of the written table
+and then within a part, so neither a cell nor an id that many rows repeat is one group.
 
-Defined cases: null texts have no bytes; a null id has the cell of the empty string; rows that repeat an id are placed
-each, ordered by size and checksum; an empty table gives no rows; other columns are not read.
+Defined cases: null texts have no bytes; a null id has the cell of the empty string; rows that repeat an id, or are equal
+in all columns, are placed each; an empty table gives no rows; `assign_shards` reads no other columns, `write_shards` keeps
+all of them, a column named `shard` as `_shard`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.work import read
+from casewright.llm.work import Work, fresh, read
 
 CELLS = 4096
 SHARDS, NODES = 16, 64
@@ -70,27 +72,38 @@ def cell_of(key):
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int")
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFrame:
-    """docs (doc_id, text) with doc_id, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(cell_of(F.col("doc_id")).alias("cell"), "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    counts = {r.cell: r.n for r in docs.groupBy(cell_of(F.col("doc_id")).alias("cell")).agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+def _place(rows: DataFrame, shards: int, nodes: int) -> DataFrame:
+    """rows (doc_id and further columns) with shard and slot."""
+    spark = rows.sparkSession
+    work = Work(spark, "sharding")
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    rows = work.table(rows.select("*", cell_of(F.col("doc_id")).alias("cell"), part.alias("part")), "rows")
+    counts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = work.table(counts.select("cell", "part", "n", (F.sum("n").over(earlier) - F.col("n")).alias("ahead")), "ahead")
+    totals = {r.cell: r.n for r in ahead.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
     names = ("cell", "first", "n", "shard", "base")
-    values = F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in ring_plan(counts, shards, nodes)]))
+    values = F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in ring_plan(totals, shards, nodes)]))
     plan = spark.range(1).select(F.explode(F.from_json(values, "array<struct<cell:int,first:bigint,n:bigint,shard:int,base:bigint>>")).alias("p")).select("p.*")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size", "text_crc32")) - 1
+    local = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id")) - 1
+    ranked = rows.withColumn("local", local).join(ahead.drop("n").hint("merge"), ["cell", "part"]).withColumn("rank", F.col("ahead") + F.col("local"))
     # the plan has a row for each cell and one more for each shard that fills up
-    placed = rows.withColumn("rank", rank).join(F.broadcast(plan), "cell").where("rank >= first and rank < first + n")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
+    placed = ranked.join(F.broadcast(plan), "cell").where("rank >= first and rank < first + n")
+    return placed.withColumn("slot", F.col("base") + F.col("rank") - F.col("first"))
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFrame:
+    """docs (doc_id, text) with doc_id, size, text_crc32, shard, slot."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return _place(rows, shards, nodes).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, nodes: int = NODES) -> None:
     """Writes docs, all columns, in folders shard=0 ... of Parquet files."""
-    placed = assign_shards(docs, shards).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard")).distinct()
-    raw = F.coalesce(docs["text"], F.lit("")).cast("binary")
-    same = docs["doc_id"].eqNullSafe(placed["_id"]) & (F.crc32(raw) == placed["_crc"]) & (F.octet_length(raw) + 1 == placed["_size"])
-    docs.join(placed, same).select(*docs.columns, F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    names = [fresh(docs, "_shard") if c.lower() == "shard" else c for c in docs.columns]
+    rows = docs.select("doc_id", F.struct(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    _place(rows, shards, nodes).select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
