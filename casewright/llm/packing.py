@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     kind = "array<struct<length:bigint,first:bigint,ranks:bigint,sequence:bigint,times:bigint,at:bigint>>"
     names = ("length", "first", "ranks", "sequence", "times", "at")
     plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), kind)).alias("p")).select("p.*")
-    ranked = pieces.join(ahead.select("length", "part", "ahead"), ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("local"))
+    ranked = pieces.join(ahead.select("length", "part", "ahead").hint("merge"), ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("local"))
     # the plan has a few rows for each length, of which there are `capacity` at most
     placed = ranked.join(F.broadcast(plan), "length").where("rank >= first and rank < first + ranks")
     turn = F.col("rank") - F.col("first")
