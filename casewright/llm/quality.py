@@ -6,7 +6,8 @@ log densities, by Mahalanobis distances from Cholesky factors that are computed
 to 0..1 by a logistic fit on the training rows.
 
 Moments are summed over all labelled rows outside the held-out fifth (crc32 of the id as text, mod 5, is 0); labels,
-lang, source and doc_id are never inputs of a score.
+lang, source and doc_id are never inputs of a score. Statistics are whole multiples of 1 / STEP, so that the sums are exact
+and the model does not hang on the order of rows or on tasks that ran twice.
 
 Defined cases: null and empty texts have the statistics of an empty text and are scored; rows that repeat a doc_id are
 scored each; unlabelled rows, null labels and labels without a document do not train; with labels of one class only every
@@ -26,6 +27,7 @@ from casewright.llm.work import Work, fresh, read, with_arrow_columns
 
 CUT = 0.3
 SHRINK = 0.05
+STEP = 4096  # numbers below 2**17 in steps, their products below 2**34
 _SPACE = tb.byte_set((0x09, 0x0D), (0x20, 0x20))
 _CLASS = np.zeros(256, np.uint8)  # 1 lower or other letters, 2 upper, 3 digit, 4 common stops, 5 other ASCII marks, 6 space, 7 line end
 _CLASS[:] = 5
@@ -101,7 +103,7 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     out = np.empty_like(x)
     out[:, counts] = np.log1p(x[:, counts])
     out[:, shares] = np.log(np.maximum(x[:, shares], 0) + 1e-3)
-    return out
+    return np.round(out * STEP) / STEP
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
@@ -173,16 +175,17 @@ def fit(rows: DataFrame) -> Discriminant:
         for batch in batches:
             x, y = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for k in (0, 1):
-                own = x[y == k]
-                if len(own):
-                    flat = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+                own = np.round(x[y == k] * STEP)
+                for low in range(0, len(own), 1 << 16):
+                    part = own[low : low + (1 << 16)]  # below 2**50, so exact
+                    flat = np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()]).astype(np.int64)
                     sums[k] = sums.get(k, 0) + flat
         for k, flat in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["y", "i", "v"])
 
     table: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect():
-        table.setdefault(r.y, np.zeros(1 + FEATURES + FEATURES**2))[r.i] = r.v
+    for r in rows.mapInArrow(moments, "y int, i int, v long").groupBy("y", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+        table.setdefault(r.y, np.zeros(1 + FEATURES + FEATURES**2))[r.i] = int(r.v) / (STEP ** ((r.i > 0) + (r.i > FEATURES)))
     model = Discriminant({y: (v[0], v[1 : 1 + FEATURES], v[1 + FEATURES :].reshape(FEATURES, FEATURES)) for y, v in table.items()})
     if len(model.classes) == 2:
 
@@ -200,28 +203,43 @@ def held_out(key):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[DataFrame, str]:
-    """docs with a double column of scores; its name is returned. labels: doc_id and the label."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[Discriminant, DataFrame]:
+    """The model and the table it was made of: doc_id and statistics x of every row of docs. labels: doc_id and the label."""
     work = Work(docs.sparkSession, "quality")
     plain, z = with_statistics(docs.select("doc_id", F.col(text).alias("text")))
     known = work.table(plain.select("doc_id", F.col(z).alias("x")), "statistics")  # labels meet numbers, never texts
     own = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("_id")))
-    model = fit(work.table(known.join(own, F.col("doc_id") == F.col("_id")).select("x", "y"), "train"))
-    name = fresh(docs, "_score")
+    return fit(work.table(known.join(own, F.col("doc_id") == F.col("_id")).select("x", "y"), "train")), known
+
+
+def with_scores(rows: DataFrame, model: Discriminant, column: str, matrices) -> tuple[DataFrame, str]:
+    """rows with a double column of scores; matrices gives the statistics in parts from the named Arrow column."""
+    name = fresh(rows, "_score")
     if not model.classes:
-        return docs.withColumn(name, F.lit(1.0)), name
+        return rows.withColumn(name, F.lit(1.0)), name
 
     def make():
-        def run(column):
-            buf, offsets = tb.text_bytes(column)
-            parts = [model.score(statistics(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in tb.row_blocks(offsets)]
+        def run(values):
+            parts = [model.score(x) for x in matrices(values)]
             return [np.concatenate(parts) if parts else np.zeros(0)]
 
         return run
 
-    return with_arrow_columns(docs, [text], [T.StructField(name, T.DoubleType())], make), name
+    return with_arrow_columns(rows, [column], [T.StructField(name, T.DoubleType())], make), name
+
+
+def _of_texts(column):
+    buf, offsets = tb.text_bytes(column)
+    return (statistics(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tb.row_blocks(offsets))
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[DataFrame, str]:
+    """docs with a double column of scores; its name is returned."""
+    model, _ = train(docs, labels, label, text)
+    return with_scores(docs, model, text, _of_texts)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, score = classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    model, known = train(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    out, score = with_scores(known, model, "x", lambda column: [_matrix(column)])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= CUT).cast("int").alias("predicted"))
