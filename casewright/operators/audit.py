@@ -21,17 +21,19 @@ def record_hash(previous: Column, get=F.col) -> Column:
 def chain_append(records: DataFrame, key: str = "chain_key", tail: DataFrame | None = None) -> DataFrame:
     """records with previous_hash, current_hash and sequence, chained after `tail` (key, last_hash, last_sequence)."""
     item = F.struct("timestamp", "audit_id", *[c for c in HASHED if c not in ("timestamp", "audit_id")])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(item))
     chains = records.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     chains = chains.join(tail, key, "left") if tail is not None else chains.withColumn("last_hash", F.lit(None).cast("string")).withColumn("last_sequence", F.lit(None).cast("long"))
-    zero = F.struct(F.coalesce("last_hash", F.lit(GENESIS)).alias("prev"), F.array().cast("array<struct<audit_id:string,previous_hash:string,current_hash:string>>").alias("out"))
+    zero = F.struct(F.coalesce("last_hash", F.lit(GENESIS)).alias("prev"), F.array().cast("array<struct<previous_hash:string,current_hash:string>>").alias("out"))
 
     def step(acc, x):
         own = record_hash(acc["prev"], lambda c: x[c])
-        return F.struct(own.alias("prev"), F.array_append(acc["out"], F.struct(x["audit_id"].alias("audit_id"), acc["prev"].alias("previous_hash"), own.alias("current_hash"))).alias("out"))
+        return F.struct(own.alias("prev"), F.array_append(acc["out"], F.struct(acc["prev"].alias("previous_hash"), own.alias("current_hash"))).alias("out"))
 
     linked = chains.select(key, F.coalesce("last_sequence", F.lit(0)).alias("base"), F.posexplode(F.aggregate("items", zero, step)["out"]).alias("k", "link"))
-    linked = linked.select(key, "link.audit_id", "link.previous_hash", "link.current_hash", (F.col("base") + F.col("k") + 1).alias("sequence"))
-    return records.join(linked, [key, "audit_id"])
+    linked = linked.select(key, (F.col("k") + 1).alias("_place"), "link.previous_hash", "link.current_hash", (F.col("base") + F.col("k") + 1).alias("sequence"))
+    # records that repeat, or share an audit_id, are links each: a record finds its own by its place in the chain
+    return records.withColumn("_place", place).join(linked, [key, "_place"]).drop("_place")
 
 
 def verify_chain(records: DataFrame, key: str = "chain_key") -> DataFrame:

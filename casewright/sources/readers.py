@@ -16,13 +16,22 @@ def stable_doc_id(relative: Column) -> Column:
     return F.when(F.contains(relative, F.lit("/")), F.concat(name, F.lit("_"), F.substring(F.sha1(relative), 1, 10))).otherwise(name)
 
 
+def relative_path(path: Column, folder: str) -> Column:
+    """The part of a file's path below the folder."""
+    plain = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/")
+    root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(root)), F.substring(plain, len(root) + 1, 10_000)).otherwise(plain)
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8; bad ones become the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text, path): all .txt files below the folder but *_meta.txt; blank ones are dropped, bad bytes replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
-    relative = F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 10_000)).otherwise(path)
-    out = raw.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text")).where(~F.endswith("path", F.lit("_meta.txt")) & (F.trim("text", F.lit(" \n\r\t")) != ""))
+    out = raw.select(relative_path(F.col("path"), folder).alias("path"), decoded(F.col("content")).alias("text")).where(~F.endswith("path", F.lit("_meta.txt")) & (F.trim("text", F.lit(" \n\r\t")) != ""))
     return out.select(stable_doc_id(F.col("path")).alias("doc_id"), "text", "path")
 
 

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators import cases as case_ops
 
 
+def _replace(rows: DataFrame, path: str, parts: list[str], keys: list[str]) -> None:
+    """Writes rows in partitions by `parts`; rows of the same keys that are there go, all others stay."""
+    try:
+        there = rows.sparkSession.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        there = None
+    if there is not None:
+        there = there.withColumns({c: F.col(c).cast(rows.schema[c].dataType) for c in parts})
+        touched, new = rows.select(*parts).distinct(), rows.select(*keys).distinct()
+        same = lambda a, names: [there[c].eqNullSafe(a[c]) for c in names]
+        rows = rows.unionByName(there.join(touched, same(touched, parts), "left_semi").join(new, same(new, keys), "left_anti"), allowMissingColumns=True)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """A folder for each source; writing a source's chunks again replaces that source alone."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    """A folder for each source; writing a case's chunks again replaces those of that case and source alone."""
+    _replace(chunks, path, ["source"], ["source", "case_number"])
 
 
 def write_case_partitions(cases: DataFrame, path: str) -> None:
-    """The layout source/year."""
-    case_ops.with_layout(cases).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "year").parquet(path)
+    """The layout source/year; a case that is written again is replaced, its neighbours stay."""
+    _replace(case_ops.with_layout(cases), path, ["source", "year"], ["source", "case_number"])
 
 
 def export_cases(cases: DataFrame, path: str) -> None:
