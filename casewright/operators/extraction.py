@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import rules
 from casewright.functions import text as tx
+from casewright.operators import segmentation
 
 
 def _some(text: Column) -> Column:
@@ -172,15 +173,19 @@ def merge_layers(base: DataFrame, overlay: DataFrame, semantic: list[str], flags
     return out.select(*[F.coalesce(filled(f"_{c}"), c).alias(c) if c in semantic else (F.coalesce(F.col(c), F.lit(False)) | F.coalesce(F.col(f"_{c}"), F.lit(False))).alias(c) if c in flags else F.col(c) for c in base.columns])
 
 
-def list_field(text: Column) -> Column:
-    """A text with , ; or line ends as a list: trimmed, not empty, first-seen without case."""
-    return tx.unique_by_lower(F.filter(F.transform(F.split(tx.blank_if_null(text), r"[,;\n]"), lambda s: F.trim(s)), lambda s: s != ""))
+def list_field(text: Column, sections: bool = False) -> Column:
+    """A text with , ; or line ends as a list: tidied, not empty, first-seen without case; sections lose their word and blanks."""
+    tidy = lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), r"(?i)^section\s+", ""), r"\s+", "") if sections else tx.squeeze(s)
+    items = F.transform(F.split(tx.blank_if_null(text), r"[,;\n]+"), lambda s: F.trim(tidy(s), F.lit(" -•\t\n.")))
+    return tx.unique_by_lower(F.filter(items, lambda s: s != ""))
 
 
-def normalize_outcome(text: Column, aliases=rules.OUTCOME_ALIASES) -> Column:
-    up = F.upper(F.trim(text))
+def normalize_outcome(text: Column, aliases=rules.OUTCOME_ALIASES, known=rules.OUTCOMES) -> Column:
+    """The outcome that the text names, by letters alone; null for a name that is none."""
+    name = F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), "[^A-Z]+", "_"), r"^_+|_+$", "")
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    return F.when(up != "", F.coalesce(F.try_element_at(table, F.translate(up, "_", " ")), F.translate(up, " ", "_")))
+    mapped = F.coalesce(F.try_element_at(table, name), name)
+    return F.when(mapped.isin(known), mapped)
 
 
 def short_findings(values: Column, most: int = 5, words: int = 38) -> Column:
@@ -196,15 +201,19 @@ def _has_any(text: Column, words: list[str]) -> Column:
 
 
 def classify_requests(requests: DataFrame, table=rules.REQUEST_RULES) -> DataFrame:
-    """(request_id, information_type, procurement_status, personal_data, public_interest_override, systems, dates)."""
+    """(request_id, information_type, procurement_status, personal_data, public_interest_override, systems, entities)."""
     t = F.col("text")
     kind = F
     for name, words in table:
         kind = kind.when(_has_any(t, words), name)
-    tender = F.when(_has_any(t, ["tender"]), F.when(_has_any(t, ["active", "ongoing", "current"]), "active_tender").otherwise("closed_tender")).otherwise("none")
-    systems = F.filter(F.array(*map(F.lit, rules.SECURITY_KEYWORDS)), lambda w: F.contains(F.lower(t), w))
-    dates = F.regexp_extract_all(tx.blank_if_null(t), F.lit(rules.DATE), 0)
-    return requests.select("request_id", kind.otherwise("general").alias("information_type"), tender.alias("procurement_status"), _has_any(t, rules.PERSONAL_WORDS).alias("personal_data"), _has_any(t, rules.PUBLIC_INTEREST_WORDS).alias("public_interest_override"), systems.alias("systems"), dates.alias("dates"))
+    kind = kind.otherwise("other")
+    tender = F.when(kind == "procurement", F.when(_has_any(t, rules.ACTIVE_TENDER_WORDS), "active_tender").otherwise("completed_tender")).otherwise("none")
+    systems = F.transform(F.filter(F.array(*map(F.lit, rules.SYSTEM_WORDS)), lambda w: F.contains(F.lower(tx.blank_if_null(t)), w)), F.upper)
+    dates = F.transform(F.regexp_extract_all(tx.blank_if_null(t), F.lit(rules.REQUEST_DATE), 0), lambda d: F.concat(F.lit("Date: "), d))
+    numbers = F.filter(F.regexp_extract_all(F.lower(tx.blank_if_null(t)), F.lit(rules.REQUEST_REFERENCE), 1), lambda n: F.length(n) > 4)
+    entities = F.concat(dates, F.transform(numbers, lambda n: F.concat(F.lit("Ref Number: "), n)))
+    personal = kind.isin(rules.PERSONAL_TYPES) | _has_any(t, rules.PERSONAL_WORDS)
+    return requests.select("request_id", kind.alias("information_type"), tender.alias("procurement_status"), personal.alias("personal_data"), _has_any(t, rules.PUBLIC_INTEREST_WORDS).alias("public_interest_override"), systems.alias("systems"), entities.alias("entities"))
 
 
 def applicant_details(text: Column) -> tuple[Column, Column]:
@@ -237,13 +246,18 @@ def extract_cases(docs: DataFrame) -> DataFrame:
     t = tx.clean_text(F.col("text"), 3)
     parts = named_parties(docs.select("doc_id", t.alias("text")))
     dates = labelled_dates(docs.select("doc_id", t.alias("text")))
-    base = docs.select("doc_id", t.alias("text")).join(parts, "doc_id").join(dates, "doc_id")
+    clean = docs.select("doc_id", t.alias("text"))
+    blocks = segmentation.labelled_blocks(clean).groupBy("doc_id").agg(*[F.max(F.when(F.col("block") == b, tx.squeeze(F.col("text")))).alias(b) for b in ("facts", "grounds")])
+    named = entities(clean).select("doc_id", *[F.col(c).alias(f"entities_{c}") for c in ("people", "authorities", "departments", "locations")])
+    base = clean.join(parts, "doc_id").join(dates, "doc_id").join(named, "doc_id").join(blocks, "doc_id", "left")
     cited = citations(F.col("text"))
     imposed, value = penalty(F.col("text"), F.col("text"))
     observed = key_sentences(F.col("text"), rules.OBSERVATION_WORDS, 6, first_two=False)
     out = base.withColumn("case_number", case_number(F.col("text"))).withColumn("rti_sections", cited).withColumn("penalty_amount", value).withColumn("penalty_imposed", imposed)
     out = out.withColumn("outcome", F.coalesce(outcome(F.col("text"), rules.OUTCOME_RULES, F.col("penalty_imposed")), outcome(F.col("text")))).withColumn("key_findings", observed)
     out = out.withColumn("exemption_sections", exemptions(F.col("rti_sections"))).withColumn("source", source_of(F.col("text"))).withColumn("public_interest_discussed", F.col("text").rlike(r"(?i)public\s+interest|Section\s*8\s*\(\s*2\s*\)"))
-    out = out.withColumn("reasoning_pattern", reasoning_tags(F.col("text"), F.col("outcome"))).withColumn("precedent", precedent_summary(requested_items(F.col("text")), F.col("key_findings"), final_order(F.col("text")), F.col("outcome")))
+    out = out.withColumn("commission", commission_of(F.col("text"))).withColumn("information_requested", requested_items(F.coalesce("facts", "text"))).withColumn("final_order", final_order(F.col("text")))
+    out = out.withColumn("reasoning_pattern", reasoning_tags(F.col("text"), F.col("outcome"))).withColumn("learning_signal", learning_signal(F.col("text")))
+    out = out.withColumn("precedent", precedent_summary(F.col("information_requested"), F.col("key_findings"), F.col("final_order"), F.col("outcome")))
     present = {"case_number": F.col("case_number") != "UNKNOWN", "decision_date": F.col("decision_date").isNotNull(), "sections_invoked": F.size("rti_sections") > 0, "party": F.coalesce("appellant", "respondent").isNotNull(), "request": F.lit(False), "findings": F.size("key_findings") > 0, "outcome": F.col("outcome").isNotNull()}
     return out.withColumn("extraction_confidence", extraction_confidence(present)).drop("text")
