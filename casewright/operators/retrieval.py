@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import text as tx
+from casewright.sources.scratch import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RRF_K = 50, 60
@@ -33,11 +34,15 @@ class LexicalIndex:
 
 
 def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
-    """One pass to postings; terms and the averages come from them. A negative idf becomes EPSILON times the mean idf."""
+    """Postings, written once; terms and the averages come from them. A negative idf becomes EPSILON times the mean idf."""
+    spark = chunks.sparkSession
     tokens = chunks.select("chunk_id", tx.legal_tokens(F.col(text)).alias("tokens"))
-    postings = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    sizes = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    made = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    path = scratch(spark, "postings")
+    made.write.parquet(path)
+    postings = spark.read.schema(made.schema).parquet(path)
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    sizes = df.agg(F.sum("tf").alias("tokens")).join(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avg_length"))  # one row each
     raw = df.join(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"), "avg_length")
@@ -85,17 +90,57 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, groups: int = 8) -> DataFrame:
+VECTORS = 2048  # vectors in a block
+
+
+def _nearest(k: int):
+    """Blocks of queries and vectors to the k nearest of each query by cosine, clamped to 0..1; equal ones by the smaller id."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+        size = max((len(v or []) for v in vectors), default=0)
+        x = np.array([[np.nan if c is None else c for c in v or []] + [np.nan] * (size - len(v or [])) for v in vectors], float).reshape(len(vectors), size)
+        return x, np.sqrt((x * x).sum(axis=1))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                q_ids, c_ids = batch.column(0)[r].values, batch.column(2)[r].values
+                (q, qn), (c, cn) = matrix(batch.column(1)[r].as_py()), matrix(batch.column(3)[r].as_py())
+                if q.shape[1] == c.shape[1]:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.nan_to_num((q @ c.T) / np.outer(qn, cn), nan=0.0)
+                else:
+                    score = np.zeros((len(q), len(c)))
+                score = np.clip(score, 0.0, 1.0)
+                order = np.argsort(np.argsort(c_ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+                best = np.stack([np.lexsort((order, -np.round(s, 9)))[:k] for s in score]) if len(q) else np.zeros((0, 0), int)
+                row = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(best.ravel())), pa.array(score[row, best.ravel()])], names=["query_id", "chunk_id", "vector_score"])
+
+    return run
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """queries and vectors (chunk_id, embedding): the k nearest by cosine, as a score clamped to 0..1.
 
-    The query set meets the vectors in `groups` parts: queries are copied to each part, so no side is broadcast unless
-    Spark finds it small.
+    The query set meets the vectors in blocks of VECTORS each, as matrix products; their number grows with the vectors. A
+    vector that is null, holds a null or a not-number, or has another length than the query scores 0.
     """
-    unit = lambda df: df.select("*", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = unit(queries).select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    v = unit(vectors).withColumn("g", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int"))
-    cosine = F.try_divide(_dot(F.col("q"), F.col("embedding")), F.col("qn") * F.col("norm"))
-    return top(q.join(v, "g").select("query_id", "chunk_id", F.least(F.greatest(F.coalesce(cosine, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("vector_score")), "vector_score", k)
+
+    def blocks(df: DataFrame, key: str, short: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // VECTORS))
+        part = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("g")
+        held = df.select(part, F.struct(F.col(key).alias("i"), F.col("embedding").alias("e")).alias("x")).groupBy("g").agg(F.collect_list("x").alias("x"))
+        return held.select("g", F.col("x.i").alias(f"{short}i"), F.col("x.e").alias(f"{short}e")), n
+
+    v, n = blocks(vectors, "chunk_id", "c")
+    q, _ = blocks(queries, "query_id", "q")
+    q = q.select("qi", "qe", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": vectors.schema["chunk_id"].dataType.simpleString()}
+    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(_nearest(k), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
+    return top(cut, "vector_score", k)
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:

@@ -84,15 +84,35 @@ def exemption_rules(extracted: DataFrame, keywords: list[str] = rules.SECURITY_K
     return extracted.select("request_id", F.explode(flags).alias("f")).select("request_id", "f.*")
 
 
-def recommend(routed: DataFrame, extracted: DataFrame, flags: DataFrame) -> DataFrame:
-    """TRANSFER, PARTIALLY_APPROVE, REJECT or APPROVE, with the sections applied and whether a notice is due."""
-    own = flags.where("not overridden").groupBy("request_id").agg(F.array_sort(F.collect_set("section")).alias("found"))
+def recommend(routed: DataFrame, extracted: DataFrame, flags: DataFrame, departments: DataFrame | None = None) -> DataFrame:
+    """TRANSFER, PARTIALLY_APPROVE, REJECT or APPROVE, with sections, reason, next step, risks, and whether a notice is due.
+
+    flags may carry the confidence of each exemption; a strength is STRONG over .8, and so it is without one. departments
+    (department_id, name) name where a request goes; without them the id stands for the name.
+    """
+    sure = F.col("confidence") > 0.8 if "confidence" in flags.columns else F.lit(True)
+    brief = F.struct(F.replace("section", F.lit("Section "), F.lit("")).alias("section"), F.when(sure, "STRONG").otherwise("MODERATE").alias("strength"))
+    own = flags.groupBy("request_id").agg(F.array_sort(F.collect_set(F.when(~F.col("overridden"), F.col("section")))).alias("found"), F.array_sort(F.collect_set(F.when(~F.col("overridden"), brief))).alias("applicable"), F.array_sort(F.collect_set(F.when(F.col("overridden"), F.replace("section", F.lit("Section "), F.lit(""))))).alias("dismissed"))
     j = routed.join(extracted.select("request_id", "personal_data"), "request_id").join(own, "request_id", "left")
-    found = F.coalesce("found", F.array().cast("array<string>"))
-    some = F.size(found) > 0
+    if departments is not None:
+        j = j.join(departments.select(F.col("department_id").alias("department"), F.col("name").alias("department_name")), "department", "left")
+    name = F.coalesce("department_name", "department") if departments is not None else F.col("department")
+    none = F.array().cast("array<string>")
+    found = F.coalesce("found", none)
+    some, notice = F.size(found) > 0, F.exists(found, lambda s: F.contains(s, F.lit("11")))
     action = F.when(F.col("transfer"), "TRANSFER").when(some & F.coalesce("personal_data", F.lit(False)), "PARTIALLY_APPROVE").when(some, "REJECT").otherwise("APPROVE")
-    sections = F.concat(F.when(F.col("transfer"), F.array(F.lit("Section 6(3)"))).otherwise(F.array().cast("array<string>")), found)
-    return j.select("request_id", action.alias("recommendation"), "band", sections.alias("sections"), F.array_contains(found, "Section 11").alias("notice"), some.alias("legal_consultation"))
+    sections = F.concat(F.when(F.col("transfer"), F.array(F.lit("Section 6(3)"))).otherwise(none), found)
+    step = F.when(notice, rules.NOTICE_STEP).when(F.col("transfer"), F.concat(F.lit(rules.TRANSFER_STEP[0]), name, F.lit(rules.TRANSFER_STEP[1])))
+    for kind, text in rules.NEXT_STEPS.items():
+        step = step.when(action == kind, text)
+    risk = F
+    for section, text in rules.DISCLOSURE_RISKS:
+        risk = risk.when(F.array_contains(found, section), text)
+    reason = F.concat(F.lit("Recommendation is to "), action, F.lit(". The jurisdiction belongs to "), F.upper("department"), F.lit(". "), F.when(some, F.concat(F.lit("Exemption grounds found under: "), F.array_join(sections, ", "), F.lit(". "))).otherwise("No exemption grounds apply."))
+    return j.select(
+        "request_id", action.alias("recommendation"), "band", reason.alias("reason"), sections.alias("sections"), F.coalesce("applicable", F.array().cast("array<struct<section:string,strength:string>>")).alias("applicable"), F.coalesce("dismissed", none).alias("dismissed"),
+        step.alias("next_step"), risk.otherwise("N/A").alias("disclosure_risk"), F.lit(rules.REJECTION_RISK).alias("rejection_risk"), notice.alias("notice"), some.alias("legal_consultation"),
+    )
 
 
 def disclosure_factors(requests: DataFrame, flags: DataFrame, arguments: DataFrame, default: str) -> DataFrame:
@@ -124,38 +144,86 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(tx.words(name)), " ")
 
 
-def _indel(batches):
-    """Adds 100 * (1 - indel distance / lengths) of two short strings; the distance counts insertions and deletions."""
-    import pyarrow as pa
+def _best_names(threshold: float):
+    """Blocks of names (a, b: lists) to the best of b for every a: 100 * (1 - indel distance / lengths), over a threshold.
 
-    def common(a: str, b: str) -> int:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            before = 0
-            for k, y in enumerate(b, 1):
-                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
-        return row[-1]
+    What two names have in common in order is at most what they have in common in any order, so pairs come by that bound,
+    and a name is done when the bound is below the best score so far.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-    for batch in batches:
-        a, b = batch.column(batch.schema.get_field_index("a")).to_pylist(), batch.column(batch.schema.get_field_index("b")).to_pylist()
-        score = [200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+    def counts(names: list[str], letters: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(names), len(letters) or 1), np.int16)
+        for k, name in enumerate(names):
+            for c in name:
+                if c in letters:
+                    out[k, letters[c]] += 1
+        return out
+
+    def common(masks: dict[str, int], size: int, b: str) -> int:
+        """The longest common subsequence, a bit for each letter of the one name (size letters, their places in masks)."""
+        full = (1 << size) - 1
+        free = full
+        for c in b:
+            hit = free & masks.get(c, 0)
+            free = ((free + hit) | (free - hit)) & full
+        return size - free.bit_count()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                letters = {c: n for n, c in enumerate(sorted(set("".join(left)) & set("".join(right))))}
+                a, b = counts(left, letters), counts(right, letters)
+                sizes = np.array([len(x) for x in right])
+                out = []
+                for i, name in enumerate(left):
+                    both = np.minimum(a[i], b).sum(axis=1)
+                    total = len(name) + sizes
+                    bound = np.where(total > 0, 200.0 * both / np.maximum(total, 1), 100.0)
+                    masks: dict[str, int] = {}
+                    for n, c in enumerate(name):
+                        masks[c] = masks.get(c, 0) | 1 << n
+                    best = threshold
+                    for at in np.argsort(-bound, kind="stable").tolist():
+                        if bound[at] < best:
+                            break
+                        score = 200.0 * common(masks, len(name), right[at]) / total[at] if total[at] else 100.0
+                        if score >= best:
+                            best = score
+                            out.append((name, right[at], score))
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["a", "b", "score"])
+
+    return run
+
+
+NAMES = 512  # names in a block
 
 
 def match_entities(left: DataFrame, right: DataFrame, threshold: float = 65.0) -> DataFrame:
     """left (left_id, name) to the best right (right_id, name) by token-sorted similarity; unmatched have a null right_id.
 
-    Candidates share a token (an equi-join), so the names are never all paired; names without a common token score far
-    below any useful threshold.
+    Every name of left is held against every one of right: distinct names meet in blocks, the left ones being the query
+    set, and a bound on letters in common spares most comparisons. Of equal scores the smaller right_id is taken.
     """
     norm = lambda df, i: df.select(i, sorted_tokens(plain_name(F.col("name"))).alias("n"))
     a, b = norm(left, "left_id"), norm(right, "right_id")
-    tokens = lambda df: df.withColumn("token", F.explode(tx.words(F.col("n"))))
-    pairs = tokens(a).withColumnRenamed("n", "a").join(tokens(b).withColumnRenamed("n", "b"), "token").select("left_id", "right_id", "a", "b").distinct()
-    forms = pairs.select("a", "b").distinct().mapInArrow(_indel, "a string, b string, score double").where(F.col("score") >= threshold)
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    best = pairs.join(forms, ["a", "b"]).withColumn("_k", F.row_number().over(order)).where("_k = 1").select("left_id", "right_id", F.round("score", 6).alias("score"))
-    return left.select("left_id").join(best, "left_id", "left")
+    forms = b.groupBy("n").agg(F.min("right_id").alias("right_id"))
+
+    def blocks(names: DataFrame, k: int, name: str) -> DataFrame:
+        return names.groupBy(F.pmod(F.xxhash64("n"), F.lit(k)).cast("long").alias("k")).agg(F.collect_list("n").alias(name))
+
+    asked = a.select("n").distinct()
+    parts, asked_parts = (max(1, -(-df.count() // NAMES)) for df in (forms, asked))
+    rights = blocks(forms, parts, "b")
+    # each block of the query set goes to every block of the other names
+    lefts = blocks(asked, asked_parts, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("k"))
+    scored = lefts.join(rights, "k").select("a", "b").mapInArrow(_best_names(threshold), "a string, b string, score double")
+    order = Window.partitionBy("a").orderBy(F.desc("score"), "right_id")
+    best = scored.join(forms.withColumnRenamed("n", "b"), "b").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("a", "right_id", F.round("score", 6).alias("score"))
+    return a.join(best, a["n"] == best["a"], "left").select("left_id", "right_id", "score")
 
 
 def merge_master(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

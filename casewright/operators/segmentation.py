@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import rules
 from casewright.functions import text as tx
+from casewright.sources.scratch import scratch
 
 EDGE = r"\A[ \n:\-]+|[ \n:\-]+\z"
 
@@ -126,7 +127,9 @@ def fallback_section(docs: DataFrame, sections: DataFrame, core=rules.CORE_SECTI
 def segment(docs: DataFrame, patterns=rules.BOUNDARY_PATTERNS) -> DataFrame:
     """documents (doc_id, text) to sections, by all steps in order."""
     clean = normalized(docs)
-    bounds = resolve_boundaries(find_boundaries(clean, patterns))
+    path = scratch(docs.sparkSession, "boundaries")
+    resolve_boundaries(find_boundaries(clean, patterns)).write.parquet(path)
+    bounds = docs.sparkSession.read.parquet(path)
     sections = sync_aliases(slice_sections(clean, bounds)).unionByName(dates_table(clean)).unionByName(header_and_parties(clean, bounds))
     return fallback_section(clean, augment_sections(clean, sections))
 
