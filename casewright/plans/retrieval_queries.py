@@ -183,19 +183,19 @@ def r17_exemption_precedents(spark, sf):
     return r.exemption_precedents(asked, hits)
 
 
-@query(ctes("hits", "queries") + """, h AS (SELECT * FROM v_hits WHERE query_id % 2 = 0 AND chunk_id % 7 = 0), g AS (SELECT query_id, least(0.95::DOUBLE, 0.45::DOUBLE + least(0.30::DOUBLE, 0.06::DOUBLE * count(DISTINCT case_number)) + least(0.15::DOUBLE, 0.015::DOUBLE * count(*)) + CASE WHEN bool_or(chunk_type = 'COMMISSION_FINDINGS') THEN 0.1::DOUBLE ELSE 0 END) AS c, list_sort(list_distinct(list(case_number))) AS sources FROM h GROUP BY query_id)
-SELECT query_id, round(coalesce(c, 0.25::DOUBLE), 6) AS confidence, coalesce(sources, []) AS sources FROM v_queries LEFT JOIN g USING (query_id)""")
+_EVIDENCE = ctes("hits", "queries") + """, g AS (SELECT query_id, least(0.95::DOUBLE, 0.45::DOUBLE + least(0.30::DOUBLE, 0.06::DOUBLE * count(DISTINCT case_number)) + least(0.15::DOUBLE, 0.015::DOUBLE * count(*)) + CASE WHEN bool_or(chunk_type = 'COMMISSION_FINDINGS') THEN 0.1::DOUBLE ELSE 0 END) AS c, list_sort(list_distinct(list(case_number))) AS sources FROM v_hits GROUP BY query_id)
+SELECT query_id, round(coalesce(c, 0.25::DOUBLE), 6) AS confidence, coalesce(sources, []) AS sources FROM v_queries LEFT JOIN g USING (query_id)"""
+
+
+@query(_EVIDENCE)
 def r18_evidence_confidence(spark, sf):
-    hits = view(spark, sf, "hits").where("query_id % 2 = 0 and chunk_id % 7 = 0")
-    return r.evidence_confidence(view(spark, sf, "queries"), hits).withColumn("confidence", F.round("confidence", 6))
+    """All hits; queries from 20 on have none."""
+    return r.evidence_confidence(view(spark, sf, "queries"), view(spark, sf, "hits")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(ctes("hits", "queries") + """, h AS (SELECT * FROM v_hits), g AS (SELECT query_id, least(0.95::DOUBLE, 0.45::DOUBLE + least(0.30::DOUBLE, 0.06::DOUBLE * count(DISTINCT case_number)) + least(0.15::DOUBLE, 0.015::DOUBLE * count(*)) + CASE WHEN bool_or(chunk_type = 'COMMISSION_FINDINGS') THEN 0.1::DOUBLE ELSE 0 END) AS c, list_sort(list_distinct(list(case_number))) AS sources FROM h GROUP BY query_id)
-SELECT query_id, round(coalesce(c, 0.25::DOUBLE), 6) AS confidence, coalesce(sources, []) AS sources FROM v_queries LEFT JOIN g USING (query_id)""")
+@query(_EVIDENCE)
 def r18_evidence_confidence_all(spark, sf):
-    """r18_evidence_confidence over all hits; the SQL of that query takes a fourteenth. Queries from 20 on have none."""
-    hits = view(spark, sf, "hits")
-    return r.evidence_confidence(view(spark, sf, "queries"), hits).withColumn("confidence", F.round("confidence", 6))
+    return r18_evidence_confidence(spark, sf)
 
 
 @query("SELECT doc_id, concat_ws(chr(10), nullif(trim(text), ''), 'Language: ' || lang, 'Sources: ' || source || ', ' || lang) AS query_text FROM documents")

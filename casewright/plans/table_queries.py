@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 from casewright.functions import text as tx
 from casewright.operators import audit, cases, jobs, ocr_tables, routing
 from casewright.operators import extraction as ex
-from casewright.plans.views import ctes, view
+from casewright.plans.document_queries import REQUEST_CLASSES
+from casewright.plans.views import VIEWS, ctes, view
 from casewright.sources import readers, writers
 from casewright.sources.scratch import scratch
+from casewright.streaming.index_stream import index_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -79,10 +81,10 @@ def q4_routing_accuracy(spark, sf):
     return routing.routing_accuracy(_decided(spark, sf), view(spark, sf, "requests").select("request_id", "expected", "language"))
 
 
-_FLAGS = ctes("requests") + """, l AS (SELECT request_id, lower(text) AS t FROM v_requests), f AS (SELECT request_id, regexp_matches(t, 'firewall|password|credential|router|switch|server|database|configuration|network|backup|encryption|security|active directory|vpn|ip address|architecture|source code|schema|admin|login') AS sec,
-contains(t, 'tender') AND regexp_matches(t, 'active|ongoing|current') AS ten, regexp_matches(t, 'personal|aadhaar|medical|salary|address') AS per, regexp_matches(t, 'vendor|pricing|proprietary') AND NOT regexp_matches(t, 'firewall|password|vpn|cyber|architecture|source code|schema|tender|procurement|bid|employee|service book|salary|aadhaar|beneficiary|citizen') AS third,
-regexp_matches(t, 'employee|service book|salary') AND NOT regexp_matches(t, 'firewall|password|vpn|cyber|architecture|source code|schema|tender|procurement|bid') AS emp, regexp_matches(t, 'corruption|human rights|scam|bribe') AS pub FROM l),
-flags AS (SELECT request_id, 'Section 8(1)(a)' AS section, pub AS overridden FROM f WHERE sec UNION ALL SELECT request_id, 'Section 8(1)(d)', pub FROM f WHERE ten UNION ALL SELECT request_id, 'Section 8(1)(j)', pub FROM f WHERE per OR emp UNION ALL SELECT request_id, 'Section 11', false FROM f WHERE third)"""
+_FLAG = f"""{REQUEST_CLASSES}, f AS (SELECT request_id, information_type IN ('cybersecurity', 'architecture') OR regexp_matches(t, 'database|server|router|network') AS sec, procurement_status = 'active_tender' AS ten,
+personal_data OR information_type IN ('employee', 'citizen_data') AS per, information_type = 'third_party_commercial' AS third, personal_data, public_interest_override AS pub FROM cl),
+flags AS (SELECT request_id, 'Section 8(1)(a)' AS section, pub AS overridden FROM f WHERE sec UNION ALL SELECT request_id, 'Section 8(1)(d)', pub FROM f WHERE ten UNION ALL SELECT request_id, 'Section 8(1)(j)', pub FROM f WHERE per UNION ALL SELECT request_id, 'Section 11', false FROM f WHERE third)"""
+_FLAGS = ctes("requests") + ", " + _FLAG
 
 
 def _flags(spark, sf):
@@ -94,9 +96,20 @@ def q5_exemption_rules(spark, sf):
     return _flags(spark, sf).drop("title")
 
 
-@query()
+@query(_DECIDE + f""", {_FLAG}, own AS (SELECT request_id, list(section ORDER BY section) FILTER (WHERE NOT overridden) AS fs, list(replace(section, 'Section ', '') ORDER BY section) FILTER (WHERE overridden) AS ds FROM flags GROUP BY request_id),
+jf AS (SELECT o.*, department <> 'chips' AS transfer, personal_data, coalesce(fs, []) AS found, coalesce(ds, []) AS dismissed FROM o JOIN f USING (request_id) LEFT JOIN own USING (request_id)),
+r2 AS (SELECT *, CASE WHEN transfer THEN 'TRANSFER' WHEN len(found) > 0 AND personal_data THEN 'PARTIALLY_APPROVE' WHEN len(found) > 0 THEN 'REJECT' ELSE 'APPROVE' END AS recommendation, list_concat(CASE WHEN transfer THEN ['Section 6(3)'] ELSE [] END, found) AS sections, list_contains(found, 'Section 11') AS notice FROM jf)
+SELECT request_id, recommendation, band, sections, list_transform(found, lambda s: replace(s, 'Section ', '') || ': STRONG') AS applicable, dismissed, notice, len(found) > 0 AS legal_consultation,
+CASE WHEN notice THEN 'Issue' WHEN transfer THEN 'Transfer' WHEN recommendation = 'PARTIALLY_APPROVE' THEN 'Redact' WHEN recommendation = 'REJECT' THEN 'Issue' ELSE 'Provide' END AS step,
+CASE WHEN list_contains(found, 'Section 8(1)(j)') THEN '8(1)(j)' WHEN list_contains(found, 'Section 8(1)(d)') THEN '8(1)(d)' WHEN list_contains(found, 'Section 8(1)(a)') THEN '8(1)(a)' ELSE 'N/A' END AS risk,
+'Recommendation is to ' || recommendation || '. The jurisdiction belongs to ' || upper(department) || '. ' || CASE WHEN len(found) > 0 THEN 'Exemption grounds found under: ' || array_to_string(sections, ', ') || '. ' ELSE 'No exemption grounds apply.' END AS reason FROM r2""")
 def q6_recommend_heuristic(spark, sf):
-    return routing.recommend(_decided(spark, sf), ex.classify_requests(view(spark, sf, "requests")), _flags(spark, sf))
+    out = routing.recommend(_decided(spark, sf), ex.classify_requests(view(spark, sf, "requests")), _flags(spark, sf))
+    risks = {"unwarranted invasion": "8(1)(j)", "bidding details": "8(1)(d)", "IT architecture": "8(1)(a)"}
+    risk = F
+    for words, section in risks.items():
+        risk = risk.when(F.contains("disclosure_risk", F.lit(words)), section)
+    return out.select("request_id", "recommendation", "band", "sections", F.transform("applicable", lambda x: F.concat(x["section"], F.lit(": "), x["strength"])).alias("applicable"), "dismissed", "notice", "legal_consultation", F.split("next_step", " ")[0].alias("step"), risk.otherwise("N/A").alias("risk"), "reason")
 
 
 @query(_FLAGS + """, a(section, position, argument) AS (VALUES ('Section 8(1)(j)', 1, 'privacy'), ('Section 8(1)(d)', 2, 'tenders'), ('Section 11', 3, 'third party')),
@@ -222,9 +235,10 @@ def k7_evolve_case_schema(spark, sf):
 @query(ctes("chunks") + " SELECT chunk_id, source FROM v_chunks")
 def k1_write_chunks(spark, sf):
     path = scratch(spark, "chunks")
-    chunks = view(spark, sf, "chunks").select("chunk_id", "source", "text")
+    chunks = view(spark, sf, "chunks").select("chunk_id", "case_number", "source", "text")
     writers.write_chunks(chunks, path)
-    writers.write_chunks(chunks.where("source = 'CIC'"), path)
+    # some cases again: their chunks are replaced, the other cases of the source stay
+    writers.write_chunks(chunks.where("source = 'CIC' and case_number < 'CIC/DEPT/A/2024/5'"), path)
     return spark.read.parquet(path).select("chunk_id", "source")
 
 
@@ -413,10 +427,20 @@ def s6_scan_frequency_dict(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'skipped' ELSE 'processed' END AS status FROM documents")
 def p1_index_corpus(spark, sf):
-    docs = view(spark, sf, "whole_decisions")
+    docs = view(spark, sf, "decision_docs")
     return jobs.run_report(docs, jobs.index_corpus(docs, docs.where("doc_id % 4 = 0").select("doc_id"))).select("doc_id", "status")
 
 
+@query("SELECT doc_id FROM documents")
+def p2_index_stream(spark, sf):
+    """Decisions that arrive as a stream, indexed once each."""
+    table, checkpoint = scratch(spark, "stream-index"), scratch(spark, "stream-checkpoint")
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/documents.parquet*")
+    index_stream(spark.sql(VIEWS["decision_docs"], documents=stream), table, checkpoint).awaitTermination()
+    return spark.read.parquet(table).select("doc_id").distinct()
+
+
 @query()
 def p3_analyze_batch(spark, sf):
     out = jobs.analyze_batch(view(spark, sf, "requests"), _departments(spark, sf), view(spark, sf, "chunks"))

@@ -36,7 +36,7 @@ VIEWS = {
         CASE WHEN event_id % 4 = 2 THEN 'health' END AS pio_override_department, event_id FROM {events}""",
     "decision_docs": """SELECT doc_id, 'CENTRAL INFORMATION COMMISSION' || chr(10) || 'File No: CIC/DEPT/A/2024/' || CAST(1000 + doc_id AS STRING) || chr(10) || 'Date of Decision: ' || CAST(1 + doc_id % 28 AS STRING) || '.04.2025' || chr(10)
         || 'Appellant: A' || CAST(doc_id AS STRING) || chr(10) || 'Respondent: Department of Records ' || lang || chr(10) || 'Date of hearing: ' || CAST(1 + doc_id % 28 AS STRING) || '/03/2025' || chr(10)
-        || 'Facts:' || chr(10) || 'The appellant sought information regarding ' || substr(text, 1, 300) || chr(10) || 'CPIO Reply: The CPIO replied under Section 8(1)(j) and Section 10.' || chr(10)
+        || 'Facts:' || chr(10) || 'The appellant sought information regarding ' || text || chr(10) || 'CPIO Reply: The CPIO replied under Section 8(1)(j) and Section 10.' || chr(10)
         || 'Decision:' || chr(10) || 'The Commission observes that the reply is proper. ' || CASE doc_id % 4 WHEN 0 THEN 'The appeal is dismissed.' WHEN 1 THEN 'The appeal is partly allowed.' WHEN 2 THEN 'The CPIO is directed to provide the records.' ELSE 'A penalty of Rs. 25,000 under Section 20(1) may follow.' END AS text FROM {documents}""",
     "requests": """SELECT item_id AS request_id, text || CASE item_id % 6 WHEN 0 THEN ' vpn firewall of chips' WHEN 1 THEN ' active tender of revenue' WHEN 2 THEN ' salary of an employee' WHEN 3 THEN ' vendor pricing' WHEN 4 THEN ' corruption in medical records of health' ELSE '' END AS text,
         CASE item_id % 3 WHEN 0 THEN 'chips' WHEN 1 THEN 'revenue' ELSE 'health' END AS expected, CASE item_id % 2 WHEN 0 THEN 'en' ELSE 'hi' END AS language FROM {benchmark}""",
@@ -44,8 +44,6 @@ VIEWS = {
         CASE WHEN doc_id % 5 = 0 THEN 'native' ELSE 'ocr' END AS source FROM {documents}""",
     "cells": "SELECT l_orderkey AS table_id, CAST(l_linenumber AS INT) - 1 AS row, CAST(l_orderkey % 3 AS INT) AS col, 5 AS n_rows, 3 AS n_cols, l_returnflag || l_linestatus AS text FROM {lineitem}",
 }
-# decisions that hold the whole text; decision_docs, which the SQL reads, holds its start
-VIEWS["whole_decisions"] = VIEWS["decision_docs"].replace("substr(text, 1, 300)", "text")
 TABLE = re.compile(r"\{(\w+)\}")
 
 
