@@ -14,7 +14,7 @@ a bucket holds every text that can share such a string. Only grams that occur in
 4. Packs get, for every neighbourhood, the strings that start in a document with a smaller id, and cut their bytes.
 
 Documents are dealt to packs by a hash of their id and text, so a group of copies of any size, or rows without an id,
-spread over all packs, and each pack sends equal strings once. A pack sends a row to every bucket, so packs times buckets
+spread over all packs, and each pack sends equal strings once. The documents of a pack travel as compressed chunks. A pack sends a row to every bucket, so packs times buckets
 rows are shuffled, as many as a shuffle between as many tasks has blocks; PACK_BYTES and BUCKET_BYTES set both.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `span` never lose any; rows that repeat a doc_id
@@ -37,7 +37,7 @@ from casewright.llm.work import Work, fresh, read
 
 U = np.uint64
 SPAN, GRAM = 50, 24
-PACK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20  # of text
+PACK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 16 << 20  # of text; a task cuts chunks from so much at once
 HOT = 1 << 16  # places of a gram from which its strings are dealt out one by one
 LAST = (1 << 63) - 1  # stands for no doc_id
 SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
@@ -204,9 +204,45 @@ def least_grams(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple
 # --- the Spark job ----------------------------------------------------------------------------------------------------
 
 
+def _chunk(texts: list[str], rest: list[str]):
+    """Rows (pack, ...) to one row for each pack in every CHUNK_BYTES of a task: its documents as compressed Arrow streams."""
+    schema = pa.schema([("pack", pa.int32()), ("texts", pa.binary()), ("rest", pa.binary())])
+
+    def stream(table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def cut(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held)
+        used, cuts, order = _by_bucket(table.column("pack").to_numpy().astype(np.uint64), 1 << 62)
+        table = table.take(pa.array(order))
+        for pack, low, high in zip(used, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = table.slice(low, high - low).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([pack, stream(own.select(texts)), stream(own.select(rest))], schema.types, strict=True)], schema=schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from cut(held)
+                held, size = [], 0
+        if held:
+            yield from cut(held)
+
+    return run
+
+
+def _unpack(table: pa.Table, column: str) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column(column)]).combine_chunks()
+
+
 def _pack_rows(table: pa.Table):
     """The documents of a pack in order of (place, text): places, texts, and blocks of rows."""
-    table = table.sort_by([("place", "ascending"), ("text", "ascending")])
+    table = _unpack(table, "texts").sort_by([("place", "ascending"), ("text", "ascending")])
     buf, offsets = tb.text_bytes(table.column("text"))
     return table.column("place").to_numpy(), buf, offsets
 
@@ -363,7 +399,10 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
 
     def run(key, table, answers):
         grams, bits = answers.filter(pa.compute.is_valid(answers.column("grams"))), answers.filter(pa.compute.is_valid(answers.column("bits")))
-        sorted_table = table.sort_by([("place", "ascending"), ("text", "ascending")])
+        both = _unpack(table, "texts")
+        for name, values in zip(payload, _unpack(table, "rest").columns, strict=True):
+            both = both.append_column(f"own {name}", values)
+        both = both.sort_by([("place", "ascending"), ("text", "ascending")])
         ids, buf, offsets, (h, start, count, row, first, of) = _neighbourhoods(table, grams, span)
         removed = np.zeros(len(buf), bool)
         if len(first):
@@ -395,7 +434,7 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
             "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(gone[offsets[1:]] - gone[offsets[:-1]]), "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]),
             "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
-        return pa.table([sorted_table.column(f.name) if f.name in payload else values[f.name] for f in schema], schema=schema)
+        return pa.table([both.column(f"own {f.name}") if f.name in payload else values[f.name] for f in schema], schema=schema)
 
     return run
 
@@ -409,8 +448,12 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, m = max(1, -(-size // PACK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    packs = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
-    slim = packs.select("pack", "place", "text")
+    payload = ["doc_id", *([extra] if extra else [])]
+    own = docs.schema[extra] if extra else None
+    pack = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("pack")
+    chunks = work.table(docs.select(pack, "place", "text", *payload).mapInArrow(_chunk(["place", "text"], payload), "pack int, texts binary, rest binary"), "chunks")
+    packs = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
+    slim = packs.select("pack", "texts")
     grams = slim.groupBy("pack").applyInArrow(_send_grams(m, span), "bucket int, pack int, grams binary")
     shared = work.table(grams.groupBy("bucket").applyInArrow(_answer_grams(HOT), "pack int, grams binary"), "grams")
     near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(m, span), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
@@ -419,10 +462,8 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    kind = _parse_datatype_string(output)
-    schema = to_arrow_schema(StructType([f if f.name != extra else packs.schema[extra] for f in kind]))
-    payload = ["doc_id", *([extra] if extra else [])]
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(m, span, payload, schema, whole_characters), StructType([f if f.name != extra else packs.schema[extra] for f in kind]))
+    kind = StructType([own if f.name == extra else f for f in _parse_datatype_string(output)])
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(m, span, payload, to_arrow_schema(kind), whole_characters), kind)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
