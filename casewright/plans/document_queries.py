@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from casewright.functions import rules
@@ -53,15 +55,17 @@ def t3_normalize_numerals(spark, sf):
 
 def _fixed(c: str) -> str:
     for pattern, new in rules.OCR_FIXES:
-        new = {"$1-$2": "\\1-\\2", "$1@$2.$3": "\\1@\\2.\\3", "1$1": "1\\1", "$15": "\\15", "5$1": "5\\1", "\n\n": "' || chr(10) || chr(10) || '"}.get(new, new)
-        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')" if pattern != r"(\d)\$" else f"regexp_replace({c}, '{pattern}', '\\1' || '5', 'g')"
+        new = re.sub(r"\$([123])", r"\\\1", new).replace("\n", "' || chr(10) || '")
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
     return c
 
 
-@query()
+_NOISY = "'a@b c 5~6 I8 3$4 &amp;&lt; ' || repeat(chr(10), 4) || 'AB' || chr(10) || text"
+
+
+@query(f"SELECT doc_id, {_fixed(_NOISY)} AS text FROM documents")
 def t4_apply_ocr_fixes(spark, sf):
-    noisy = F.concat(F.lit("a@b c 5~6 I8 3$4 &amp;&lt; \n\n\n\nAB\n"), "text")
-    return view(spark, sf, "docs").select("doc_id", cleaning.apply_fixes(noisy).alias("text"))
+    return view(spark, sf, "docs").select("doc_id", cleaning.apply_fixes(F.expr(_NOISY)).alias("text"))
 
 
 def _fields(spark, sf, labelled="doc_id % 10 <> 7"):
@@ -131,7 +135,12 @@ def t11_dedup_paragraphs(spark, sf):
     return cleaning.dedup_paragraphs(cleaning.explode_lines(view(spark, sf, "docs"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query()
+@query(f"""WITH {_MARKED}, {_LINES.format(t='m')}, r AS (SELECT doc_id, line_no, regexp_replace(line, '\\s+$', '') AS line, trim(line) AS s FROM l),
+c AS (SELECT doc_id, line_no, CASE WHEN s LIKE '|%|' AND length(regexp_replace(s, '[^|]', '', 'g')) >= 2 THEN line ELSE replace(regexp_replace(replace(replace(line, '| ', '|' || chr(1)), ' |', chr(1) || '|'), '  +', ' ', 'g'), chr(1), ' ') END AS line FROM r),
+j AS (SELECT *, coalesce(lag(line) OVER w LIKE '%-' AND regexp_matches(line, '^\\p{{Ll}}'), false) AS joins FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+o AS (SELECT *, coalesce(lead(joins) OVER w, false) AS open, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER w AS place FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+p AS (SELECT doc_id, place, string_agg(CASE WHEN open THEN line[1:length(line) - 1] ELSE line END, '' ORDER BY line_no) AS line FROM o GROUP BY doc_id, place)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM p GROUP BY doc_id""")
 def t12_join_hyphenated(spark, sf):
     return cleaning.assemble_lines(cleaning.join_hyphenated(cleaning.explode_lines(_marked(spark, sf))))
 
@@ -190,7 +199,11 @@ def t16_spell_candidates_all(spark, sf):
     return t16_spell_candidates(spark, sf)
 
 
-@query()
+@query(f"""WITH {_LINES.format(t='documents')}, fix AS (SELECT word, term FROM ({_CANDIDATES}) WHERE accepted),
+k AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM l), f AS (SELECT *, s = '' OR regexp_matches(s, '^(?:[:॥#|>]|```|<!--|---)') OR regexp_matches(s, '^[-*]\\s') OR regexp_matches(s, '^\\d+\\.\\s') AS fixed FROM k),
+w AS (SELECT doc_id, line_no, fixed, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM (SELECT *, CASE WHEN fixed THEN [line] ELSE string_split(regexp_replace(line, '([a-z]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) END AS pieces FROM f)),
+o AS (SELECT doc_id, line_no, string_agg(coalesce(CASE WHEN NOT fixed THEN term END, piece), '' ORDER BY k) AS line FROM w LEFT JOIN fix ON piece = word GROUP BY doc_id, line_no)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM o GROUP BY doc_id""")
 def t17_apply_corrections(spark, sf):
     return cleaning.apply_corrections(view(spark, sf, "docs"), cleaning.spell_candidates(*_words(spark, sf)), "[a-z]+")[0]
 
@@ -338,7 +351,17 @@ def e10_key_sentences(spark, sf):
     return view(spark, sf, "docs").select("doc_id", extraction.key_sentences(F.col("text"), r"(?i)(^| )(the|der|que)( |$)", 6, first_two=False).alias("observations"))
 
 
-@query()
+def _compact(c, limit):
+    return f"CASE WHEN length({_SQUEEZE.format(c=c)}) <= {limit} THEN {_SQUEEZE.format(c=c)} ELSE rtrim(substr({_SQUEEZE.format(c=c)}, 1, {limit - 3})) || '...' END"
+
+
+_EDGE = "regexp_replace({c}, '^[ ;.]+|[ ;.]+$', '', 'g')"
+
+
+@query(_D + f""", t AS (SELECT doc_id, regexp_replace(regexp_replace({_SQUEEZE.format(c='text')}, '(?i)^.*?\\bsought\\s+information\\s+(?:on|regarding|about)\\b', ''), '(?i)\\b(?:Grounds\\s+for\\s+(?:Second\\s+)?Appeal|CPIO\\s+reply)\\b.*$', '') AS part FROM v_decision_docs),
+n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(part, '(?:^|\\s)(?:\\d+[).]|[a-z]\\))\\s*([^.;]+(?:[.;]|$))', 1), lambda s: {_EDGE.format(c=_compact('s', 220))}), lambda s: s <> '')[1:12] AS numbered,
+list_transform(list_filter(string_split(regexp_replace(part, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:8], lambda s: len(regexp_split_to_array(trim(s), '\\s+')) >= 4), lambda s: {_EDGE.format(c=_compact('s', 240))}) AS plain FROM t)
+SELECT doc_id, CASE WHEN len(numbered) > 0 THEN numbered ELSE plain END AS items FROM n""")
 def e11_requested_items(spark, sf):
     return view(spark, sf, "decision_docs").select("doc_id", extraction.requested_items(F.col("text")).alias("items"))
 
@@ -349,7 +372,14 @@ def e12_references(spark, sf):
     return view(spark, sf, "docs").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
 
 
-@query()
+def _found(pattern, n):
+    # letters outside ASCII end words like others; they stand as 0, which no pattern takes in
+    start = f"regexp_replace(regexp_replace(text[1:{n}], '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '!', 'g'), '[^\\x00-\\x7F]', '0', 'g')"
+    found = f"list_transform(regexp_extract_all({start}, '{pattern}'), lambda s: trim({_SQUEEZE.format(c='s')}, ' ,.'))"
+    return f"list_filter({found}, lambda x, i: list_position({found}, x) = i)[1:12]"
+
+
+@query(_D + f" SELECT doc_id, {_found(rules.PEOPLE, 5000)} AS people, {_found(rules.AUTHORITIES, 6000)} AS authorities, {_found(rules.DEPARTMENTS, 6000)} AS departments, {_found(rules.LOCATIONS, 8000)} AS locations FROM v_decision_docs")
 def e13_entities(spark, sf):
     return extraction.entities(view(spark, sf, "decision_docs"))
 
