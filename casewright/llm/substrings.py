@@ -37,7 +37,7 @@ from casewright.llm.work import Work, fresh, read
 
 U = np.uint64
 SPAN, GRAM = 50, 24
-PACK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 16 << 20  # of text; a task cuts chunks from so much at once
+PACK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 8 << 20  # of text; a task cuts chunks from so much at once
 HOT = 1 << 16  # places of a gram from which its strings are dealt out one by one
 LAST = (1 << 63) - 1  # stands for no doc_id
 SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
