@@ -22,7 +22,7 @@ def chain_append(records: DataFrame, key: str = "chain_key", tail: DataFrame | N
     """records with previous_hash, current_hash and sequence, chained after `tail` (key, last_hash, last_sequence)."""
     item = F.struct("timestamp", "audit_id", *[c for c in HASHED if c not in ("timestamp", "audit_id")])
     place = F.row_number().over(Window.partitionBy(key).orderBy(item))
-    chains = records.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    chains = records.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     chains = chains.join(tail, key, "left") if tail is not None else chains.withColumn("last_hash", F.lit(None).cast("string")).withColumn("last_sequence", F.lit(None).cast("long"))
     zero = F.struct(F.coalesce("last_hash", F.lit(GENESIS)).alias("prev"), F.array().cast("array<struct<previous_hash:string,current_hash:string>>").alias("out"))
 
@@ -101,7 +101,7 @@ def audit_filter_sort(records: DataFrame, now: str, query: str = "", action: str
 
 def event_digest(payload: Column) -> Column:
     """16 hex digits of the sha256 of a map's JSON with sorted keys."""
-    return F.substring(F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload)))), 256), 1, 16)
+    return F.substring(F.sha2(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(payload)))), 256), 1, 16)
 
 
 def corrections_export(events: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def explode_lines(docs: DataFrame) -> DataFrame:
 
 
 def assemble_lines(lines: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -174,7 +174,7 @@ def join_hyphenated(lines: DataFrame) -> DataFrame:
     out = out.withColumn("_joins", F.coalesce(joins, F.lit(False))).withColumn("_open", F.coalesce(F.lead("_joins").over(_line()), F.lit(False)))
     out = out.withColumn("_to", F.sum((~F.col("_joins")).cast("int")).over(_so_far()))
     piece = F.when(F.col("_open"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
-    joined = out.withColumn("piece", piece).groupBy("doc_id", "_to").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "piece"))).alias("p"))
+    joined = out.withColumn("piece", piece).groupBy("doc_id", "_to").agg(F.min("line_no").alias("line_no"), F.sort_array(F.collect_list(F.struct("line_no", "piece"))).alias("p"))
     return joined.select("doc_id", "line_no", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("line"))
 
 
@@ -234,10 +234,12 @@ def apply_corrections(docs: DataFrame, corrections: DataFrame, word: str = r"[
     s = bare(F.col("line"))
     structural = (s == "") | s.rlike(r"\A(?:[:॥#|>]|```|<!--|---)") | s.rlike(r"\A[-*]\s") | s.rlike(r"\A\d+\.\s")
     marked = F.when(structural, F.array("line")).otherwise(F.filter(F.split(F.regexp_replace("line", f"({word})", "\u0001$1\u0001"), "\u0001"), lambda x: x != ""))
-    pieces = lines.select("doc_id", "line_no", structural.alias("fixed"), F.posexplode_outer(marked).alias("k", "piece"))
+    # what is beside an explode is computed for every row that comes out of it, so the line is judged ahead
+    judged = lines.select("doc_id", "line_no", structural.alias("fixed"), marked.alias("marked"))
+    pieces = judged.select("doc_id", "line_no", "fixed", F.posexplode_outer("marked").alias("k", "piece"))
     fix = corrections.where("accepted").select(F.col("word").alias("piece"), "term")
     joined = pieces.join(fix, "piece", "left").withColumn("term", F.when(~F.col("fixed"), F.col("term")))
-    ordered = F.array_sort(F.collect_list(F.struct("k", F.coalesce("term", "piece", F.lit("")).alias("w"))))
+    ordered = F.sort_array(F.collect_list(F.struct("k", F.coalesce("term", "piece", F.lit("")).alias("w"))))
     out = joined.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), "").alias("line"))
     log = joined.where("term is not null").groupBy(F.col("piece").alias("word"), "term").agg(F.count("*").alias("n"))
     return assemble_lines(out), log

@@ -23,7 +23,7 @@ def merge_page_sources(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """One text for each document: pages in order, each under its comment."""
     part = F.concat(F.lit("<!-- page "), F.col("page_no").cast("string"), F.lit(" -->\n"), tx.blank_if_null(F.col("text")))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"))
 
 
 def document_confidence(pages: DataFrame, warn: float = 0.85) -> DataFrame:
@@ -36,7 +36,7 @@ def _grid(cells: DataFrame) -> DataFrame:
     """(table_id, row, texts by column); cells outside the table's stated size are ignored."""
     inside = cells.where((F.col("row") < F.col("n_rows")) & (F.col("col") < F.col("n_cols")) & (F.col("row") >= 0) & (F.col("col") >= 0))
     size = cells.groupBy("table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols")).where("n_rows > 0 and n_cols > 0")
-    filled = inside.groupBy("table_id", "row").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("col", "text")))).alias("by_col"))
+    filled = inside.groupBy("table_id", "row").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("col", "text")))).alias("by_col"))
     rows = size.select("table_id", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row")).join(filled, ["table_id", "row"], "left")
     texts = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit("")))
     return rows.select("table_id", "row", "n_cols", texts.alias("texts"))
@@ -46,12 +46,12 @@ def table_to_markdown(cells: DataFrame) -> DataFrame:
     line = F.concat(F.lit("| "), F.array_join("texts", " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n_cols")), " | "), F.lit(" |"))
     rows = _grid(cells).withColumn("line", F.when(F.col("row") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line))
-    return rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    return rows.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
 
 
 def table_to_tsv(cells: DataFrame) -> DataFrame:
     rows = _grid(cells).withColumn("line", F.array_join("texts", "\t"))
-    return rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("tsv"))
+    return rows.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("tsv"))
 
 
 def document_counts(nested: DataFrame) -> DataFrame:

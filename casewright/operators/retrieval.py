@@ -37,7 +37,7 @@ def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
     """Postings, written once; terms and the averages come from them. A negative idf becomes EPSILON times the mean idf."""
     spark = chunks.sparkSession
     tokens = chunks.select("chunk_id", tx.legal_tokens(F.col(text)).alias("tokens"))
-    made = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    made = tokens.withColumn("length", F.size("tokens")).select("chunk_id", "length", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
     path = scratch(spark, "postings")
     made.write.parquet(path)
     postings = spark.read.schema(made.schema).parquet(path)
@@ -288,7 +288,7 @@ def section_browse(sections: DataFrame, needle: str) -> DataFrame:
     seen = F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit(low)))
     for c in ("section_number", "title", "section_text", "module"):
         seen = seen | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(low))
-    return sections.where(F.coalesce(seen, F.lit(False))).groupBy(F.coalesce(F.nullif("module", F.lit("")), F.lit("General")).alias("module")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("section_number")).alias("sections"))
+    return sections.where(F.coalesce(seen, F.lit(False))).groupBy(F.coalesce(F.nullif("module", F.lit("")), F.lit("General")).alias("module")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("section_number")).alias("sections"))
 
 
 # --- context ----------------------------------------------------------------------------------------------------------
@@ -317,7 +317,7 @@ def pack_context(hits: DataFrame, budget: int = 3500, stop_when_full: bool = Fal
     if stop_when_full:
         pool = pool.where("_place < 999")
     item = F.struct("_place", (-F.round("rrf_score", 9)).alias("_score"), "rank", "chunk_id", "chunk_type", "case_number", "rrf_score", tx.word_count(F.col("text")).alias("words"))
-    sorted_pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    sorted_pool = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     tokens = lambda w: F.greatest(F.lit(1), F.bround(w * F.lit(1.3)).cast("int"))
     empty = "array<struct<chunk_id:bigint,kept_words:int,tokens:int>>"
 
@@ -362,7 +362,7 @@ def exemption_precedents(requests: DataFrame, hits: DataFrame) -> DataFrame:
 
 def evidence_confidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """.25 without hits, else .45 + min(.30, .06 cases) + min(.15, .015 hits) + .10 with findings, at most .95."""
-    seen = hits.groupBy("query_id").agg(F.count_distinct("case_number").alias("cases"), F.count("*").alias("hits"), F.bool_or(F.col("chunk_type") == "COMMISSION_FINDINGS").alias("findings"), F.array_sort(F.collect_set("case_number")).alias("sources"))
+    seen = hits.groupBy("query_id").agg(F.count_distinct("case_number").alias("cases"), F.count("*").alias("hits"), F.bool_or(F.col("chunk_type") == "COMMISSION_FINDINGS").alias("findings"), F.sort_array(F.collect_set("case_number")).alias("sources"))
     score = F.least(F.lit(0.95), 0.45 + F.least(F.lit(0.30), 0.06 * F.col("cases")) + F.least(F.lit(0.15), 0.015 * F.col("hits")) + F.when(F.col("findings"), 0.10).otherwise(0.0))
     return queries.select("query_id").join(seen, "query_id", "left").select("query_id", F.when(F.col("cases").isNull(), 0.25).otherwise(score).alias("confidence"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 

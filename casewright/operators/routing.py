@@ -55,7 +55,7 @@ def route_decide(requests: DataFrame, scores: DataFrame, own: str = SELF) -> Dat
     """The best department of each request, its band, the next three, and whether to transfer or to look again."""
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "department_id")
     ranked = scores.withColumn("rank", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("score").over(order), F.lit(0.0)))
-    alternatives = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank").between(2, 4) & (F.col("score") > 0), F.struct("rank", "department_id", "score")))), lambda x: x["department_id"])
+    alternatives = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank").between(2, 4) & (F.col("score") > 0), F.struct("rank", "department_id", "score")))), lambda x: x["department_id"])
     best = ranked.groupBy("request_id").agg(F.max(F.when(F.col("rank") == 1, F.col("department_id"))).alias("department"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rank") == 1, F.col("score") - F.col("next"))).alias("gap"), alternatives.alias("alternatives"))
     out = requests.select("request_id").join(best, "request_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     out = out.withColumn("department", F.coalesce("department", F.lit("UNKNOWN"))).withColumn("band", band(F.col("score"))).withColumn("overlap", F.round(F.coalesce("gap", F.lit(0.0)), 9) < 0.10)
@@ -92,7 +92,7 @@ def recommend(routed: DataFrame, extracted: DataFrame, flags: DataFrame, departm
     """
     sure = F.col("confidence") > 0.8 if "confidence" in flags.columns else F.lit(True)
     brief = F.struct(F.replace("section", F.lit("Section "), F.lit("")).alias("section"), F.when(sure, "STRONG").otherwise("MODERATE").alias("strength"))
-    own = flags.groupBy("request_id").agg(F.array_sort(F.collect_set(F.when(~F.col("overridden"), F.col("section")))).alias("found"), F.array_sort(F.collect_set(F.when(~F.col("overridden"), brief))).alias("applicable"), F.array_sort(F.collect_set(F.when(F.col("overridden"), F.replace("section", F.lit("Section "), F.lit(""))))).alias("dismissed"))
+    own = flags.groupBy("request_id").agg(F.sort_array(F.collect_set(F.when(~F.col("overridden"), F.col("section")))).alias("found"), F.sort_array(F.collect_set(F.when(~F.col("overridden"), brief))).alias("applicable"), F.sort_array(F.collect_set(F.when(F.col("overridden"), F.replace("section", F.lit("Section "), F.lit(""))))).alias("dismissed"))
     j = routed.join(extracted.select("request_id", "personal_data"), "request_id").join(own, "request_id", "left")
     if departments is not None:
         j = j.join(departments.select(F.col("department_id").alias("department"), F.col("name").alias("department_name")), "department", "left")
@@ -117,7 +117,7 @@ def recommend(routed: DataFrame, extracted: DataFrame, flags: DataFrame, departm
 
 def disclosure_factors(requests: DataFrame, flags: DataFrame, arguments: DataFrame, default: str) -> DataFrame:
     """The arguments (section, position, argument) of a request's flags, in order, joined by bars; a default without flags."""
-    mine = flags.join(arguments, "section").groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "argument"))), lambda x: x["argument"]), " | ").alias("argument"))
+    mine = flags.join(arguments, "section").groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "argument"))), lambda x: x["argument"]), " | ").alias("argument"))
     return requests.select("request_id").join(mine, "request_id", "left").select("request_id", F.coalesce("argument", F.lit(default)).alias("argument"))
 
 
@@ -141,7 +141,7 @@ def plain_name(name: Column) -> Column:
 
 
 def sorted_tokens(name: Column) -> Column:
-    return F.array_join(F.array_sort(tx.words(name)), " ")
+    return F.array_join(F.sort_array(tx.words(name)), " ")
 
 
 def _best_names(threshold: float):
@@ -229,7 +229,7 @@ def match_entities(left: DataFrame, right: DataFrame, threshold: float = 65.0) -
 def merge_master(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Matched records as one: the left's name, both names as aliases, all keywords once."""
     j = matches.where("right_id is not null").join(left.select("left_id", F.col("name").alias("ln"), F.col("keywords").alias("lk")), "left_id").join(right.select("right_id", F.col("name").alias("rn"), F.col("keywords").alias("rk")), "right_id")
-    return j.select("left_id", "right_id", F.coalesce("ln", "rn").alias("name"), F.array_sort(F.array_distinct(F.array_compact(F.array("ln", "rn")))).alias("aliases"), F.array_sort(F.array_distinct(F.concat(F.coalesce("lk", F.array().cast("array<string>")), F.coalesce("rk", F.array().cast("array<string>"))))).alias("keywords"))
+    return j.select("left_id", "right_id", F.coalesce("ln", "rn").alias("name"), F.sort_array(F.array_distinct(F.array_compact(F.array("ln", "rn")))).alias("aliases"), F.sort_array(F.array_distinct(F.concat(F.coalesce("lk", F.array().cast("array<string>")), F.coalesce("rk", F.array().cast("array<string>"))))).alias("keywords"))
 
 
 def curate_master(master: DataFrame, new: DataFrame, relabel: dict[str, str]) -> DataFrame:

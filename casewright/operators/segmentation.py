@@ -22,20 +22,50 @@ def normalized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tx.clean_text(F.col("text"), 3).alias("text"))
 
 
+def needed_words(pattern: str) -> list[str] | None:
+    """Lower-case strings of which every match of the pattern holds one; None if there is no telling."""
+    from re import _constants as kind
+    from re import _parser as parser
+
+    def of(tree) -> list[str] | None:
+        found, run = [], ""
+        for op, value in [*tree, (None, None)]:
+            if op is kind.LITERAL:
+                run += chr(value).lower()
+                continue
+            found.append([run] if run else None)
+            run = ""
+            if op is kind.BRANCH:
+                own = [of(x) for x in value[1]]
+                found.append(None if None in own else [w for x in own for w in x])
+            elif op is kind.SUBPATTERN:
+                found.append(of(value[3]))
+            elif op in (kind.MAX_REPEAT, kind.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=None)
+
+    return of(parser.parse(pattern, re.IGNORECASE))
+
+
 def find_boundaries(docs: DataFrame, patterns=rules.BOUNDARY_PATTERNS) -> DataFrame:
     """All matches of all patterns: (doc_id, section, start, end, score, marker, priority).
 
-    Offsets of every match are no built-in, so a small Arrow map searches each text; rows come out one for each match.
+    Offsets of every match are no built-in, so a small Arrow map searches each text; rows come out one for each match. A
+    pattern is only searched for in texts that hold words it cannot match without.
     """
     table = [(s, p, float(c)) for s, p, c in patterns]
     names = ["doc_id", "section", "start", "end", "score", "marker", "priority"]
 
     def search(batches):
-        compiled = [(s, re.compile(p, re.IGNORECASE | re.MULTILINE | re.DOTALL), c, k) for k, (s, p, c) in enumerate(table)]
+        compiled = [(s, re.compile(p, re.IGNORECASE | re.MULTILINE | re.DOTALL), c, k, needed_words(p)) for k, (s, p, c) in enumerate(table)]
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(doc, s, m.start(), m.end(), c, m[0].strip(), k) for s, p, c, k in compiled for m in p.finditer(text or "")]
+                text = text or ""
+                low, plain = text.lower(), not any(c in text for c in "\u017f\u212a\u0130")  # letters that match others without case
+                for s, p, c, k, needed in compiled:
+                    if not (plain and needed) or any(w in low for w in needed):
+                        out += [(doc, s, m.start(), m.end(), c, m[0].strip(), k) for m in p.finditer(text)]
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -52,8 +82,8 @@ def resolve_boundaries(matches: DataFrame, near: int = 40) -> DataFrame:
     kind = "array<struct<priority:int,start:int,end:int,section:string,score:double,marker:string>>"
     row = F.struct("priority", "start", "end", "section", "score", "marker")
     none = F.array().cast(kind)
-    free = F.aggregate(F.array_sort(F.collect_list(row)), none, lambda kept, x: F.when(F.exists(kept, lambda k: (x["start"] < k["end"]) & (x["end"] > k["start"])), kept).otherwise(F.array_append(kept, x)))
-    by_start = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["priority"].alias("priority"), x["section"].alias("section"), x["score"].alias("score"), x["marker"].alias("marker"))))
+    free = F.aggregate(F.sort_array(F.collect_list(row)), none, lambda kept, x: F.when(F.exists(kept, lambda k: (x["start"] < k["end"]) & (x["end"] > k["start"])), kept).otherwise(F.array_append(kept, x)))
+    by_start = lambda a: F.sort_array(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["priority"].alias("priority"), x["section"].alias("section"), x["score"].alias("score"), x["marker"].alias("marker"))))
     one = matches.groupBy("doc_id").agg(free.alias("kept")).withColumn("kept", by_start(F.col("kept")))
     zero = F.array().cast("array<struct<start:int,end:int,priority:int,section:string,score:double,marker:string>>")
     last = lambda kept: F.try_element_at(kept, F.lit(-1))
@@ -73,7 +103,7 @@ def slice_sections(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "section", "start", "score", body.alias("body")).where("body <> ''")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("start")))
     score = F.max(F.when(F.col("k") == 1, F.col("score")).otherwise(F.col("score") - 0.05))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "body")))
+    ordered = F.sort_array(F.collect_list(F.struct("start", "body")))
     return rows.groupBy("doc_id", "section").agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n").alias("text"), score.alias("confidence"))
 
 
@@ -103,7 +133,7 @@ def header_and_parties(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     header = F.when(named, header).otherwise(F.trim(F.array_join(F.slice(F.split(header, "\n"), 1, 20), "\n"), F.lit(" \n")))
     t = t.withColumn("header", header)
     score = F.least(F.lit(0.95), 0.45 + F.when(F.col("header").rlike(rules.CASE_HEADER), 0.30).otherwise(0.0) + F.when(F.col("header").rlike(rules.HEADER_DATE), 0.15).otherwise(0.0) + F.when(F.col("header").rlike(rules.HEADER_JUDGE), 0.10).otherwise(0.0))
-    heads = t.where("header <> ''").select("doc_id", F.explode(F.array(F.lit("HEADER"), F.lit("CASE_HEADER"))).alias("section"), F.col("header").alias("text"), F.round(score, 6).alias("confidence"))
+    heads = t.where("header <> ''").withColumn("confidence", F.round(score, 6)).select("doc_id", F.explode(F.array(F.lit("HEADER"), F.lit("CASE_HEADER"))).alias("section"), F.col("header").alias("text"), "confidence")
     lines = F.transform(F.filter(F.split(F.substring("text", 1, 5000), "\n"), lambda s: s.rlike(rules.PARTY_LINE)), lambda s: F.trim(s))
     parties = docs.select("doc_id", F.array_join(F.slice(tx.unique_by_lower(lines), 1, 20), "\n").alias("text")).where("text <> ''")
     return heads.unionByName(parties.select("doc_id", F.lit("PARTIES").alias("section"), "text", F.lit(0.82).alias("confidence")))
@@ -112,8 +142,10 @@ def header_and_parties(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
 def augment_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents without SECTION_ANALYSIS or PUBLIC_INTEREST get snippets around the mentions."""
     mentions = F.slice(F.transform(F.regexp_extract_all("text", F.lit(rules.SECTION_MENTION), 0), lambda s: F.trim(s)), 1, 8)
-    window = F.trim(F.regexp_extract("text", rules.PUBLIC_INTEREST_WINDOW, 0), F.lit(" \n"))
-    new = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("SECTION_ANALYSIS").alias("section"), F.array_join(mentions, "\n\n").alias("text"), F.lit(0.62).alias("confidence")), F.struct(F.lit("PUBLIC_INTEREST").alias("section"), window.alias("text"), F.lit(0.68).alias("confidence")))).alias("s")).select("doc_id", "s.*").where("text <> ''")
+    # the window's free start makes its search dear, so it is for texts with the words alone
+    window = F.when(F.col("text").rlike(rules.PUBLIC_INTEREST), F.trim(F.regexp_extract("text", rules.PUBLIC_INTEREST_WINDOW, 0), F.lit(" \n"))).otherwise("")
+    snippets = F.array(F.struct(F.lit("SECTION_ANALYSIS").alias("section"), F.array_join(mentions, "\n\n").alias("text"), F.lit(0.62).alias("confidence")), F.struct(F.lit("PUBLIC_INTEREST").alias("section"), window.alias("text"), F.lit(0.68).alias("confidence")))
+    new = docs.select("doc_id", F.explode(snippets).alias("s")).select("doc_id", "s.*").where("text <> ''")
     return sections.unionByName(new.join(sections.where("text <> ''").select("doc_id", "section"), ["doc_id", "section"], "left_anti").select(*sections.columns))
 
 
@@ -126,12 +158,19 @@ def fallback_section(docs: DataFrame, sections: DataFrame, core=rules.CORE_SECTI
 
 def segment(docs: DataFrame, patterns=rules.BOUNDARY_PATTERNS) -> DataFrame:
     """documents (doc_id, text) to sections, by all steps in order."""
-    clean = normalized(docs)
-    path = scratch(docs.sparkSession, "boundaries")
-    resolve_boundaries(find_boundaries(clean, patterns)).write.parquet(path)
-    bounds = docs.sparkSession.read.parquet(path)
-    sections = sync_aliases(slice_sections(clean, bounds)).unionByName(dates_table(clean)).unionByName(header_and_parties(clean, bounds))
-    return fallback_section(clean, augment_sections(clean, sections))
+    spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """df, written: several of the steps that follow read it."""
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    clean = kept(normalized(docs), "clean")
+    bounds = kept(resolve_boundaries(find_boundaries(clean, patterns)), "boundaries")
+    sliced = kept(slice_sections(clean, bounds), "slices")
+    sections = kept(sync_aliases(sliced).unionByName(dates_table(clean)).unionByName(header_and_parties(clean, bounds)), "sections")
+    return fallback_section(clean, kept(augment_sections(clean, sections), "augmented"))
 
 
 def labelled_blocks(docs: DataFrame, markers=rules.LABELLED_BLOCKS) -> DataFrame:
