@@ -5,8 +5,8 @@ of documents. The reduction and the best-fit rules work on that histogram with m
 row of a plan. Documents then find their bin by the rank of their piece among the pieces of its length, which Spark
 computes by counts of partitions and a local rank.
 
-Defined cases: null or empty texts have only their end id and make one piece; rows that repeat a doc_id are packed each;
-an empty table gives no pieces; other columns are not read.
+Defined cases: null or empty texts have only their end id and make one piece; rows that repeat a doc_id, or have none, are
+packed each; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations

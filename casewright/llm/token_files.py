@@ -11,7 +11,8 @@ Every block decodes by itself, so readers work in parallel; inside a block, LANE
 i mod lanes), and a checkpoint every CHECK rounds lets a reader start there.
 
 Defined cases: null or empty texts have only their end id; rows that repeat a doc_id stay separate rows, ordered by text;
-an empty table gives no blocks; other columns are not read.
+rows without a doc_id come first; a text of any length may fill several blocks' worth of ids and stays in one; an empty
+table gives no blocks; other columns are not read.
 """
 
 from __future__ import annotations

@@ -276,6 +276,9 @@ def test_quality_of_odd_rows(spark):
     got = out.collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r[score] <= 1 for r in got)
     assert quality.classify(df.limit(0), labels)[0].count() == 0
+    odd = spark.createDataFrame([(k, f"some words here {k} and there", 0.5, "x", [1.0]) for k in range(20)] + [(99, "w " * 700_000, 0.1, "y", None)], "doc_id long, text string, _score double, _statistics string, x array<double>")
+    out, score = quality.classify(odd, spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int"))
+    assert score not in odd.columns and out.columns[:5] == odd.columns and all(0 <= r[score] <= 1 for r in out.collect()) and out.count() == 21
     out, score = quality.classify(df, labels.limit(0))
     assert out.count() == len(TEXTS) + 2
     x = quality.statistics(*__import__("casewright.llm.textblocks", fromlist=["x"]).text_bytes(pa.array(["", None, "a"])))

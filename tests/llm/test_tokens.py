@@ -67,7 +67,25 @@ def test_token_files_of_odd_rows(spark):
         assert sum(len(x) for *_, x in got) == (got[-1][1] + len(got[-1][2]) if got else 0)
 
 
-def check_packing(rows, got, capacity, end):
+def test_rows_without_an_id_and_a_very_long_text(spark):
+    rows = [(None, "no id"), (None, None), (4, "word " * 300_000), (-2**63, "least"), (2**63 - 1, "last"), (None, "also none")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, doc_ids string")
+    paths = token_files.write_token_files(df, tempfile.mkdtemp(prefix="spark-") + "/t", public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = sorted(((r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read_token_files(spark, *paths).collect()), key=lambda r: r[1])
+    named = [(i, x) for i, _, x in want_rows([r for r in rows if r[0] is not None], "word_bpe_49k.json", 2)]
+    unnamed = [x for _, _, x in want_rows([(0, t) for i, t in rows if i is None], "word_bpe_49k.json", 2)]
+    assert [i for i, *_ in got[:3]] == [None] * 3 and sorted(x for *_, x in got[:3]) == sorted(unnamed) and [(i, x) for i, _, x in got[3:]] == named
+    assert [s for _, s, _ in got] == [sum(len(x) for *_, x in got[:k]) for k in range(len(got))]
+    pieces = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    check_packing([r for r in rows if r[0] is not None], [r for r in pieces if r.doc_id is not None], 2048, 0, gapless=False)
+    assert sum(r.doc_id is None for r in pieces) == 3
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for p, n in x if p < o) for x in places.values() for o, _ in x)
+
+
+def check_packing(rows, got, capacity, end, gapless=True):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, end] for i, t in rows}
     by_doc, by_bin = defaultdict(list), defaultdict(list)
@@ -84,8 +102,8 @@ def check_packing(rows, got, capacity, end):
     for places in by_bin.values():
         at = 0
         for offset, length in sorted(places):
-            assert offset == at
-            at += length
+            assert offset == at or not gapless
+            at = offset + length
         assert at <= capacity
     return len(by_bin), -(-sum(map(len, ids.values())) // capacity)
 
