@@ -93,8 +93,8 @@ def _dot(a: Column, b: Column) -> Column:
 VECTORS = 2048  # vectors in a block
 
 
-def _nearest(k: int):
-    """Blocks of queries and vectors to the k nearest of each query by cosine, clamped to 0..1; equal ones by the smaller id."""
+def _nearest(k: int, least: float):
+    """Blocks of queries and vectors to the k nearest of each query by cosine, of `least` at least; equal ones by the smaller id."""
     import numpy as np
     import pyarrow as pa
 
@@ -113,7 +113,7 @@ def _nearest(k: int):
                         score = np.nan_to_num((q @ c.T) / np.outer(qn, cn), nan=0.0)
                 else:
                     score = np.zeros((len(q), len(c)))
-                score = np.clip(score, 0.0, 1.0)
+                score = np.clip(score, least, 1.0)
                 order = np.argsort(np.argsort(c_ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
                 best = np.stack([np.lexsort((order, -np.round(s, 9)))[:k] for s in score]) if len(q) else np.zeros((0, 0), int)
                 row = np.repeat(np.arange(len(q)), best.shape[1])
@@ -122,8 +122,8 @@ def _nearest(k: int):
     return run
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """queries and vectors (chunk_id, embedding): the k nearest by cosine, as a score clamped to 0..1.
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+    """queries and vectors (chunk_id, embedding): the k nearest by cosine, as a score clamped to least..1.
 
     The query set meets the vectors in blocks of VECTORS each, as matrix products; their number grows with the vectors. A
     vector that is null, holds a null or a not-number, or has another length than the query scores 0.
@@ -139,7 +139,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
     q, _ = blocks(queries, "query_id", "q")
     q = q.select("qi", "qe", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": vectors.schema["chunk_id"].dataType.simpleString()}
-    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(_nearest(k), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
+    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(_nearest(k, least), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
     return top(cut, "vector_score", k)
 
 
@@ -282,6 +282,26 @@ def statute_search(queries: DataFrame, sections: DataFrame, k: int = 3) -> DataF
     return best.unionByName(rest.select(*best.columns))
 
 
+def statute_search_dense(queries: DataFrame, sections: DataFrame, k: int = 3) -> DataFrame:
+    """queries (query_id, text, embedding) to the k sections nearest by cosine; .15 more, up to .99, for a section the text names.
+
+    sections (section_number, position, embedding) are a statute, so their numbers travel as one array beside each query.
+    The best k are among the k nearest and the named ones, whose scores only rise.
+    """
+    table = sections.agg(F.sort_array(F.collect_list(F.struct("section_number", "position", "embedding"))).alias("table"))
+    held = F.filter("table", lambda s: F.contains(F.col("low"), F.replace(F.lower(s["section_number"]), F.lit("section "), F.lit(""))))
+    low = queries.select("query_id", "embedding", F.lower("text").alias("low"))
+    named = low.join(F.broadcast(table)).withColumn("held", held).select("query_id", "embedding", F.explode("held").alias("s")).select("query_id", "embedding", "s.section_number", "s.position", F.col("s.embedding").alias("own"))  # table is one row
+    norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(_dot(F.col("own"), F.col("own")))
+    cosine = F.coalesce(F.try_divide(_dot(F.col("embedding"), F.col("own")), norm), F.lit(0.0))
+    named = named.select("query_id", "section_number", "position", F.least(F.lit(0.99), cosine + 0.15).alias("score"))
+    near = cosine_topk(queries, sections.select(F.col("position").alias("chunk_id"), "embedding"), k, -1.0).select("query_id", F.col("chunk_id").alias("position"), F.col("vector_score").alias("score"))
+    near = near.join(sections.select("section_number", "position"), "position").join(named, ["query_id", "section_number"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "position")
+    out = named.unionByName(near.select(*named.columns)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", "section_number", F.round("score", 4).alias("score"), "rank")
+
+
 def section_browse(sections: DataFrame, needle: str) -> DataFrame:
     """Sections that hold the needle in a column or keyword, grouped by module (General if none)."""
     low = needle.lower()

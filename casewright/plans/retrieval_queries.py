@@ -163,9 +163,25 @@ def r14_statute_search(spark, sf):
     return r.statute_search(q, _statutes(spark, sf)).select("query_id", "section_number", F.round("score", 6).alias("score"), "rank")
 
 
+@query("""WITH q AS (SELECT doc_id AS query_id, lower(coalesce(text, '')) AS t, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+s AS (SELECT CAST(item_id AS VARCHAR) AS section_number, CAST(item_id + 1 AS INTEGER) AS position, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON item_id = vec_id),
+c AS (SELECT query_id, section_number, position, contains(t, section_number) AS named, greatest(-1, least(1, coalesce(list_cosine_similarity(q.e, s.e), 0))) AS sim FROM q, s),
+k AS (SELECT *, CASE WHEN named THEN least(0.99, sim + 0.15) ELSE sim END AS score FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position) AS rank FROM k)
+SELECT query_id, section_number, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 3""")
+def r14_statute_search_dense(spark, sf):
+    """Documents with vectors against the benchmark's items as sections, each with the vector of its number."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    queries = view(spark, sf, "docs").join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), "embedding")
+    sections = _statutes(spark, sf).join(v, F.col("section_number").cast("long") == F.col("vec_id")).select("section_number", "position", "embedding")
+    return r.statute_search_dense(queries, sections)
+
+
 @query()
 def r15_pack_context(spark, sf):
-    return r.pack_context(view(spark, sf, "hits")).withColumn("rrf_score", F.round("rrf_score", 6))
+    """The best hits of a search for every benchmark item over all documents, packed."""
+    chunks = view(spark, sf, "chunks")
+    hits = r.normalize_hits(r.bm25_search(view(spark, sf, "queries"), r.bm25_stats(chunks)), "bm25_score").join(chunks, "chunk_id")
+    return r.pack_context(hits).withColumn("rrf_score", F.round("rrf_score", 6))
 
 
 @query(ctes("hits") + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, case_number ORDER BY rank, chunk_id) AS k FROM v_hits WHERE source = 'CIC'), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM f WHERE k = 1)
