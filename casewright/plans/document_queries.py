@@ -291,7 +291,28 @@ def g10_segmentation_coverage(spark, sf):
 _D = ctes("decision_docs")
 
 
-@query(_D + " SELECT doc_id, 'CIC/DEPT/A/2024/' || CAST(1000 + doc_id AS VARCHAR) AS case_number FROM v_decision_docs")
+# letters outside ASCII as _, which ends no word and is in no pattern
+_WORDLIKE = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', '!', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
+def _first_seen(values):
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+def _sql(pattern):
+    return pattern.replace("'", "''")
+
+
+def _dated(label):
+    found = f"regexp_extract(text, '(?is)(?:{label})\\s*:?\\s*({rules.DATE}|Not\\s+on\\s+Record)', 1)"
+    return f"CAST(try_strptime({found}, ['%Y-%m-%d', '%d.%m.%Y', '%d/%m/%Y', '%d-%m-%Y']) AS DATE)"
+
+
+_STRICT = f"nullif(upper(regexp_replace(regexp_replace(regexp_replace(regexp_extract({_WORDLIKE}, '{rules.CASE_NUMBER}', 0), '[_-]+', '/', 'g'), '/+', '/', 'g'), '^/|/$', '', 'g')), '')"
+_CITED = f"list_transform(regexp_extract_all({_WORDLIKE}, '{rules.CITATION.replace('(?=', '(?:')}', 1), lambda s: lower(regexp_replace(s, '\\s+', '', 'g')))"
+
+
+@query(_D + f" SELECT doc_id, coalesce({_STRICT}, 'UNKNOWN') AS case_number FROM v_decision_docs")
 def e1_case_number(spark, sf):
     return view(spark, sf, "decision_docs").select("doc_id", extraction.case_number(F.col("text")).alias("case_number"))
 
@@ -304,29 +325,34 @@ def e2_normalize_date(spark, sf):
     return view(spark, sf, "docs").select("doc_id", tx.normalize_date(long_form).alias("long_form"), tx.normalize_date(F.concat_ws(".", d, m, y)).alias("short_form"), tx.normalize_date(F.concat(F.lit("41/13/"), y)).alias("bad"))
 
 
-@query(_D + " SELECT doc_id, make_date(2025, 4, CAST(1 + doc_id % 28 AS INTEGER)) AS decision_date, make_date(2025, 3, CAST(1 + doc_id % 28 AS INTEGER)) AS hearing_date, CAST(NULL AS DATE) AS first_appeal_date FROM v_decision_docs")
+@query(_D + f" SELECT doc_id, {_dated('Date\\s+of\\s+Decision|Decision\\s+Date')} AS decision_date, {_dated('Date\\s+of\\s+hearing|Hearing\\s+date')} AS hearing_date, {_dated('First\\s+Appeal')} AS first_appeal_date FROM v_decision_docs")
 def e3_labelled_dates(spark, sf):
     return extraction.labelled_dates(view(spark, sf, "decision_docs")).select("doc_id", "decision_date", "hearing_date", "first_appeal_date")
 
 
-@query(_D + " SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN ['8(1)(j)', '10', '20(1)'] ELSE ['8(1)(j)', '10'] END AS cited, ['8(1)(j)'] AS exempt FROM v_decision_docs")
+@query(_D + f", c AS (SELECT doc_id, {_CITED} AS l FROM v_decision_docs), u AS (SELECT doc_id, {_first_seen('l')} AS cited FROM c) SELECT doc_id, cited, list_filter(cited, lambda x: regexp_matches(x, '{rules.EXEMPTION_PREFIX}')) AS exempt FROM u")
 def e4_section_citations(spark, sf):
     cited = extraction.citations(F.col("text"))
     return view(spark, sf, "decision_docs").select("doc_id", cited.alias("cited"), extraction.exemptions(cited).alias("exempt"))
 
 
-@query(_D + " SELECT doc_id, doc_id % 4 = 3 AS imposed, CASE WHEN doc_id % 4 = 3 THEN 25000 END::BIGINT AS amount FROM v_decision_docs")
+@query(_D + f", a AS (SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '{rules.AMOUNT}', 1), ',', '') AS BIGINT) AS amount FROM v_decision_docs) SELECT doc_id, coalesce(amount, 0) > 0 AS imposed, amount FROM a")
 def e5_penalty(spark, sf):
     imposed, amount = extraction.penalty(F.lit(""), F.col("text"))
     return view(spark, sf, "decision_docs").select("doc_id", imposed.alias("imposed"), amount.alias("amount"))
 
 
-@query(_D + " SELECT d.doc_id, 'A' || CAST(d.doc_id AS VARCHAR) AS appellant, 'Department of Records ' || lang AS respondent FROM v_decision_docs d JOIN documents USING (doc_id)")
+def _party(label):
+    return f"regexp_replace(regexp_extract(text, '(?im)^\\s*{label}\\s*[:\\-]\\s*(.+)$', 1), '^[ .,:;\\-]+|[ .,:;\\-]+$', '', 'g')"
+
+
+@query(_D + f" SELECT doc_id, {_party('appellant')} AS appellant, {_party('respondent')} AS respondent FROM v_decision_docs")
 def e6_named_parties(spark, sf):
     return extraction.named_parties(view(spark, sf, "decision_docs")).select("doc_id", "appellant", "respondent")
 
 
-@query(_D + " SELECT doc_id, 'CIC' AS source, 'Central Information Commission' AS commission FROM v_decision_docs")
+@query(_D + r""" SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)Central\s+Information\s+Commission|\bCIC/') THEN 'CIC' WHEN regexp_matches(text, '(?i)State\s+Information\s+Commission|\bSIC/') THEN 'SIC' WHEN regexp_matches(text, '(?i)High\s+Court|Supreme\s+Court') THEN 'COURT' WHEN regexp_matches(text, '(?i)circular|office memorandum|guidelines') THEN 'CIRCULAR' ELSE 'CIC' END AS source,
+CASE WHEN regexp_matches(text, '(?i)Central\s+Information\s+Commission') THEN 'Central Information Commission' WHEN regexp_matches(text, '(?i)State\s+Information\s+Commission') THEN 'State Information Commission' END AS commission FROM v_decision_docs""")
 def e7_source_and_commission(spark, sf):
     return view(spark, sf, "decision_docs").select("doc_id", extraction.source_of(F.col("text")).alias("source"), extraction.commission_of(F.col("text")).alias("commission"))
 
@@ -366,7 +392,13 @@ def e11_requested_items(spark, sf):
     return view(spark, sf, "decision_docs").select("doc_id", extraction.requested_items(F.col("text")).alias("items"))
 
 
-@query(_D + " SELECT doc_id, ['High Court of Delhi'] AS courts, ['Circular No. 5/2020'] AS circulars FROM v_decision_docs")
+def _cited(pattern):
+    text = _WORDLIKE.replace("(text,", "('the High Court of Delhi, Circular No. 5/2020, and so on' || chr(10) || text,")
+    found = f"list_transform(regexp_extract_all({text}, '{_sql(pattern)}'), lambda s: {_SQUEEZE.format(c='s')})"
+    return f"list_filter({_first_seen(found)}, lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, {_cited(rules.COURTS)} AS courts, {_cited(rules.CIRCULARS)} AS circulars FROM documents")
 def e12_references(spark, sf):
     t = F.concat(F.lit("the High Court of Delhi, Circular No. 5/2020, and so on\n"), "text")
     return view(spark, sf, "docs").select("doc_id", extraction.references(t, rules.COURTS).alias("courts"), extraction.references(t, rules.CIRCULARS).alias("circulars"))
