@@ -43,7 +43,7 @@ def test_rounding_half_to_even(spark):
 
 def test_tokens_keep_references_and_case_numbers(spark):
     got = value(spark, tx.legal_tokens, "The file noting, Section 8 (1) (j) of CIC/ABC/A/2024/12 is-it?")
-    assert got == ["8(1)(j)", "cic/abc/a/2024/12", "cic", "abc", "a", "2024", "12", "file", "noting"] or "a" not in got
+    assert set(got) == {"8(1)(j)", "cic/abc/a/2024/12", "cic", "abc", "2024", "12", "file", "noting"}, got  # "a" is no word to search for
     assert got[0] == "8(1)(j)" and "cic/abc/a/2024/12" in got and "the" not in got
 
 
