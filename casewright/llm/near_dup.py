@@ -11,6 +11,9 @@
    differences have a large enough common part. A prefix filter makes the pairs that can have it, and they are checked as
    in 3. So no link between bucket neighbours is lost, and copies that differ each in its own way make no pairs.
 
+Working tables are written, so Spark knows their sizes: it broadcasts what is under its threshold
+(spark.sql.autoBroadcastJoinThreshold) and joins the rest by shuffle.
+
 Defined cases: null, empty or blank texts have no shingles, are linked with nothing and form their own component; a
 text with fewer words than a shingle is one shingle; rows that repeat a doc_id share one component; rows without a
 doc_id are linked with nothing: their class and component are null, they are kept, and `drop_near_duplicates` leaves all
@@ -30,7 +33,6 @@ from casewright.llm.work import Work, read
 U = np.uint64
 WORD = ~tb.byte_set((0x20, 0x20), (0x09, 0x0D))
 SHINGLE, BANDS, ROWS = 5, 24, 4
-BROADCAST_IDS = 1 << 20  # a list of so many ids at most (8 MB) is broadcast; a longer one is joined by shuffle
 NEAR, ROUNDS = 0.5, 3  # a bucket's member so alike to its pivot is settled in the pivot's group; pivots of a bucket at most
 SLACK = 0.2  # minima may agree that much less often than the threshold: over five standard deviations of 96 minima
 
@@ -136,18 +138,13 @@ def _confirming(size: int, num: int, den: int):
     return keep
 
 
-def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of df whose doc_id is among n ids; a short list is broadcast."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
 def _sides(work: Work, table: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with the column of both ends, as x and y."""
     ids = work.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    some = _only(table.select("doc_id", column), ids, ids.count())
+    some = table.select("doc_id", column).join(ids, "doc_id", "left_semi")
     x = some.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
     y = some.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
 
 def _links(work: Work, docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -171,9 +168,9 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
             break  # every node hangs on one root and no root hangs: both steps would change nothing
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = work.table(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = work.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = work.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        hung = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = work.table(hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
     roots = edges.select(F.col("v").alias("doc_id")).distinct()
     return work.table(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(roots.select("doc_id", F.col("doc_id").alias("component"))), "components")
@@ -202,15 +199,15 @@ def _groups(work: Work, docs: DataFrame, weighed: DataFrame, first: DataFrame, f
     others take a further pivot among themselves, ROUNDS times. A link is no longer than 1 - num/den, so whoever is linked
     with a settled member is near enough to that pivot to be in its group too. The last pivot keeps everybody.
     """
-    placed = weighed.join(found.hint("merge"), "doc_id", "left").select("doc_id", "key", "weight", F.coalesce("component", "doc_id").alias("component"))
+    placed = weighed.join(found, "doc_id", "left").select("doc_id", "key", "weight", F.coalesce("component", "doc_id").alias("component"))
     now, pivots, groups = placed, first, None
     for k in range(ROUNDS):
         several = work.table(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
         if several.isEmpty():
             break
-        now = work.table(now.join(several.hint("merge"), "key"), "members-open")
+        now = work.table(now.join(several, "key"), "members-open")
         pivots = pivots or now.groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot"))
-        now = work.table(now.join(pivots.hint("merge"), "key"), "led")
+        now = work.table(now.join(pivots, "key"), "led")
         pairs = work.table(now.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "open-pairs")
         related = _sides(work, docs.where("text is not null"), "text", pairs).mapInArrow(_relating(size), "doc_id long, pivot long, size long, pivot_size long, delta array<long>")
         both = F.col("size") + F.col("pivot_size")
@@ -221,7 +218,7 @@ def _groups(work: Work, docs: DataFrame, weighed: DataFrame, first: DataFrame, f
         if last or related.where(F.col("alike") < NEAR).isEmpty():
             break
         far = related.where(F.col("alike") < NEAR).select("doc_id", "pivot")
-        now, pivots = now.join(far.hint("merge"), ["doc_id", "pivot"], "left_semi").drop("pivot"), None
+        now, pivots = now.join(far, ["doc_id", "pivot"], "left_semi").drop("pivot"), None
     return groups and groups.drop("alike")
 
 
@@ -244,34 +241,34 @@ def _rest(work: Work, docs: DataFrame, weighed: DataFrame, pivots: DataFrame, fo
     total = related.groupBy("pivot").agg(F.count("*").alias("g"))
     counted = related.select("pivot", F.explode("delta").alias("member")).groupBy("pivot", "member").agg(F.count("*").alias("n"))
     # a pivot's flips are in more than half of the deltas, so they are fewer than two texts have words
-    flips = work.table(counted.join(total.hint("merge"), "pivot").where("2 * n > g").groupBy("pivot").agg(F.collect_list("member").alias("flips")), "flips")
+    flips = work.table(counted.join(total, "pivot").where("2 * n > g").groupBy("pivot").agg(F.collect_list("member").alias("flips")), "flips")
     moved = F.when(F.col("flips").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "flips"), F.array_except("flips", "delta")))
-    deltas = related.join(flips.hint("merge"), "pivot", "left").withColumn("delta", moved)
+    deltas = related.join(flips, "pivot", "left").withColumn("delta", moved)
     deltas = work.table(deltas.select("pivot", "doc_id", "size", "delta", "linked", (k * F.size("delta") - d * F.col("size")).cast("long").alias("h")), "deltas")
     least = work.table(deltas.groupBy("pivot").agg(F.min(F.struct("h", "doc_id")).alias("least")).select("pivot", F.col("least.h").alias("h0"), F.col("least.doc_id").alias("y0")), "middles")
-    near = deltas.select("pivot", "doc_id", "h").join(least.hint("merge"), "pivot").where("h + h0 <= 0 and doc_id <> y0").select(F.col("y0").alias("a"), F.col("doc_id").alias("b"))
+    near = deltas.select("pivot", "doc_id", "h").join(least, "pivot").where("h + h0 <= 0 and doc_id <> y0").select(F.col("y0").alias("a"), F.col("doc_id").alias("b"))
     star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
     found = components(work, star.union(near).union(deltas.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))))
 
     of = found.withColumnRenamed("doc_id", "d")
-    deltas = deltas.join(of.hint("merge"), F.col("doc_id") == F.col("d"), "left").select("pivot", "doc_id", "size", "delta", "h", F.coalesce("component", "doc_id").alias("component"))
+    deltas = deltas.join(of, F.col("doc_id") == F.col("d"), "left").select("pivot", "doc_id", "size", "delta", "h", F.coalesce("component", "doc_id").alias("component"))
     deltas = work.table(deltas, "placed")
     sizes = deltas.groupBy("pivot", "component").agg(F.count("*").alias("n"), F.min("h").alias("h"))
     order = Window.partitionBy("pivot").orderBy(F.desc("n"), "component")
     ordered = sizes.withColumn("k", F.row_number().over(order))
     mains = ordered.groupBy("pivot").agg(F.max(F.when(F.col("k") == 1, F.col("component"))).alias("main"), F.min("h").alias("h0"), F.min(F.when(F.col("k") > 1, F.col("h"))).alias("h1")).where("h1 is not null")
     mains = work.table(mains, "mains")
-    members = work.table(deltas.join(mains.hint("merge"), "pivot").select("pivot", "doc_id", "component", "size", "h", "h0", "h1", (F.col("component") == F.col("main")).alias("in_main"), F.explode("delta").alias("member")), "members")
+    members = work.table(deltas.join(mains, "pivot").select("pivot", "doc_id", "component", "size", "h", "h0", "h1", (F.col("component") == F.col("main")).alias("in_main"), F.explode("delta").alias("member")), "members")
     counted = work.table(members.groupBy("pivot", "member").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     mine = Window.partitionBy("pivot", "doc_id")
-    ranked = members.join(counted.hint("merge"), ["pivot", "member"]).withColumn("place", F.row_number().over(mine.orderBy("n", "member"))).withColumn("left", F.count("*").over(mine) - F.col("place") + 1)
+    ranked = members.join(counted, ["pivot", "member"]).withColumn("place", F.row_number().over(mine.orderBy("n", "member"))).withColumn("left", F.count("*").over(mine) - F.col("place") + 1)
     # `left` members of D, this one included, can still be common; h0 is the least h of a group, h1 of those outside its main component
     ranked = work.table(ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h0")).drop("n", "place", "h0"), "prefixes")
     x, y = ranked.where("not in_main").alias("x"), ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h1")).alias("y")
     apart = F.col("x.component") != F.col("y.component")
     alike = (F.least("x.size", "y.size") * den) >= (F.greatest("x.size", "y.size") * num)
     enough = 2 * k * F.least("x.left", "y.left") >= F.col("x.h") + F.col("y.h")
-    sharing = x.join(y.hint("merge"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike & enough)
+    sharing = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike & enough)
     return found, sharing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
@@ -291,12 +288,12 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     heads = full.join(copies, ["key1", "key2"], "left").where("class_id is null or class_id = doc_id")
     members = heads.select("doc_id", F.explode("bands").alias("key"))
     sizes = work.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "n"), "buckets")
-    crowd = work.table(members.select("doc_id", "key").join(sizes.hint("merge"), "key"), "crowd")
+    crowd = work.table(members.join(sizes, "key").select("doc_id", "key", "n"), "crowd")
     # a document that meets many others over all its bands is near the middle of its family
-    central = work.table(crowd.groupBy("doc_id").agg((F.sum("n") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("weight")), "central")
-    weighed = work.table(crowd.join(central.hint("merge"), "doc_id").select("doc_id", "key", "weight"), "weighed")
+    central = crowd.groupBy("doc_id").agg((F.sum("n") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("weight"))
+    weighed = work.table(crowd.join(central, "doc_id").select("doc_id", "key", "weight"), "weighed")
     pivots = work.table(weighed.groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot")), "pivots")
-    shared = work.table(weighed.select("doc_id", "key").join(pivots.hint("merge"), "key"), "shared")
+    shared = work.table(weighed.select("doc_id", "key").join(pivots, "key"), "shared")
     pairs = work.table(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = _links(work, docs, signed, pairs, size, num, den)
     found = components(work, links)
@@ -307,7 +304,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
         star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
         found = components(work, star.union(more))
     return (
-        base.join(found.withColumnRenamed("doc_id", "class_id").hint("merge"), "class_id", "left")
+        base.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
