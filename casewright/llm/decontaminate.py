@@ -26,7 +26,7 @@ from casewright.llm import textblocks as tb
 from casewright.llm.work import Work, fresh, read
 
 WINDOW = 10
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20  # of training text in a block, of benchmark text in a slice
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20  # of training text in a block, of benchmark text in a slice
 WORD = tb.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
