@@ -166,7 +166,8 @@ def segment(docs: DataFrame, patterns=rules.BOUNDARY_PATTERNS) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    clean = kept(normalized(docs), "clean")
+    # dozens of searches of every text cost far more than dealing the texts out evenly, whatever files they came in
+    clean = kept(normalized(docs).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"), "clean")
     bounds = kept(resolve_boundaries(find_boundaries(clean, patterns)), "boundaries")
     sliced = kept(slice_sections(clean, bounds), "slices")
     sections = kept(sync_aliases(sliced).unionByName(dates_table(clean)).unionByName(header_and_parties(clean, bounds)), "sections")
