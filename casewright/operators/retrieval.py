@@ -36,7 +36,9 @@ class LexicalIndex:
 def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
     """Postings, written once; terms and the averages come from them. A negative idf becomes EPSILON times the mean idf."""
     spark = chunks.sparkSession
-    tokens = chunks.select("chunk_id", tx.legal_tokens(F.col(text)).alias("tokens"))
+    # a text is smaller than its postings, and dealing texts out evenly keeps large files from being one task's work
+    even = chunks.select("chunk_id", text).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    tokens = even.select("chunk_id", tx.legal_tokens(F.col(text)).alias("tokens"))
     made = tokens.withColumn("length", F.size("tokens")).select("chunk_id", "length", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
     path = scratch(spark, "postings")
     made.write.parquet(path)
