@@ -1,7 +1,7 @@
 """The registered queries of this package and their SQL."""
 
 import corpus_pipeline
-from casewright.llm import chat, decontaminate, hard_negatives, near_dup, packing, quality, sharding, substrings, token_files, topk, url_filter
+from casewright.llm import chat, decontaminate, hard_negatives, near_dup, packing, quality, sharding, spelling, substrings, token_files, topk, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
