@@ -1,7 +1,7 @@
 """The registered queries of this package and their SQL."""
 
 import corpus_pipeline
-from casewright.llm import chat, decontaminate, hard_negatives, near_dup, packing, quality, sharding, spelling, substrings, token_files, topk, url_filter
+from casewright.llm import chat, decontaminate, hard_negatives, near_dup, packing, quality, sharding, spelling, substrings, token_files, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
