@@ -206,7 +206,7 @@ class LabelModel:
             for (a, b), cell in cells.items():
                 p = (np.maximum(cell, 0) + 0.25) / (n[y] + 1)
                 left, right = ((one if x else n[y] - one) + 0.5 for x in (a, b))
-                info += n[y] / n.sum() * p * np.log(p * (n[y] + 1) ** 2 / (left[:, None] * right[None, :]))
+                info += n[y] / max(n.sum(), 1) * p * np.log(p * (n[y] + 1) ** 2 / (left[:, None] * right[None, :]))
         # the tree of greatest mutual information, grown from the first voter
         self.parent[:] = -1
         inside, best, to = np.zeros(m, bool), np.full(m, -np.inf), np.zeros(m, np.int64)
