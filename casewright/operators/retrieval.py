@@ -95,21 +95,25 @@ def _dot(a: Column, b: Column) -> Column:
 VECTORS = 2048  # vectors in a block
 
 
-def _nearest(k: int, least: float):
+def nearest_in_blocks(k: int, least: float):
     """Blocks of queries and vectors to the k nearest of each query by cosine, of `least` at least; equal ones by the smaller id."""
     import numpy as np
     import pyarrow as pa
 
-    def matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-        size = max((len(v or []) for v in vectors), default=0)
-        x = np.array([[np.nan if c is None else c for c in v or []] + [np.nan] * (size - len(v or [])) for v in vectors], float).reshape(len(vectors), size)
+    def matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of an Arrow list of vectors, filled up with not-numbers, and their lengths."""
+        offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(float)
+        n = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+        x = np.full((len(n), int(n.max(initial=0))), np.nan)
+        at = np.arange(x.shape[1]) < n[:, None]
+        x[at] = flat[(offsets[:-1, None] + np.arange(x.shape[1]))[at]]
         return x, np.sqrt((x * x).sum(axis=1))
 
     def run(batches):
         for batch in batches:
             for r in range(len(batch)):
                 q_ids, c_ids = batch.column(0)[r].values, batch.column(2)[r].values
-                (q, qn), (c, cn) = matrix(batch.column(1)[r].as_py()), matrix(batch.column(3)[r].as_py())
+                (q, qn), (c, cn) = matrix(batch.column(1)[r].values), matrix(batch.column(3)[r].values)
                 if q.shape[1] == c.shape[1]:
                     with np.errstate(divide="ignore", invalid="ignore"):
                         score = np.nan_to_num((q @ c.T) / np.outer(qn, cn), nan=0.0)
@@ -141,7 +145,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: floa
     q, _ = blocks(queries, "query_id", "q")
     q = q.select("qi", "qe", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": vectors.schema["chunk_id"].dataType.simpleString()}
-    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(_nearest(k, least), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
+    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(nearest_in_blocks(k, least), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
     return top(cut, "vector_score", k)
 
 

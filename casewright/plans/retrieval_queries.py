@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import text as tx
+from casewright.operators import projections
 from casewright.operators import retrieval as r
 from casewright.plans.views import ctes, view
 
@@ -85,6 +86,24 @@ def r6_cosine_topk(spark, sf):
     return hits.select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "rank")
 
 
+@query()
+def r6_projection_topk(spark, sf):
+    """The same by the projection index; tests/test_nearest.py measures its recall against r6_cosine_topk."""
+    queries, vectors = view(spark, sf, "vector_queries"), view(spark, sf, "vectors")
+    index = projections.build_index(vectors)
+    return projections.projection_topk(queries, index, projections.probes_for(queries, vectors, index))
+
+
+@query()
+def r6_projection_recall(spark, sf):
+    """For each query: hits of the exhaustive search, how many the index finds, and the rows it reads."""
+    queries, vectors = view(spark, sf, "vector_queries"), view(spark, sf, "vectors")
+    index = projections.build_index(vectors)
+    probes = projections.probes_for(queries, vectors, index)
+    found = projections.recall(projections.projection_topk(queries, index, probes), r.cosine_topk(queries, vectors))
+    return found.join(projections.read_share(queries, index, probes), "query_id")
+
+
 @query(ctes("chunks") + " SELECT source, chunk_type, CAST(grouping(source) * 2 + grouping(chunk_type) AS BIGINT) AS level, count(*) AS n FROM v_chunks GROUP BY GROUPING SETS ((), (source), (chunk_type))")
 def r7_index_stats(spark, sf):
     return r.index_stats(view(spark, sf, "chunks"))
