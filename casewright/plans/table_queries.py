@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions import text as tx
-from casewright.operators import audit, cases, jobs, ocr_tables, routing
+from casewright.operators import audit, cases, encoders, jobs, ocr_tables, routing
 from casewright.operators import extraction as ex
 from casewright.plans.document_queries import REQUEST_CLASSES
+from casewright.plans.retrieval_queries import _tokens
 from casewright.plans.views import VIEWS, ctes, view
 from casewright.sources import readers, writers
 from casewright.sources.scratch import scratch
@@ -431,6 +432,47 @@ def p1_index_corpus(spark, sf):
     return jobs.run_report(docs, jobs.index_corpus(docs, docs.where("doc_id % 4 = 0").select("doc_id"))).select("doc_id", "status")
 
 
+def refuse_licenses(texts) -> None:
+    """A check that raises on texts with a license line."""
+    import pyarrow.compute as pc
+
+    if pc.any(pc.match_substring(texts, "Licensed under")).as_py():
+        raise ValueError("license line")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'skipped' WHEN contains(coalesce(text, ''), 'Licensed under') THEN 'failed' ELSE 'processed' END AS status,
+CASE WHEN doc_id % 4 <> 0 AND contains(coalesce(text, ''), 'Licensed under') THEN 'ValueError: license line' END AS error, doc_id % 4 <> 0 AND NOT contains(coalesce(text, ''), 'Licensed under') AS has_chunks, true AS all_encoded FROM documents""")
+def p1_index_run(spark, sf):
+    """The index job with a check that refuses some texts inside a task, and hashed vectors of all chunks of the others."""
+    docs = view(spark, sf, "decision_docs")
+    run = jobs.run_index(docs, docs.where("doc_id % 4 = 0").select("doc_id"), encoder=encoders.hashing_encoder(), check=refuse_licenses)
+    return jobs.report_of(docs, run).select("doc_id", "status", "error", (F.col("chunks") > 0).alias("has_chunks"), (F.col("chunks") == F.col("embeddings")).alias("all_encoded"))
+
+
+@query(ctes("docs") + f""", t AS (SELECT doc_id, unnest({_tokens('text')}) AS t FROM v_docs), h AS (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM t),
+w AS (SELECT doc_id, CAST(h % 64 AS INTEGER) AS slot, CAST(sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS w FROM h GROUP BY ALL)
+SELECT doc_id, slot, round(CAST(CAST(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM w WHERE w <> 0""")
+def p1_hashing_vectors(spark, sf):
+    """Hashed vectors of whole texts, slot by slot."""
+    rows = encoders.with_vectors(view(spark, sf, "docs"), encoders.hashing_encoder(64)).where("error is null")
+    return rows.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query(ctes("decision_docs") + """ SELECT 'failed' AS status, count(*) AS documents, 0::BIGINT AS chunks, 0::BIGINT AS embeddings, count(*) AS errors, true AS observed FROM documents WHERE contains(coalesce(text, ''), 'Licensed under')
+UNION ALL SELECT 'processed', count(*), NULL, NULL, 0, true FROM documents WHERE NOT contains(coalesce(text, ''), 'Licensed under')""")
+def m4_index_run(spark, sf):
+    """The summary of an index run by status; observed: the counts taken while writing agree with the tables."""
+    docs = view(spark, sf, "decision_docs")
+    run = jobs.run_index(docs, encoder=encoders.hashing_encoder(), check=refuse_licenses)
+    rows = cases.pipeline_summary(jobs.report_of(docs, run)).where("status <> 'all'")
+    c = run.counts
+    whole = run.chunks.agg(F.count("*").alias("n"), F.count("embedding").alias("e"))
+    agree = (F.col("n") == c["chunks"]) & (F.col("e") == c["embeddings"]) & F.lit(c["chunk_errors"] == 0)
+    own = lambda x: F.when(F.col("status") == "failed", F.col(x))
+    # SQL does not chunk, so the numbers of chunks stay out; whether they agree is told
+    return rows.join(F.broadcast(whole)).select("status", "documents", own("chunks").alias("chunks"), own("embeddings").alias("embeddings"), "errors", agree.alias("observed"))
+
+
 @query("SELECT doc_id FROM documents")
 def p2_index_stream(spark, sf):
     """Decisions that arrive as a stream, indexed once each."""
