@@ -1,13 +1,16 @@
 """Hash-chained audit records and the event logs of cases.
 
-A chain is ordered by (timestamp, audit_id) within its key. Building one is a fold, so a chain is one task's work and
-chains run in parallel; verifying is a window and needs no fold.
+A chain is ordered by (timestamp, audit_id) within its key. Building one is a fold that streams through one task, and chains
+run in parallel; verifying is a window and needs no fold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from casewright.sources.keyed import KeyedTables
 
 GENESIS = "0" * 64
 HASHED = ["audit_id", "timestamp", "raw_input_text", "system_recommended_department", "system_confidence_band", "system_reasoning"]
@@ -19,21 +22,90 @@ def record_hash(previous: Column, get=F.col) -> Column:
 
 
 def chain_append(records: DataFrame, key: str = "chain_key", tail: DataFrame | None = None) -> DataFrame:
-    """records with previous_hash, current_hash and sequence, chained after `tail` (key, last_hash, last_sequence)."""
-    item = F.struct("timestamp", "audit_id", *[c for c in HASHED if c not in ("timestamp", "audit_id")])
-    place = F.row_number().over(Window.partitionBy(key).orderBy(item))
-    chains = records.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    chains = chains.join(tail, key, "left") if tail is not None else chains.withColumn("last_hash", F.lit(None).cast("string")).withColumn("last_sequence", F.lit(None).cast("long"))
-    zero = F.struct(F.coalesce("last_hash", F.lit(GENESIS)).alias("prev"), F.array().cast("array<struct<previous_hash:string,current_hash:string>>").alias("out"))
-
-    def step(acc, x):
-        own = record_hash(acc["prev"], lambda c: x[c])
-        return F.struct(own.alias("prev"), F.array_append(acc["out"], F.struct(acc["prev"].alias("previous_hash"), own.alias("current_hash"))).alias("out"))
-
-    linked = chains.select(key, F.coalesce("last_sequence", F.lit(0)).alias("base"), F.posexplode(F.aggregate("items", zero, step)["out"]).alias("k", "link"))
-    linked = linked.select(key, (F.col("k") + 1).alias("_place"), "link.previous_hash", "link.current_hash", (F.col("base") + F.col("k") + 1).alias("sequence"))
-    # records that repeat, or share an audit_id, are links each: a record finds its own by its place in the chain
-    return records.withColumn("_place", place).join(linked, [key, "_place"]).drop("_place")
+    """records with previous_hash, current_hash and sequence, chained after `tail` (key, last_hash, last_sequence).
+
+    Each hash needs the one before, so a chain is folded in order: rows stream through a task in batches, and what it
+    keeps of a chain is the last hash and sequence. Time and shuffle are linear in the records, memory is a batch.
+
+    Defined cases: a null key is a chain of its own; records that repeat, or share an audit_id, are links each, in the order
+    of all hashed columns; null columns are hashed as empty; an empty table gives no rows.
+    """
+    taken = {c.lower() for c in records.columns}
+    own = [c for c in ("previous_hash", "current_hash", "sequence") if c in taken]
+    rows = records.drop(*own)
+    fields = [F.col(c).cast("string").alias(f"_h{k}") for k, c in enumerate(HASHED)]
+    rows = rows.select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_key"), *fields)
+    if tail is not None:
+        after = tail.select(F.col(key).alias("_k"), "last_hash", "last_sequence")
+        rows = rows.join(after, F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+    else:
+        rows = rows.withColumns({"last_hash": F.lit(None).cast("string"), "last_sequence": F.lit(None).cast("long")})
+    order = ["_h1", "_h0", *[f"_h{k}" for k in range(2, len(HASHED))]]
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", *order)
+
+    def fold(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, previous, sequence, started = None, GENESIS, 0, False
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(1, batch.num_columns)]
+            out: tuple[list, list, list] = ([], [], [])
+            for k, *parts, last_hash, last_sequence in zip(*columns, strict=True):
+                if not started or k != now:
+                    now, previous, sequence, started = k, last_hash or GENESIS, last_sequence or 0, True
+                hashed = hashlib.sha256("|".join([previous, *[p or "" for p in parts]]).encode()).hexdigest()
+                sequence += 1
+                for column, v in zip(out, (previous, hashed, sequence), strict=True):
+                    column.append(v)
+                previous = hashed
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["_row", "previous_hash", "current_hash", "sequence"])
+
+    kind = T.StructType([rows.schema["_row"], T.StructField("previous_hash", T.StringType()), T.StructField("current_hash", T.StringType()), T.StructField("sequence", T.LongType())])
+    return ordered.mapInArrow(fold, kind).select("_row.*", "previous_hash", "current_hash", "sequence")
+
+
+def chain_tails(chained: DataFrame, key: str = "chain_key") -> DataFrame:
+    """(key, last_hash, last_sequence) of each chain."""
+    last = F.max(F.struct("sequence", "current_hash")).alias("last")
+    return chained.groupBy(key).agg(last).select(key, F.col("last.current_hash").alias("last_hash"), F.col("last.sequence").alias("last_sequence"))
+
+
+def chain_batch(records: DataFrame, root: str, source: str, number: int, key: str = "chain_key", buckets: int = 16) -> bool:
+    """Chains one batch after all before it, exactly once: records below root/records, tails in a keyed table.
+
+    Records of earlier batches are not read: a chain goes on from its tail. Only the tails' buckets that the batch touches
+    are read and written. False if the ledger has the batch. A batch must not hold records that belong before those of an
+    earlier batch of its chain; they are chained as they arrive.
+    """
+    tables = KeyedTables(records.sparkSession, root, buckets)
+    batch = tables.begin(source, number)
+    if batch is None:
+        return False
+    touched = tables.touched(records, key)
+    before = tables.read("tails", touched)
+    path = f"{root}/records/seq={batch.seq}"
+    chained = chain_append(records, key, before)
+    chained.write.mode("overwrite").parquet(path)
+    new = chain_tails(records.sparkSession.read.schema(chained.schema).parquet(path), key)
+    if before is not None:
+        kept = before.join(new.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        new = kept.unionByName(new)
+    batch.write("tails", new, key, touched)
+    batch.commit()
+    return True
+
+
+def read_chains(spark: SparkSession, root: str) -> DataFrame:
+    """All records of the batches that the ledger has."""
+    seqs = [r.seq for r in KeyedTables(spark, root).ledger().select("seq").distinct().collect()]  # one for each batch
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{root}/records/seq={s}" for s in sorted(seqs)])
+
+
+def chain_stream(stream: DataFrame, root: str, checkpoint: str, key: str = "chain_key"):
+    """Starts chaining arriving records: every micro-batch is one batch of `chain_batch`."""
+    return stream.writeStream.foreachBatch(lambda rows, number: chain_batch(rows, root, checkpoint, number, key) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def verify_chain(records: DataFrame, key: str = "chain_key") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +13,9 @@ from casewright.plans.document_queries import REQUEST_CLASSES
 from casewright.plans.retrieval_queries import _tokens
 from casewright.plans.views import VIEWS, ctes, view
 from casewright.sources import readers, writers
+from casewright.sources.keyed import KeyedTables
 from casewright.sources.scratch import scratch
-from casewright.streaming.index_stream import index_stream
+from casewright.streaming.index_stream import index_stream, upsert_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -260,6 +262,17 @@ def a1_chain_append(spark, sf):
     return audit.chain_append(_records(spark, sf)).select("chain_key", "audit_id", "sequence", "previous_hash", "current_hash")
 
 
+@query(_CHAIN + " SELECT chain_key, audit_id, sequence, previous_hash, current_hash FROM c")
+def a1_chain_batches(spark, sf):
+    """The same chains, built in four batches that each go on from the tails of those before."""
+    records, root = _records(spark, sf), scratch(spark, "chains")
+    quarter = F.ntile(4).over(Window.partitionBy("chain_key").orderBy("event_id"))
+    dealt = records.withColumn("quarter", quarter)
+    for k in (1, 2, 3, 4):
+        audit.chain_batch(dealt.where(F.col("quarter") == k).drop("quarter"), root, "events", k)
+    return audit.read_chains(spark, root).select("chain_key", "audit_id", "sequence", "previous_hash", "current_hash")
+
+
 @query(ctes("records") + " SELECT chain_key, audit_id, 'content' AS problem FROM v_records WHERE event_id % 50 = 0")
 def a2_verify_chain(spark, sf):
     chained = audit.chain_append(_records(spark, sf))
@@ -483,6 +496,21 @@ def p2_index_stream(spark, sf):
     return spark.read.parquet(table).select("doc_id").distinct()
 
 
+@query(ctes("decision_docs") + """ SELECT 'CIC/DEPT/A/2024/' || CAST(1000 + doc_id AS VARCHAR) AS case_number, doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS created_at,
+CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN 1 ELSE 2 END AS updated_at, true AS has_chunks FROM documents""")
+def p2_index_upsert(spark, sf):
+    """A third of the decisions in one batch, then a forced batch of the others and of every second one of that third; the
+    first batch is handed in twice."""
+    docs, root = view(spark, sf, "decision_docs"), scratch(spark, "upserts")
+    first = docs.where("doc_id % 3 = 0")
+    again = docs.where("doc_id % 3 <> 0 or doc_id % 2 = 0")
+    for batch, number in ((first, 1), (first, 1), (again, 2)):
+        upsert_index(batch, root, "decisions", number, encoders.hashing_encoder(64), force=True)
+    tables = KeyedTables(spark, root)
+    chunks = tables.read("chunks").groupBy("doc_id").agg((F.count("embedding") > 0).alias("has_chunks"))
+    return tables.read("cases").select("case_number", "doc_id", F.col("created_at").cast("int").alias("created_at"), F.col("updated_at").cast("int").alias("updated_at")).join(chunks, "doc_id")
+
+
 @query()
 def p3_analyze_batch(spark, sf):
     out = jobs.analyze_batch(view(spark, sf, "requests"), _departments(spark, sf), view(spark, sf, "chunks"))
