@@ -32,7 +32,8 @@ WORD = tb.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 def in_order(ids) -> list:
     """Distinct ids in order, a null last."""
-    return sorted(set(ids), key=lambda i: (i is None, i or 0)) if None in ids else sorted(set(ids))
+    distinct = set(ids)
+    return sorted(distinct - {None}) + [None] * (None in distinct)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:

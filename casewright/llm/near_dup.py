@@ -34,6 +34,7 @@ U = np.uint64
 WORD = ~tb.byte_set((0x20, 0x20), (0x09, 0x0D))
 SHINGLE, BANDS, ROWS = 5, 24, 4
 NEAR, ROUNDS = 0.5, 3  # a bucket's member so alike to its pivot is settled in the pivot's group; pivots of a bucket at most
+MEETINGS, BLOCK = 8, 1 << 17  # of a group's sets by their prefixes, for each set; members in a block of sets
 SLACK = 0.2  # minima may agree that much less often than the threshold: over five standard deviations of 96 minima
 
 
@@ -222,20 +223,21 @@ def _groups(work: Work, docs: DataFrame, weighed: DataFrame, first: DataFrame, f
     return groups and groups.drop("alike")
 
 
-def _rest(work: Work, docs: DataFrame, weighed: DataFrame, pivots: DataFrame, found: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """(components, pairs (a, b) that may still be links between them) by what sets have apart from a group's middle.
+def _rest(work: Work, docs: DataFrame, weighed: DataFrame, pivots: DataFrame, found: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(components, pairs (a, b) that may still be links between them, further links) by what sets have apart from a group's middle.
 
     C is what over half of a group's sets hold, D(x) the members that just one of x and C has. x and y differ in
     |D(x)| + |D(y)| - 2 |D(x) & D(y)| members, and are linked if (den + num) times that is at most (den - num) times the
     sum of their sizes. With h(x) = (den + num) |D(x)| - (den - num) |x| this means 2 (den + num) |D(x) & D(y)| >= h(x) + h(y).
     So all with h(x) + h(y) <= 0 are linked as they are: a star around the least h tells their component. Others need a
     common part of D of a size known beforehand. Members of D that nobody else has cannot be in it, and a prefix filter
-    over the rest, rare ones first, makes the few pairs that can have it.
+    over the rest, rare ones first, makes the few pairs that can have it. Where its members are shared by so many that they
+    would meet more than MEETINGS times for each set, the group's common parts are counted in blocks instead (_crowds).
     """
     k, d = den + num, den - num
     related = _groups(work, docs, weighed, pivots, found, size, num, den)
     if related is None:
-        return found, None
+        return found, None, None
     own = related.groupBy("pivot").agg(F.max("pivot_size").alias("size"))
     related = work.table(related.select("pivot", "doc_id", "size", "delta", (k * F.size("delta") <= d * (F.col("size") + F.col("pivot_size"))).alias("linked")).unionByName(own.select("pivot", F.col("pivot").alias("doc_id"), "size", F.array().cast("array<long>").alias("delta"), F.lit(False).alias("linked"))), "grouped")
     total = related.groupBy("pivot").agg(F.count("*").alias("g"))
@@ -264,12 +266,86 @@ def _rest(work: Work, docs: DataFrame, weighed: DataFrame, pivots: DataFrame, fo
     ranked = members.join(counted, ["pivot", "member"]).withColumn("place", F.row_number().over(mine.orderBy("n", "member"))).withColumn("left", F.count("*").over(mine) - F.col("place") + 1)
     # `left` members of D, this one included, can still be common; h0 is the least h of a group, h1 of those outside its main component
     ranked = work.table(ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h0")).drop("n", "place", "h0"), "prefixes")
-    x, y = ranked.where("not in_main").alias("x"), ranked.where(2 * k * F.col("left") >= F.col("h") + F.col("h1")).alias("y")
+    second = 2 * k * F.col("left") >= F.col("h") + F.col("h1")
+    met = ranked.groupBy("pivot", "member").agg(F.count_if(~F.col("in_main")).alias("nx"), F.count_if(second).alias("ny")).groupBy("pivot").agg(F.sum(F.col("nx") * F.col("ny")).alias("meetings"))
+    docs_of = mains.join(deltas.groupBy("pivot").agg(F.count("*").alias("n")), "pivot").select("pivot", "n")
+    crowded = work.table(met.join(docs_of, "pivot").where(F.col("meetings") > MEETINGS * F.col("n")).select("pivot"), "crowded")
+    sure = _crowds(work, members.join(crowded, "pivot").join(counted, ["pivot", "member"]), k)
+    ranked = ranked.join(crowded, "pivot", "left_anti")
+    x, y = ranked.where("not in_main").alias("x"), ranked.where(second).alias("y")
     apart = F.col("x.component") != F.col("y.component")
     alike = (F.least("x.size", "y.size") * den) >= (F.greatest("x.size", "y.size") * num)
     enough = 2 * k * F.least("x.left", "y.left") >= F.col("x.h") + F.col("y.h")
     sharing = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.member") == F.col("y.member")) & apart & alike & enough)
-    return found, sharing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return found, sharing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), sure
+
+
+def _crowds(work: Work, members: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) between components of groups whose differences are shared by many: no pairs are made.
+
+    members (pivot, doc_id, member, ...): what each set has apart from its group's middle and shares with others. Sets
+    are dealt to blocks of about BLOCK members. A block of sets outside the main component and a block of all sets meet in
+    one task, which counts the common members of all their pairs in place; a pair is a link exactly if 2 k times that count
+    reaches h(x) + h(y). Out come only links that join components which the same task has not joined yet.
+    """
+    own = members.groupBy("pivot", "doc_id").agg(*[F.first(c).alias(c) for c in ("component", "in_main", "h", "h0", "h1")], F.collect_list("member").alias("delta"))
+    own = work.table(own.where(2 * k * F.size("delta") >= F.col("h") + F.when(F.col("in_main"), F.col("h1")).otherwise(F.col("h0"))), "crowds")
+    weight = F.size("delta") + 8
+    size = own.groupBy("pivot").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("ny"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(~F.col("in_main"), weight)) / BLOCK).cast("int")).alias("nx"))
+    dealt = own.join(size, "pivot")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("not in_main").select("pivot", place("nx").alias("i"), every("ny").alias("j"), F.lit(0).alias("side"), "doc_id", "component", "h", "delta")
+    right = dealt.select("pivot", every("nx").alias("i"), place("ny").alias("j"), F.lit(1).alias("side"), "doc_id", "component", "h", "delta")
+    met = work.table(left.unionByName(right), "crowd-blocks").groupBy("pivot", "i", "j").applyInArrow(_counting(k), "a long, b long")
+    return work.table(met.distinct(), "crowd-links")
+
+
+def _counting(k: int):
+    def count(table: pa.Table) -> pa.Table:
+        side, ids, components, h = (table.column(c).to_numpy() for c in ("side", "doc_id", "component", "h"))
+        lists = table.column("delta").combine_chunks()
+        flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+        rows = tb.row_of(bounds)
+        xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        of_y = np.flatnonzero(side[rows] == 1)
+        of_y = of_y[np.argsort(flat[of_y], kind="stable")]
+        members, holder = flat[of_y], np.searchsorted(ys, rows[of_y])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        a, b, low = [], [], 0
+        while low < len(xs):
+            high = low
+            while high < len(xs) and (high == low or (high + 1 - low) * len(ys) <= 1 << 21):
+                high += 1
+            part = xs[low:high]
+            common = np.zeros((len(part), len(ys)), np.int64)
+            for n, r in enumerate(part.tolist()):
+                own = flat[bounds[r] : bounds[r + 1]]
+                first, last = np.searchsorted(members, own), np.searchsorted(members, own, "right")
+                n_of = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n_of)[:-1]]), n_of) + np.arange(n_of.sum())
+                common[n] = np.bincount(holder[at], minlength=len(ys))
+            linked = (2 * k * common >= h[part][:, None] + h[ys][None, :]) & (components[part][:, None] != components[ys][None, :])
+            i, j = np.nonzero(linked)
+            cx, cy = components[part][i], components[ys][j]
+            _, one = np.unique(np.stack([cx, cy]), axis=1, return_index=True)
+            for n in one.tolist():
+                p, q = find(int(cx[n])), find(int(cy[n]))
+                if p != q:
+                    root[p] = q
+                    a.append(int(ids[part[i[n]]]))
+                    b.append(int(ids[ys[j[n]]]))
+            low = high
+        return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
+
+    return count
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -298,8 +374,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     links = _links(work, docs, signed, pairs, size, num, den)
     found = components(work, links)
 
-    found, rest = _rest(work, docs, weighed, pivots, found, size, num, den)
-    more = rest and _links(work, docs, signed, work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest"), size, num, den)
+    found, rest, sure = _rest(work, docs, weighed, pivots, found, size, num, den)
+    more = rest and _links(work, docs, signed, work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest"), size, num, den).unionByName(sure)
     if more and not more.isEmpty():
         star = found.where("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
         found = components(work, star.union(more))

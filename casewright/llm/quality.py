@@ -11,7 +11,7 @@ and the model does not hang on the order of rows or on tasks that ran twice.
 
 Defined cases: null and empty texts have the statistics of an empty text and are scored; rows that repeat a doc_id are
 scored each; unlabelled rows, null labels and labels without a document do not train; with labels of one class only every
-score is that class's; an empty table gives no rows; further columns pass through untouched.
+score is that class's, with none at all every score is 0.5; an empty table gives no rows; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -216,7 +216,7 @@ def with_scores(rows: DataFrame, model: Discriminant, column: str, matrices) ->
     """rows with a double column of scores; matrices gives the statistics in parts from the named Arrow column."""
     name = fresh(rows, "_score")
     if not model.classes:
-        return rows.withColumn(name, F.lit(1.0)), name
+        return rows.withColumn(name, F.lit(0.5)), name
 
     def make():
         def run(values):

@@ -129,3 +129,35 @@ def test_rows_without_an_id_are_linked_with_nothing(spark):
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (None, 1, None, True), (None, 2, None, True)]
     left = near_dup.drop_near_duplicates(df).collect()
     assert sorted((r.doc_id or 0, r.text[:5]) for r in left) == [(0, "a b c"), (0, "other"), (1, "a b c"), (3, "word ")]
+
+
+def variants(n, places, variants_of, chosen, seed):
+    """n texts of 300 words that each replace some of the same places, each by one of a few words."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    at = rnd.sample(range(300), places)
+    rows = []
+    for i in range(n):
+        one = list(base)
+        for k in rnd.sample(at, chosen):
+            one[k] = f"v{k}-{rnd.randrange(variants_of)}"
+        rows.append((n - i, " ".join(one)))
+    return rows
+
+
+@pytest.mark.parametrize("n, places, kinds, chosen", [(200, 24, 1, 10), (400, 24, 1, 10), (300, 16, 2, 8)])
+def test_families_that_share_their_differences_make_no_pairs(spark, monkeypatch, n, places, kinds, chosen):
+    rows, at = variants(n, places, kinds, chosen, n), tables_of(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, num=85).collect())
+    assert got == brute(rows, 85)
+    linear = sum(at.get(t, 0) for t in ("pairs", "near", "open-pairs", "related", "rest", "crowds", "crowd-blocks"))
+    assert linear <= 200 * n and at.get("rest", 0) <= 16 * n, at
+
+
+def test_crowds_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 2000)
+    monkeypatch.setattr(near_dup, "MEETINGS", 0)
+    rows = variants(120, 14, 1, 7, 1) + [(1000 + i, t) for i, t in family(60, 4, 8, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, num=85).collect()) == brute(rows, 85)
