@@ -116,16 +116,31 @@ def verify_chain(records: DataFrame, key: str = "chain_key") -> DataFrame:
     return checked.select(key, "audit_id", F.explode(problems).alias("problem"))
 
 
+# What a decision sets: the record's column and the decision's.
+DECIDED = {"pio_action_taken": "action", "pio_override_department": "override", "pio_comments": "comments", "legal_disclaimer_accepted": "disclaimer_accepted", "pio_exemption_override": "exemption_override", "decided_at": "decided_at"}
+
+
 def apply_decisions(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with decisions applied, rejected decisions with a reason); only PENDING rows and known actions change."""
-    own = decisions.select("audit_id", F.col("action").alias("_action"), F.col("override").alias("_override"), F.col("decided_at").alias("_at"))
-    j = records.join(own, "audit_id", "left")
-    ok = F.col("_action").isin(ACTIONS) & (F.col("pio_action_taken") == "PENDING")
-    changed = {"pio_action_taken": F.when(ok, F.col("_action")).otherwise(F.col("pio_action_taken")), "pio_override_department": F.when(ok, F.col("_override")).otherwise(F.col("pio_override_department")), "decided_at": F.when(ok, F.col("_at")).otherwise(F.col("decided_at"))}
-    status = records.select("audit_id", "pio_action_taken")
-    reason = F.when(F.col("pio_action_taken").isNull(), "unknown record").when(~F.col("action").isin(ACTIONS), "unknown action").when(F.col("pio_action_taken") != "PENDING", "already decided")
-    rejected = decisions.join(status, "audit_id", "left").withColumn("reason", reason).where("reason is not null").select("audit_id", "action", "reason")
-    return j.select(*[F.coalesce(changed[c], F.col(c)).alias(c) if c in changed else F.col(c) for c in records.columns]), rejected
+    """(records with decisions applied, rejected decisions with a reason); only PENDING rows and known actions change.
+
+    Of several decisions about a pending record the first known action by order of arrival (`arrived`, else `decided_at`)
+    stands, and the others are reported as already decided. All columns of DECIDED that both sides have are set.
+
+    Defined cases: as many records as before; decisions of equal arrival are ordered by their values; a decision without
+    an audit_id is about an unknown record.
+    """
+    order = [F.col(c).asc_nulls_last() for c in ("arrived", "decided_at") if c in decisions.columns]
+    order += [F.col(c).asc_nulls_last() for c in decisions.columns if c not in ("audit_id", "arrived", "decided_at")]
+    status = records.select("audit_id", F.col("pio_action_taken").alias("_status")).dropDuplicates(["audit_id"])
+    judged = decisions.join(status, "audit_id", "left")
+    able = F.coalesce(F.col("action").isin(ACTIONS) & (F.col("_status") == "PENDING"), F.lit(False))
+    judged = judged.withColumn("_able", able).withColumn("_k", F.when(able, F.row_number().over(Window.partitionBy("audit_id", "_able").orderBy(*order))))
+    reason = F.when(F.col("_status").isNull(), "unknown record").when(~F.coalesce(F.col("action").isin(ACTIONS), F.lit(False)), "unknown action").when(~F.col("_able") | (F.col("_k") > 1), "already decided")
+    rejected = judged.withColumn("reason", reason).where("reason is not null").select("audit_id", "action", "reason")
+    set_ = {c: d for c, d in DECIDED.items() if c in records.columns and d in decisions.columns}
+    own = judged.where("_k = 1").select(F.col("audit_id").alias("_id"), *[F.col(d).cast(records.schema[c].dataType).alias(f"_new_{c}") for c, d in set_.items()])
+    j = records.join(own, F.col("audit_id") == F.col("_id"), "left")
+    return j.select(*[F.when(F.col("_id").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in records.columns]), rejected
 
 
 def recent(records: DataFrame, n: int = 50) -> DataFrame:

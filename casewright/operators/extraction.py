@@ -138,10 +138,28 @@ def references(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(tx.blank_if_null(text), F.lit(pattern), 0), tx.squeeze), lambda s: s != ""))
 
 
-def entities(docs: DataFrame, most: int = 12) -> DataFrame:
-    """People, authorities, departments and locations, first seen first, from bounded starts of the text."""
-    found = lambda p, n: F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.substring("text", 1, n), F.lit(p), 0), lambda s: F.trim(tx.squeeze(s), F.lit(" ,.")))), 1, most)
-    return docs.select("doc_id", found(rules.PEOPLE, 5000).alias("people"), found(rules.AUTHORITIES, 6000).alias("authorities"), found(rules.DEPARTMENTS, 6000).alias("departments"), found(rules.LOCATIONS, 8000).alias("locations"))
+def entities(docs: DataFrame, most: int = 12, general: bool = False) -> DataFrame:
+    """People, authorities, departments and locations, first seen first, from bounded starts of the text; with `general`, names
+    of any kind as `entities`.
+
+    An appellant and a public_authority, where docs have these columns, come first among people and authorities.
+    """
+    def found(p: str, n: int, lead: str = "") -> Column:
+        seen = F.transform(F.regexp_extract_all(F.substring("text", 1, n), F.lit(p), 0), lambda s: F.trim(tx.squeeze(s), F.lit(" ,.")))
+        return F.slice(F.array_distinct(F.concat(_lead(docs, lead), seen)), 1, most)
+
+    return docs.select("doc_id", found(rules.PEOPLE, 5000, "appellant").alias("people"), found(rules.AUTHORITIES, 6000, "public_authority").alias("authorities"), found(rules.DEPARTMENTS, 6000).alias("departments"), found(rules.LOCATIONS, 8000).alias("locations"), *([general_entities(docs).alias("entities")] if general else []))
+
+
+def _lead(docs: DataFrame, name: str) -> Column:
+    some = F.filter(F.array(F.col(name)), lambda v: F.coalesce(v, F.lit("")) != "") if name in docs.columns else F.array()
+    return some.cast("array<string>")
+
+
+def general_entities(docs: DataFrame, most: int = 20, chars: int = 5000, longest: int = 80, patterns=rules.GENERAL_ENTITIES) -> Column:
+    """Names of any kind in the first characters, pattern by pattern, each once; the public_authority, if docs have one, first."""
+    names = [F.transform(F.regexp_extract_all(F.substring("text", 1, chars), F.lit(p), 0), tx.squeeze) for p in patterns]
+    return F.slice(F.array_distinct(F.concat(_lead(docs, "public_authority"), F.filter(F.concat(*names), lambda v: F.length(v) <= longest))), 1, most)
 
 
 def precedent_summary(items: Column, observations: Column, order: Column, result: Column) -> Column:
@@ -216,6 +234,14 @@ def classify_requests(requests: DataFrame, table=rules.REQUEST_RULES) -> DataFra
     return requests.select("request_id", kind.alias("information_type"), tender.alias("procurement_status"), personal.alias("personal_data"), _has_any(t, rules.PUBLIC_INTEREST_WORDS).alias("public_interest_override"), systems.alias("systems"), entities.alias("entities"))
 
 
+def request_category(text: Column, table=rules.REQUEST_CATEGORIES) -> Column:
+    """The first category of which the text has a word, else information_request."""
+    out = F
+    for name, words in table:
+        out = out.when(_has_any(text, words), name)
+    return out.otherwise("information_request")
+
+
 def applicant_details(text: Column) -> tuple[Column, Column]:
     """(name, address) after their labels in English or Hindi, with defaults."""
     name = _some(F.trim(F.regexp_extract(text, r"(?im)^\s*(?:Name|Applicant|नाम|आवेदक)\s*[:\-]\s*(.+)$", 1)))
@@ -248,7 +274,8 @@ def extract_cases(docs: DataFrame) -> DataFrame:
     dates = labelled_dates(docs.select("doc_id", t.alias("text")))
     clean = docs.select("doc_id", t.alias("text"))
     blocks = segmentation.labelled_blocks(clean).groupBy("doc_id").agg(*[F.max(F.when(F.col("block") == b, tx.squeeze(F.col("text")))).alias(b) for b in ("facts", "grounds")])
-    named = entities(clean).select("doc_id", *[F.col(c).alias(f"entities_{c}") for c in ("people", "authorities", "departments", "locations")])
+    known = clean.join(parts.select("doc_id", "appellant", "public_authority"), "doc_id")
+    named = entities(known, general=True).withColumnsRenamed({c: f"entities_{c}" for c in ("people", "authorities", "departments", "locations")})
     base = clean.join(parts, "doc_id").join(dates, "doc_id").join(named, "doc_id").join(blocks, "doc_id", "left")
     cited = citations(F.col("text"))
     imposed, value = penalty(F.col("text"), F.col("text"))

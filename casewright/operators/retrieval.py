@@ -367,13 +367,31 @@ def pack_context(hits: DataFrame, budget: int = 3500, stop_when_full: bool = Fal
 # --- what a set of hits says ------------------------------------------------------------------------------------------
 
 
+TYPE_MARK, SENTENCE_END = r"\A\[[A-Z_]+\]\s*", r"(?<=[.!?])\s+"
+
+
+def first_sentence(text: Column, least: int = 40, most: int = 350) -> Column:
+    """The first part of a chunk, without its type mark and cut after any of .!? and blanks, that has so many characters; else the text's start."""
+    clean = tx.squeeze(F.translate(F.regexp_replace(tx.blank_if_null(text), TYPE_MARK, ""), "\0", " "))
+    parts = F.filter(F.split(clean, SENTENCE_END), lambda s: (F.length(s) >= least) & ~s.rlike(r"\A\d+\.?\z"))
+    return F.trim(F.substring(F.coalesce(F.try_element_at(parts, F.lit(1)), clean), 1, most))
+
+
 def similar_cases(hits: DataFrame, cited: DataFrame, limit: int = 5) -> DataFrame:
-    """The best chunk of each cited case, `limit` cases a query, with its first sentence of 40 characters or more."""
+    """The best chunk of each cited case by score, then rank, `limit` cases a query, with its score from 0 to 1 and first sentence."""
     own = hits.join(cited.select("query_id", "case_number").distinct(), ["query_id", "case_number"], "left_semi")
-    best = own.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "case_number").orderBy("rank", "chunk_id"))).where("_k = 1").drop("_k")
-    sentence = F.coalesce(F.try_element_at(F.filter(tx.sentences(F.col("text")), lambda s: F.length(s) >= 40), F.lit(1)), F.col("text"))
-    order = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "case_number", "chunk_id", F.substring(sentence, 1, 350).alias("summary"))
+    order = [F.desc(F.coalesce("rrf_score", F.lit(0.0))), "rank", "chunk_id"]
+    best = own.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "case_number").orderBy(*order))).where("_k = 1").drop("_k")
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("rrf_score", F.lit(0.0))))
+    return best.select("query_id", "place", "case_number", "chunk_id", score.alias("similarity_score"), first_sentence(F.col("text")).alias("summary"))
+
+
+def relevant_circulars(hits: DataFrame, cited: DataFrame) -> DataFrame:
+    """(query_id, circulars): numbers of the cited circulars among the hits, each once, in the order of the hits."""
+    own = hits.where("source = 'CIRCULAR'").join(cited.select("query_id", "case_number").distinct(), ["query_id", "case_number"], "left_semi")
+    first = own.groupBy("query_id", "case_number").agg(F.min(F.struct("rank", "chunk_id")).alias("at"))
+    return first.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "case_number"))), lambda x: x["case_number"]).alias("circulars"))
 
 
 def exemption_precedents(requests: DataFrame, hits: DataFrame) -> DataFrame:

@@ -70,6 +70,13 @@ def routing_accuracy(decided: DataFrame, truth: DataFrame) -> DataFrame:
     return out.join(F.broadcast(gap)).select(F.coalesce("language", F.lit("all")).alias("language"), "n", F.round("right", 6).alias("right"), F.round("credit", 6).alias("credit"), F.round("parity_gap", 6).alias("parity_gap"))  # gap is one row
 
 
+def band_distribution(decided: DataFrame) -> DataFrame:
+    """(band, n): decisions of each band, also of those that none has."""
+    bands = F.explode(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW")))).alias("band")
+    every = decided.sparkSession.range(1).select(bands, F.lit(0).cast("long").alias("n"))
+    return every.unionByName(decided.select("band", F.lit(1).cast("long").alias("n"))).groupBy("band").agg(F.sum("n").alias("n"))
+
+
 def exemption_rules(extracted: DataFrame, keywords: list[str] = rules.SECURITY_KEYWORDS) -> DataFrame:
     """(request_id, section, title, overridden): four rules; public interest overrides section 8(1), never 11."""
     sensitive = F.exists("systems", lambda s: F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(s), k)))

@@ -416,6 +416,18 @@ def e13_entities(spark, sf):
     return extraction.entities(view(spark, sf, "decision_docs"))
 
 
+_PLAIN = "regexp_replace(regexp_replace(text[1:5000], '[^\\x00-\\x7F\\p{L}\\p{N}]', '!', 'g'), '[^\\x00-\\x7F]', '0', 'g')"
+_GENERAL = " || ".join(f"list_transform(regexp_extract_all({_PLAIN}, '{p}'), lambda s: {_SQUEEZE.format(c='s')})" for p in rules.GENERAL_ENTITIES)
+
+
+@query(_D + f", p AS (SELECT doc_id, {_party('appellant')} AS appellant, text FROM v_decision_docs), g AS (SELECT doc_id, appellant, list_prepend('Records Office', list_filter({_GENERAL}, lambda v: length(v) <= 80)) AS names, list_prepend(appellant, {_found(rules.PEOPLE, 5000)}) AS people FROM p) SELECT doc_id, list_filter(names, lambda x, i: list_position(names, x) = i)[1:20] AS names, list_filter(people, lambda x, i: list_position(people, x) = i)[1:12] AS people FROM g")
+def e13_general_entities(spark, sf):
+    """Names of any kind after the public authority, people after the appellant."""
+    docs = view(spark, sf, "decision_docs")
+    known = docs.join(extraction.named_parties(docs).select("doc_id", "appellant"), "doc_id").withColumn("public_authority", F.lit("Records Office"))
+    return known.select("doc_id", extraction.general_entities(known).alias("names")).join(extraction.entities(known).select("doc_id", "people"), "doc_id")
+
+
 @query()
 def e14_precedent_summary(spark, sf):
     return extraction.extract_cases(view(spark, sf, "decision_docs")).select("doc_id", "precedent")
@@ -462,6 +474,16 @@ list_concat(list_transform(regexp_extract_all(text, '\\b\\d{{2}}[-/.]\\d{{2}}[-/
 list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(t, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '!', 'g'), '[^\\x00-\\x7F]', 'Q', 'g'), '\\b(?:doc|id|ref|tender|file|no|no\\.)[-:\\s]*([a-z0-9/_-]+)\\b', 1), lambda n: length(n) > 4), lambda n: 'Ref Number: ' || n)) AS entities FROM rc)"""
 
 
+@query("""SELECT doc_id, CASE WHEN regexp_matches(t, 'file noting|note sheet|file note') THEN 'file_request' WHEN regexp_matches(t, 'service book|salary|medical|personal|employee') THEN 'personal_records'
+WHEN regexp_matches(t, 'tender|contract|bid|procurement') THEN 'procurement' WHEN regexp_matches(t, 'source code|server|password|security audit|ip address') THEN 'technical_or_security' ELSE 'information_request' END AS category
+FROM (SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 5 WHEN 0 THEN ' note sheet' WHEN 1 THEN ' service book' WHEN 2 THEN ' procurement' WHEN 3 THEN ' ip address' ELSE '' END AS t FROM documents)""")
+def e18_request_category(spark, sf):
+    """Whole texts, four of five with a word of a category behind them."""
+    docs = view(spark, sf, "docs")
+    more = F.when(F.col("doc_id") % 5 == 0, " Note sheet").when(F.col("doc_id") % 5 == 1, " service book").when(F.col("doc_id") % 5 == 2, " procurement").when(F.col("doc_id") % 5 == 3, " IP address").otherwise("")
+    return docs.select("doc_id", extraction.request_category(F.concat(F.coalesce("text", F.lit("")), more)).alias("category"))
+
+
 @query(ctes("requests") + f", {REQUEST_CLASSES} SELECT * EXCLUDE (t) FROM cl")
 def e18_classify_requests(spark, sf):
     return extraction.classify_requests(view(spark, sf, "requests"))

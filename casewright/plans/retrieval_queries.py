@@ -203,11 +203,21 @@ def r15_pack_context(spark, sf):
     return r.pack_context(hits).withColumn("rrf_score", F.round("rrf_score", 6))
 
 
-@query(ctes("hits") + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, case_number ORDER BY rank, chunk_id) AS k FROM v_hits WHERE source = 'CIC'), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM f WHERE k = 1)
-SELECT query_id, CAST(place AS INTEGER) AS place, case_number, chunk_id FROM o WHERE place <= 5""")
+_FIRST_SENTENCE = """(WITH c AS (SELECT trim(regexp_replace(regexp_replace(text, '^\\[[A-Z_]+\\]\\s*', ''), '\\s+', ' ', 'g')) AS c) SELECT trim(substr(coalesce(list_filter(string_split(regexp_replace(c, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 40 AND NOT regexp_full_match(s, '\\d+\\.?'))[1], c), 1, 350)) FROM c)"""
+
+
+@query(ctes("hits") + f""", f AS (SELECT *, row_number() OVER (PARTITION BY query_id, case_number ORDER BY rrf_score DESC, rank, chunk_id) AS k FROM v_hits WHERE source = 'CIC'), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, rank, chunk_id) AS place FROM f WHERE k = 1)
+SELECT query_id, CAST(place AS INTEGER) AS place, case_number, chunk_id, rrf_score AS similarity_score, {_FIRST_SENTENCE} AS summary FROM o WHERE place <= 5""")
 def r16_similar_cases(spark, sf):
     hits = view(spark, sf, "hits").where("source = 'CIC'")
-    return r.similar_cases(hits, hits).drop("summary")
+    return r.similar_cases(hits, hits)
+
+
+@query(ctes("hits") + """, f AS (SELECT query_id, case_number, min(rank) AS rank FROM v_hits WHERE chunk_id % 7 = 0 GROUP BY ALL) SELECT query_id, list(case_number ORDER BY rank) AS circulars FROM f GROUP BY query_id""")
+def r16_relevant_circulars(spark, sf):
+    """Hits of which each seventh is of a circular."""
+    hits = view(spark, sf, "hits").withColumn("source", F.when(F.col("chunk_id") % 7 == 0, "CIRCULAR").otherwise("CIC"))
+    return r.relevant_circulars(hits, hits)
 
 
 @query(ctes("hits") + """, f AS (SELECT query_id, cited AS section, chunk_id, case_number, row_number() OVER (PARTITION BY query_id, cited ORDER BY rank, chunk_id) AS k FROM v_hits)

@@ -84,6 +84,11 @@ def q4_routing_accuracy(spark, sf):
     return routing.routing_accuracy(_decided(spark, sf), view(spark, sf, "requests").select("request_id", "expected", "language"))
 
 
+@query(_DECIDE + " SELECT band, count(request_id) AS n FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW')) b(band) LEFT JOIN o USING (band) GROUP BY band")
+def q4_band_distribution(spark, sf):
+    return routing.band_distribution(_decided(spark, sf))
+
+
 _FLAG = f"""{REQUEST_CLASSES}, f AS (SELECT request_id, information_type IN ('cybersecurity', 'architecture') OR regexp_matches(t, 'database|server|router|network') AS sec, procurement_status = 'active_tender' AS ten,
 personal_data OR information_type IN ('employee', 'citizen_data') AS per, information_type = 'third_party_commercial' AS third, personal_data, public_interest_override AS pub FROM cl),
 flags AS (SELECT request_id, 'Section 8(1)(a)' AS section, pub AS overridden FROM f WHERE sec UNION ALL SELECT request_id, 'Section 8(1)(d)', pub FROM f WHERE ten UNION ALL SELECT request_id, 'Section 8(1)(j)', pub FROM f WHERE per UNION ALL SELECT request_id, 'Section 11', false FROM f WHERE third)"""
@@ -290,6 +295,16 @@ def a3_apply_decisions(spark, sf):
     return audit.apply_decisions(r, _decisions(spark, sf))[0].select("audit_id", "pio_action_taken", "decided_at")
 
 
+@query(ctes("records") + """ SELECT audit_id, CASE WHEN event_id % 4 = 0 THEN 'REJECTED' ELSE pio_action_taken END AS pio_action_taken, CASE WHEN event_id % 4 = 0 THEN 'first' END AS pio_comments,
+CASE WHEN event_id % 4 = 0 THEN event_id % 3 = 0 ELSE false END AS legal_disclaimer_accepted, CASE WHEN event_id % 4 = 0 THEN '8(1)(j)' END AS pio_exemption_override FROM v_records""")
+def a3_second_decisions(spark, sf):
+    """Three decisions for each record, the first of them no known action: of a pending record the second one stands."""
+    r = _records(spark, sf).withColumns({"pio_comments": F.lit(None).cast("string"), "legal_disclaimer_accepted": F.lit(False), "pio_exemption_override": F.lit(None).cast("string")})
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("arrived"), F.lit(a).alias("action"), F.lit(c).alias("comments"), F.lit(e).alias("exemption_override")) for n, a, c, e in ((2, "REJECTED", "first", "8(1)(j)"), (3, "APPROVED", "second", None), (1, "LATER", "none", None))])).alias("d")
+    decisions = r.select("audit_id", (F.col("event_id") % 3 == 0).alias("disclaimer_accepted"), each).select("audit_id", "disclaimer_accepted", "d.*")
+    return audit.apply_decisions(r, decisions)[0].select("audit_id", "pio_action_taken", "pio_comments", "legal_disclaimer_accepted", "pio_exemption_override")
+
+
 @query(ctes("records") + " SELECT audit_id, CASE event_id % 8 WHEN 4 THEN 'LATER' ELSE 'REJECTED' END AS action, CASE event_id % 8 WHEN 4 THEN 'unknown action' ELSE 'already decided' END AS reason FROM v_records WHERE event_id % 8 IN (2, 4, 6)")
 def a3_rejected_decisions(spark, sf):
     r = _records(spark, sf).withColumn("decided_at", F.lit(None).cast("string"))
@@ -513,5 +528,12 @@ def p2_index_upsert(spark, sf):
 
 @query()
 def p3_analyze_batch(spark, sf):
+    """Everything an analysis gives, one row a request."""
     out = jobs.analyze_batch(view(spark, sf, "requests"), _departments(spark, sf), view(spark, sf, "chunks"))
-    return out["routed"].join(out["confidence"].withColumnRenamed("query_id", "request_id"), "request_id").join(out["recommendations"].select("request_id", "recommendation"), "request_id").select("request_id", "department", "band", "recommendation", F.round("confidence", 6).alias("confidence"), tx.squeeze(F.array_join("sources", " ")).alias("sources"))
+    of = lambda name: out[name].withColumnRenamed("query_id", "request_id")
+    context = of("context").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "chunk_id", "tokens"))).alias("context"))
+    similar = of("similar_cases").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("place", "case_number", "summary"))).alias("similar_cases"))
+    precedents = of("precedents").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("section", "case_number", "level"))).alias("precedents"))
+    rows = out["routed"].join(of("confidence"), "request_id").join(out["recommendations"].select("request_id", "recommendation"), "request_id")
+    rows = rows.join(context, "request_id", "left").join(similar, "request_id", "left").join(precedents, "request_id", "left").join(of("circulars"), "request_id", "left")
+    return rows.select("request_id", "department", "band", "recommendation", F.round("confidence", 6).alias("confidence"), tx.squeeze(F.array_join("sources", " ")).alias("sources"), "context", "similar_cases", "precedents", "circulars")
