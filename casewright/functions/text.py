@@ -31,6 +31,13 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def each(array: Column) -> Column:
+    """The items of an array as rows, one null for an empty one: a plain explode makes Spark filter by the array's size first,
+    which works a costly array out twice, and ahead of a shuffle that was to spread the work. Rows without an item are to be
+    filtered after it."""
+    return F.explode_outer(array)
+
+
 def approx_tokens(text: Column, floor: int = 1) -> Column:
     """Words times 1.3, rounded half to even, at least `floor`."""
     return F.greatest(F.lit(floor), F.bround(word_count(text) * F.lit(1.3)).cast("int"))

@@ -28,7 +28,7 @@ def page_markers(text: Column) -> Column:
 def explode_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_no, text): what follows each page comment; text before the first is page 0 if it is not blank."""
     parts = F.split(page_markers(F.col("text")), r"<!-- page (?=\d+ -->)")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("k", "part"))
+    rows = docs.select("doc_id", F.posexplode_outer(parts).alias("k", "part")).where("k is not null")  # see tx.each
     page = F.when(F.col("k") == 0, 0).otherwise(F.expr(r"try_cast(regexp_extract(part, '\\A(\\d+) -->', 1) AS INT)"))
     text = F.trim(F.when(F.col("k") == 0, F.col("part")).otherwise(F.regexp_replace("part", r"\A\d+ -->", "")), F.lit("\n "))
     return rows.where((F.col("k") > 0) | (F.trim("part", F.lit("\n ")) != "")).select("doc_id", page.alias("page_no"), text.alias("text"))
@@ -48,7 +48,7 @@ def critical_fields(pages: DataFrame) -> DataFrame:
     dates = F.transform(F.arrays_zip(whole(date, 0).alias("raw"), whole(date, 1).alias("d"), whole(date, 2).alias("m"), whole(date, 3).alias("y")), lambda x: F.struct(F.lit("date").alias("kind"), x["raw"].alias("raw"), F.concat_ws("/", x["d"], x["m"], x["y"]).alias("value"), F.lit("").alias("unit"), ((x["d"].cast("int") > 31) | (x["m"].cast("int") > 12)).alias("suspicious")))
     amounts = F.transform(F.arrays_zip(whole(amount, 0).alias("raw"), whole(amount, 1).alias("v"), whole(amount, 2).alias("u")), lambda x: F.struct(F.lit("amount").alias("kind"), x["raw"].alias("raw"), F.regexp_replace(x["v"], ",", "").alias("value"), F.coalesce(x["u"], F.lit("")).alias("unit"), F.lit(False).alias("suspicious")))
     refs = F.transform(F.arrays_zip(whole(ref, 0).alias("raw"), whole(ref, 1).alias("v")), lambda x: F.struct(F.lit("reference").alias("kind"), x["raw"].alias("raw"), bare(x["v"]).alias("value"), F.lit("").alias("unit"), F.contains(x["v"], F.lit("$")).alias("suspicious")))
-    return pages.select("doc_id", "page_no", F.explode(F.concat(dates, amounts, refs)).alias("f")).select("doc_id", "page_no", "f.*")
+    return pages.select("doc_id", "page_no", tx.each(F.concat(dates, amounts, refs)).alias("f")).where("f is not null").select("doc_id", "page_no", "f.*")
 
 
 def document_quality(docs: DataFrame, fields: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def document_quality(docs: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(tx.blank_if_null(F.col("text")), "\r\n?", "\n"), "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode_outer(F.split(F.regexp_replace(tx.blank_if_null(F.col("text")), "\r\n?", "\n"), "\n")).alias("line_no", "line"))  # see tx.each; no split is empty
 
 
 def assemble_lines(lines: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def repair_tables(lines: DataFrame) -> DataFrame:
     body = F.when((F.col("_place") == 1) & ~(separator & ~span), F.array_append(body, rule)).otherwise(body)
     body = F.when(F.col("line_no") == F.col("_last"), F.array_append(body, F.lit(""))).otherwise(body)
     parts = F.when(F.col("_row"), body).otherwise(F.array("line"))
-    rows = out.select("doc_id", "line_no", F.posexplode(parts).alias("k", "line"))
+    rows = out.select("doc_id", "line_no", F.posexplode_outer(parts).alias("k", "line")).where("k is not null")
     return rows.select("doc_id", (F.col("line_no") * 4 + F.col("k")).alias("line_no"), "line")
 
 

@@ -39,7 +39,7 @@ def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
     # a text is smaller than its postings, and dealing texts out evenly keeps large files from being one task's work
     even = chunks.select("chunk_id", text).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
     tokens = even.select("chunk_id", tx.legal_tokens(F.col(text)).alias("tokens"))
-    made = tokens.withColumn("length", F.size("tokens")).select("chunk_id", "length", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    made = tokens.withColumn("length", F.size("tokens")).select("chunk_id", "length", tx.each(F.col("tokens")).alias("term")).where("term is not null").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
     path = scratch(spark, "postings")
     made.write.parquet(path)
     postings = spark.read.schema(made.schema).parquet(path)
@@ -53,7 +53,7 @@ def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
 
 def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 20) -> DataFrame:
     """queries (query_id, text) as query_id, chunk_id, bm25_score, rank. A repeated query word counts each time."""
-    asked = queries.select("query_id", F.explode(tx.legal_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", tx.each(tx.legal_tokens(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = asked.join(index.terms, "term")
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
@@ -359,7 +359,7 @@ def pack_context(hits: DataFrame, budget: int = 3500, stop_when_full: bool = Fal
         return F.struct((acc["used"] + cost).cast("int").alias("used"), (acc["full"] | (F.lit(stop_when_full) & (kept < x["words"]))).alias("full"), chosen.alias("chosen"))
 
     zero = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast(empty).alias("chosen"))
-    packed = sorted_pool.select("query_id", F.explode(F.aggregate("items", zero, step)["chosen"]).alias("c")).select("query_id", "c.*")
+    packed = sorted_pool.select("query_id", tx.each(F.aggregate("items", zero, step)["chosen"]).alias("c")).where("c is not null").select("query_id", "c.*")
     out = packed.join(pool.select("query_id", "chunk_id", "chunk_type", "case_number", "rrf_score", "rank"), ["query_id", "chunk_id"])
     return out.withColumn("position", F.row_number().over(lead)).drop("rank")
 

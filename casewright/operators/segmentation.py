@@ -89,7 +89,7 @@ def resolve_boundaries(matches: DataFrame, near: int = 40) -> DataFrame:
     last = lambda kept: F.try_element_at(kept, F.lit(-1))
     close = lambda kept, x: F.coalesce(x["start"] - last(kept)["start"] < near, F.lit(False))
     thin = F.aggregate("kept", zero, lambda kept, x: F.when(~close(kept, x), F.array_append(kept, x)).when(x["score"] > last(kept)["score"], F.array_append(F.slice(kept, 1, F.size(kept) - 1), x)).otherwise(kept))
-    return one.select("doc_id", F.explode(thin).alias("b")).select("doc_id", "b.section", "b.start", "b.end", "b.score", "b.marker")
+    return one.select("doc_id", tx.each(thin).alias("b")).where("b is not null").select("doc_id", "b.section", "b.start", "b.end", "b.score", "b.marker")
 
 
 def slice_sections(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
