@@ -145,7 +145,7 @@ def entities(docs: DataFrame, most: int = 12, general: bool = False) -> DataFram
     An appellant and a public_authority, where docs have these columns, come first among people and authorities.
     """
     def found(p: str, n: int, lead: str = "") -> Column:
-        seen = F.transform(F.regexp_extract_all(F.substring("text", 1, n), F.lit(p), 0), lambda s: F.trim(tx.squeeze(s), F.lit(" ,.")))
+        seen = F.transform(F.regexp_extract_all(F.substring(tx.blank_if_null(F.col("text")), 1, n), F.lit(p), 0), lambda s: F.trim(tx.squeeze(s), F.lit(" ,.")))
         return F.slice(F.array_distinct(F.concat(_lead(docs, lead), seen)), 1, most)
 
     return docs.select("doc_id", found(rules.PEOPLE, 5000, "appellant").alias("people"), found(rules.AUTHORITIES, 6000, "public_authority").alias("authorities"), found(rules.DEPARTMENTS, 6000).alias("departments"), found(rules.LOCATIONS, 8000).alias("locations"), *([general_entities(docs).alias("entities")] if general else []))
@@ -158,7 +158,7 @@ def _lead(docs: DataFrame, name: str) -> Column:
 
 def general_entities(docs: DataFrame, most: int = 20, chars: int = 5000, longest: int = 80, patterns=rules.GENERAL_ENTITIES) -> Column:
     """Names of any kind in the first characters, pattern by pattern, each once; the public_authority, if docs have one, first."""
-    names = [F.transform(F.regexp_extract_all(F.substring("text", 1, chars), F.lit(p), 0), tx.squeeze) for p in patterns]
+    names = [F.transform(F.regexp_extract_all(F.substring(tx.blank_if_null(F.col("text")), 1, chars), F.lit(p), 0), tx.squeeze) for p in patterns]
     return F.slice(F.array_distinct(F.concat(_lead(docs, "public_authority"), F.filter(F.concat(*names), lambda v: F.length(v) <= longest))), 1, most)
 
 

@@ -17,19 +17,50 @@ def request_tokens(text: Column) -> Column:
     return F.concat(F.transform(F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9\-]+"), 0), F.lower), F.regexp_extract_all(t, F.lit(r"[ऀ-ॿ]+"), 0))
 
 
-def route_keywords(requests: DataFrame, departments: DataFrame) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def _keywords_inside(tok: DataFrame, kw: DataFrame) -> DataFrame:
+    """(request_id, kws): keywords of which a text holds the rarest trigram (or the whole, if it is shorter)."""
+    words = kw.select("kw").distinct()
+    size = F.least(F.length("kw"), F.lit(3))
+    own = F.when(size == 3, _grams(F.col("kw"), 3)).otherwise(F.array("kw"))
+    grams = words.where("kw <> ''").select("kw", tx.each(own).alias("gram")).where("gram is not null")
+    rare = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("kw").agg(F.min(F.struct("n", "gram")).alias("rare")).select("kw", F.col("rare.gram").alias("gram"))
+    lengths = [r.n for r in rare.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2 or 3
+    held = tok.select("request_id", tx.each(F.array_distinct(F.flatten(F.array_compact(F.array(*[_grams(F.col("joined"), n) for n in lengths] or [F.array().cast("array<string>")]))))).alias("gram")).where("gram is not null")
+    found = held.join(rare, "gram").groupBy("request_id").agg(F.collect_set("kw").alias("kws"))
+    if words.where("kw = ''").isEmpty():
+        return found
+    every = tok.select("request_id").distinct().join(found, "request_id", "left")
+    return every.select("request_id", F.concat(F.coalesce("kws", F.array().cast("array<string>")), F.array(F.lit(""))).alias("kws"))
+
+
+KEYWORDS = 2000  # of all departments, up to which they travel as one row
+
+
+def route_keywords(requests: DataFrame, departments: DataFrame, most: int = KEYWORDS) -> DataFrame:
     """(request_id, department_id, hits, keyword_score) for every department with a keyword in the request.
 
     A keyword counts 1 as a token or, of several words, within the tokens; half inside a token; the department's own id
-    adds 3 once something matched. Departments are a dimension, so their keywords travel as one array beside each request
-    and no pair of request and keyword becomes a row.
+    adds 3 once something matched. Up to `most` keywords travel as one array beside each request; more of them are found
+    by an index of letter trigrams, so that the cost follows the matches and not requests times keywords.
+
+    Defined cases: a null text has no tokens; rows that repeat a request_id add up; an empty keyword is inside every text.
     """
     kw = departments.select("department_id", F.explode(F.array_distinct(F.concat(F.transform("keywords_en", F.lower), "keywords_hi"))).alias("kw"))
-    table = kw.groupBy().agg(F.sort_array(F.collect_list(F.struct("department_id", "kw"))).alias("table"))
     tok = requests.select("request_id", request_tokens(F.col("text")).alias("tokens")).withColumn("joined", F.array_join("tokens", " "))
-    worth = lambda k: F.when(F.array_contains(F.col("tokens"), k["kw"]), 1.0).when(F.contains(k["kw"], F.lit(" ")) & F.contains(F.col("joined"), k["kw"]), 1.0).when(~F.contains(k["kw"], F.lit(" ")) & F.contains(F.col("joined"), k["kw"]), 0.5).otherwise(0.0)
-    hits = F.filter(F.transform("table", lambda k: F.struct(k["department_id"].alias("department_id"), worth(k).alias("w"))), lambda x: x["w"] > 0)
-    rows = tok.join(F.broadcast(table)).select("request_id", "joined", "tokens", F.explode(hits).alias("h"))  # table is one row
+    worth = lambda k: F.when(F.array_contains(F.col("tokens"), k), 1.0).when(F.contains(k, F.lit(" ")) & F.contains(F.col("joined"), k), 1.0).when(~F.contains(k, F.lit(" ")) & F.contains(F.col("joined"), k), 0.5).otherwise(0.0)
+    if kw.count() <= most:
+        table = kw.groupBy().agg(F.sort_array(F.collect_list(F.struct("department_id", "kw"))).alias("table"))
+        hits = F.filter(F.transform("table", lambda k: F.struct(k["department_id"].alias("department_id"), worth(k["kw"]).alias("w"))), lambda x: x["w"] > 0)
+        rows = tok.join(F.broadcast(table)).select("request_id", "joined", tx.each(hits).alias("h")).where("h is not null")  # table is one row of at most `most` keywords
+    else:
+        held = tok.join(_keywords_inside(tok, kw), "request_id").select("request_id", "tokens", "joined", "kws")
+        hits = F.filter(F.transform("kws", lambda k: F.struct(k.alias("kw"), worth(k).alias("w"))), lambda x: x["w"] > 0)
+        rows = held.select("request_id", "joined", tx.each(hits).alias("x")).where("x is not null")
+        rows = rows.join(kw, F.col("x.kw") == F.col("kw")).select("request_id", "joined", F.struct("department_id", "x.w").alias("h"))
     out = rows.groupBy("request_id", "h.department_id").agg(F.sum("h.w").alias("w"), F.max(F.contains("joined", F.lower(F.col("h.department_id")))).alias("named"))
     total = F.col("w") + F.when(F.col("named"), 3.0).otherwise(0.0)
     return out.select("request_id", "department_id", total.alias("hits"), F.round(F.least(F.lit(1.0), 0.25 + 0.20 * F.log2(1 + total)), 4).alias("keyword_score"))
@@ -209,25 +240,38 @@ def _best_names(threshold: float):
 NAMES = 512  # names in a block
 
 
+LENGTHS = 4  # letters that one length class of blocks spans
+
+
 def match_entities(left: DataFrame, right: DataFrame, threshold: float = 65.0) -> DataFrame:
     """left (left_id, name) to the best right (right_id, name) by token-sorted similarity; unmatched have a null right_id.
 
-    Every name of left is held against every one of right: distinct names meet in blocks, the left ones being the query
-    set, and a bound on letters in common spares most comparisons. Of equal scores the smaller right_id is taken.
+    Similarity is 200 * common / (lengths), and no more is common than the shorter name has, so names of lengths l and m can
+    reach the threshold only if the shorter is at least threshold / (200 - threshold) of the longer. Distinct names meet in
+    blocks of such length classes alone, the left ones being the query set; inside, a bound on letters in common spares
+    most comparisons. (Grams of two letters or more are no sure sign: two names of twenty letters that reach 65 may have no
+    two letters next to each other in common.) Of equal scores the smaller right_id is taken.
     """
     norm = lambda df, i: df.select(i, sorted_tokens(plain_name(F.col("name"))).alias("n"))
     a, b = norm(left, "left_id"), norm(right, "right_id")
     forms = b.groupBy("n").agg(F.min("right_id").alias("right_id"))
-
-    def blocks(names: DataFrame, k: int, name: str) -> DataFrame:
-        return names.groupBy(F.pmod(F.xxhash64("n"), F.lit(k)).cast("long").alias("k")).agg(F.collect_list("n").alias(name))
-
-    asked = a.select("n").distinct()
-    parts, asked_parts = (max(1, -(-df.count() // NAMES)) for df in (forms, asked))
-    rights = blocks(forms, parts, "b")
-    # each block of the query set goes to every block of the other names
-    lefts = blocks(asked, asked_parts, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("k"))
-    scored = lefts.join(rights, "k").select("a", "b").mapInArrow(_best_names(threshold), "a string, b string, score double")
+    kind = F.floor(F.length("n") / LENGTHS).cast("int")
+    ratio = max(threshold, 0.0) / (200.0 - min(threshold, 100.0))
+
+    def blocks(names: DataFrame, name: str) -> DataFrame:
+        sizes = names.groupBy(kind.alias("kind")).agg(F.ceil(F.count("*") / NAMES).cast("int").alias("parts"))
+        dealt = names.withColumn("kind", kind).join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
+        return dealt.groupBy("kind", "part").agg(F.collect_list("n").alias(name))
+
+    rights, lefts = blocks(forms, "b"), blocks(a.select("n").distinct(), "a")
+    # the shortest and longest names that a name of the class can match, as classes
+    low = F.floor(F.ceil(F.col("kind") * LENGTHS * ratio - 1e-9) / LENGTHS).cast("int")
+    longest = F.floor((F.col("kind") * LENGTHS + LENGTHS - 1) / ratio + 1e-9) if ratio > 0 else F.lit(1 << 20)
+    high = F.least(F.floor(longest / LENGTHS), F.lit(1 << 20)).cast("int")
+    held = rights.groupBy("kind").agg(F.max("part").alias("last")).groupBy().agg(F.collect_list(F.struct("kind", "last")).alias("held"))  # a row of length classes
+    asked = lefts.join(F.broadcast(held)).withColumn("fit", F.filter("held", lambda x: (x["kind"] >= low) & (x["kind"] <= high)))
+    asked = asked.select("a", tx.each(F.flatten(F.transform("fit", lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda p: F.struct(x["kind"].alias("kind"), p.alias("part")))))).alias("at")).where("at is not null")
+    scored = asked.select("a", "at.kind", "at.part").join(rights, ["kind", "part"]).select("a", "b").mapInArrow(_best_names(threshold), "a string, b string, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "right_id")
     best = scored.join(forms.withColumnRenamed("n", "b"), "b").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("a", "right_id", F.round("score", 6).alias("score"))
     return a.join(best, a["n"] == best["a"], "left").select("left_id", "right_id", "score")
