@@ -51,16 +51,90 @@ def bm25_stats(chunks: DataFrame, text: str = "text") -> LexicalIndex:
     return LexicalIndex(postings, terms)
 
 
-def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 20) -> DataFrame:
-    """queries (query_id, text) as query_id, chunk_id, bm25_score, rank. A repeated query word counts each time."""
+def _asked(queries: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, term, times, idf, avg_length) of the words of queries that the index holds."""
     asked = queries.select("query_id", tx.each(tx.legal_tokens(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(index.terms, "term")
+    return asked.join(index.terms, "term").select("query_id", "term", "times", "idf", "avg_length")
+
+
+def _weight() -> Column:
     tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = weighed.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25_score")).where("bm25_score > 0")
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+
+
+def _part() -> Column:
+    return F.col("times") * F.col("idf") * _weight()
+
+
+def bm25_bounds(index: LexicalIndex) -> DataFrame:
+    """(term, largest): what a word's best posting is worth, over its idf. Made once for an index, and written."""
+    spark = index.postings.sparkSession
+    average = index.terms.select("avg_length").limit(1)
+    made = index.postings.join(F.broadcast(average)).groupBy("term").agg(F.max(_weight()).alias("largest"))  # average is one row
+    path = scratch(spark, "bounds")
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 20) -> DataFrame:
+    """queries (query_id, text) as query_id, chunk_id, bm25_score, rank. A repeated query word counts each time."""
+    scored = _asked(queries, index).join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("bm25_score")).where("bm25_score > 0")
     return top(scored, "bm25_score", k)
 
 
+@dataclass
+class BoundedSearch:
+    """hits as of `bm25_search`, and how many postings were scored, of how many that hold a query word."""
+
+    hits: DataFrame
+    scored: DataFrame
+
+
+def bm25_search_bounded(queries: DataFrame, index: LexicalIndex, bounds: DataFrame, k: int = 20, first: float = 0.5) -> BoundedSearch:
+    """The hits of `bm25_search` without scoring every posting of every query word.
+
+    bounds (`bm25_bounds`) tell what a word adds at most; rare words add most. Each query's words are taken in that order
+    until they make up the share `first` of what all can add; scoring their postings gives chunks and, by the k-th
+    best of them, a threshold that the k-th best score reaches at least. If the other words together cannot reach it, only
+    chunks seen already can be hits, and of those only the ones that the other words can lift to it: their postings
+    alone are looked up, by word and chunk. Queries whose other words could reach the threshold are scored in full, as are
+    words of negative weight, for which the bound does not hold.
+    """
+    spark = queries.sparkSession
+    path = scratch(spark, "bounded")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    words = _asked(queries, index).join(bounds, "term").withColumn("most", F.greatest(F.col("times") * F.col("idf") * F.col("largest"), F.lit(0.0))).drop("largest")
+    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    words = words.withColumn("early", (F.col("idf") < 0) | (before < first * F.sum("most").over(Window.partitionBy("query_id"))))
+    words = kept(words, "words")
+    late = words.where("not early").groupBy("query_id").agg(F.sum("most").alias("rest"))
+    begun = kept(words.where("early").join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("score"), F.count("*").alias("n")), "begun")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    least = begun.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    asked = words.select("query_id").distinct().join(late, "query_id", "left").join(least, "query_id", "left")
+    # a hair below the threshold counts as reaching it: sums in another order differ in their last digits
+    closed = F.coalesce(F.col("rest"), F.lit(0.0)) < F.coalesce(F.col("least"), F.lit(0.0)) * (1 - 1e-9)
+    plan = kept(asked.select("query_id", F.coalesce("rest", F.lit(0.0)).alias("rest"), F.coalesce("least", F.lit(0.0)).alias("least"), (closed | F.col("rest").isNull()).alias("closed")), "plan")
+    able = kept(begun.join(plan.where("closed"), "query_id").where(F.col("score") + F.col("rest") >= F.col("least") * (1 - 1e-9)).select("query_id", "chunk_id"), "able")
+    # of open queries every posting of the late words counts, of closed ones those of chunks that can still be hits
+    late_words = words.where("not early")
+    open_parts = late_words.join(plan.where("not closed").select("query_id"), "query_id").join(index.postings, "term").select("query_id", "chunk_id", _part().alias("part"))
+    closed_parts = late_words.join(able, "query_id").join(index.postings, ["term", "chunk_id"]).select("query_id", "chunk_id", _part().alias("part"))
+    more = kept(open_parts.unionByName(closed_parts), "more")
+    closed_begun = begun.join(able, ["query_id", "chunk_id"], "left_semi")
+    open_begun = begun.join(plan.where("not closed").select("query_id"), "query_id", "left_semi")
+    scores = closed_begun.unionByName(open_begun).select("query_id", "chunk_id", F.col("score").alias("part")).unionByName(more)
+    scored = scores.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25_score")).where("bm25_score > 0")
+    held = words.join(index.terms.select("term", "df"), "term").groupBy("query_id").agg(F.sum("df").alias("postings"))
+    read = begun.select("query_id", "n").unionByName(more.select("query_id", F.lit(1).cast("long").alias("n"))).groupBy("query_id").agg(F.sum("n").alias("scored"))
+    return BoundedSearch(top(scored, "bm25_score", k), held.join(read, "query_id", "left").select("query_id", F.coalesce("scored", F.lit(0)).alias("scored"), "postings"))
+
+
 def top(hits: DataFrame, score: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -64,6 +64,22 @@ def r3_bm25_search(spark, sf):
     return hits.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), "rank")
 
 
+@query(_SEARCH + " SELECT query_id, chunk_id, round(score, 6) AS bm25_score, CAST(rank AS INTEGER) AS rank FROM bm25")
+def r3_bm25_bounded(spark, sf):
+    """The same hits, with postings skipped that cannot reach them."""
+    index = r.bm25_stats(view(spark, sf, "chunks"))
+    hits = r.bm25_search_bounded(view(spark, sf, "queries"), index, r.bm25_bounds(index)).hits
+    return hits.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), "rank")
+
+
+@query(_SEARCH + ", r AS (SELECT query_id, count(*) AS postings FROM asked JOIN post USING (term) GROUP BY ALL) SELECT query_id, postings, true AS fewer FROM r")
+def r3_postings_scored(spark, sf):
+    """For each query the postings of its words, and whether the bounded search scores no more of them."""
+    index = r.bm25_stats(view(spark, sf, "chunks"))
+    scored = r.bm25_search_bounded(view(spark, sf, "queries"), index, r.bm25_bounds(index)).scored
+    return scored.select("query_id", "postings", (F.col("scored") <= F.col("postings")).alias("fewer"))
+
+
 @query(ctes("chunks") + " SELECT chunk_id, source, chunk_type, decision_date FROM v_chunks WHERE lower(source) = 'cic' AND lower(chunk_type) = 'facts' AND CAST(decision_date AS VARCHAR) LIKE '2020%'")
 def r4_metadata_filter(spark, sf):
     chunks = view(spark, sf, "chunks")

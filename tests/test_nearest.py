@@ -1,4 +1,4 @@
-"""The projection index against the exhaustive search, on whole tables and odd vectors."""
+"""Searches that read less, against the exhaustive ones, on whole tables and odd input."""
 
 import random
 
@@ -43,3 +43,25 @@ def test_a_crowded_cell_is_split_and_copies_are_all_found(spark):
     assert [r.query_id for r in got] == ["q"] * len(got) and {r.chunk_id for r in got} >= {str(k) for k in range(500)}
     assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"])][:3] == ["0", "1", "10"]
     assert projections.projection_topk(queries, projections.build_index(vectors.limit(0)), 8).count() == 0
+
+
+def plain_hits(df):
+    return sorted((r.query_id, r.chunk_id, round(r.bm25_score, 6), r["rank"]) for r in df.collect())
+
+
+def test_bounded_search_gives_the_same_hits_and_skips_common_words(spark):
+    rnd = random.Random(3)
+    common, rare = [f"common{k}" for k in range(6)], [f"rare{k}" for k in range(300)]
+    chunks = [(k, " ".join(rnd.choices(common, k=rnd.randint(5, 40)) + rnd.choices(rare, k=3))) for k in range(2000)]
+    asked = [(k, f"{rnd.choice(rare)} {rnd.choice(rare)} {rnd.choice(common)} {rnd.choice(common)}") for k in range(40)]
+    asked += [(100, "common1 common2"), (101, "nothing"), (102, ""), (103, None), (104, "rare1 rare1 rare2 common1")]
+    index = retrieval.bm25_stats(spark.createDataFrame(chunks, "chunk_id long, text string"))
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    bounds = retrieval.bm25_bounds(index)
+    for k in (3,):
+        want = plain_hits(retrieval.bm25_search(queries, index, k))
+        for first in (0.0, 0.6, 1.0):
+            got = retrieval.bm25_search_bounded(queries, index, bounds, k, first)
+            assert plain_hits(got.hits) == want, (k, first)
+    few = retrieval.bm25_search_bounded(queries.where("query_id < 100"), index, bounds, 3, 0.6).scored.agg(F.sum("scored") / F.sum("postings")).first()[0]
+    assert few < 0.2, few
