@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright.functions import rules
 from casewright.functions import text as tx
 from casewright.operators import segmentation
+from casewright.sources.scratch import scratch
 
 
 def _some(text: Column) -> Column:
@@ -21,13 +22,23 @@ def case_number(text: Column) -> Column:
     return F.coalesce(tx.normalize_case_number(strict), tx.normalize_case_number(F.when(loose.rlike("[/_]"), loose)), F.lit("UNKNOWN"))
 
 
+def _date_text(text: Column, label: str) -> Column:
+    return _some(F.regexp_extract(tx.blank_if_null(text), rf"(?is)(?:{label})\s*:?\s*({rules.DATE}|Not\s+on\s+Record)", 1))
+
+
 def labelled_date(text: Column, label: str) -> Column:
     """The date after a label; null for "Not on Record"; text that is no known format gives null."""
-    return tx.normalize_date(_some(F.regexp_extract(tx.blank_if_null(text), rf"(?is)(?:{label})\s*:?\s*({rules.DATE}|Not\s+on\s+Record)", 1)))
+    return tx.normalize_date(_date_text(text, label))
 
 
 def labelled_dates(docs: DataFrame, labels=rules.DATE_LABELS) -> DataFrame:
-    return docs.select("doc_id", *[labelled_date(F.col("text"), pattern).alias(name) for name, pattern in labels])
+    return _with_dates(docs.select("doc_id", "text"), labels).drop("text")
+
+
+def _with_dates(docs: DataFrame, labels=rules.DATE_LABELS) -> DataFrame:
+    """docs with their dates; what stands after a label is found in a step of its own, as each known format looks at it."""
+    found = docs.select("*", *[_date_text(F.col("text"), pattern).alias(name) for name, pattern in labels])
+    return found.select(*docs.columns, *[tx.normalize_date(F.col(name)).alias(name) for name, _ in labels])
 
 
 def citations(text: Column) -> Column:
@@ -51,25 +62,42 @@ def penalty(section: Column, text: Column) -> tuple[Column, Column]:
     return (F.coalesce(value, F.lit(0)) > 0) | words, value
 
 
-def party(text: Column, label: str) -> Column:
-    """The value of a `label:` line, else what stands before the label on its line."""
+def _party_lines(text: Column, label: str) -> tuple[Column, Column]:
     after = F.regexp_extract(tx.blank_if_null(text), rf"(?im)^\s*{label}\s*[:\-]\s*(.+)$", 1)
     before = F.regexp_extract(tx.blank_if_null(text), rf"(?im)^(.+?)\s+\.*\s*{label}\b.*$", 1)
     clean = lambda c: F.regexp_replace(c, r"\A[ .,:;\-]+|[ .,:;\-]+\z", "")
-    ok = lambda c: F.when((clean(c) != "") & (F.length(clean(c)) <= 180), clean(c))
+    return clean(after), clean(before)
+
+
+def _party_of(after: Column, before: Column) -> Column:
+    ok = lambda c: F.when((c != "") & (F.length(c) <= 180), c)
     return F.coalesce(ok(after), ok(before))
 
 
+def party(text: Column, label: str) -> Column:
+    """The value of a `label:` line, else what stands before the label on its line."""
+    return _party_of(*_party_lines(text, label))
+
+
+PARTIES = {"appellant": ["appellant", "complainant"], "respondent": ["respondent"], "officer": ["cpio", "pio"], "appellate_authority": ["faa", "first appellate authority"]}
+
+
 def named_parties(docs: DataFrame) -> DataFrame:
-    t = F.col("text")
+    return _with_parties(docs.select("doc_id", "text")).drop("text")
+
+
+def _with_parties(docs: DataFrame) -> DataFrame:
+    """docs with their parties: lines first, then who they name, then what follows from that, each search once."""
+    t, labels = F.col("text"), [label for own in PARTIES.values() for label in own]
+    place = {label: f"_line{k}" for k, label in enumerate(labels)}
+    lines = docs.select("*", *[c.alias(f"{place[label]}{side}") for label in labels for side, c in zip("ab", _party_lines(t, label), strict=True)])
+    who = [F.coalesce(*[_party_of(F.col(f"{place[label]}a"), F.col(f"{place[label]}b")) for label in own]).alias(name) for name, own in PARTIES.items()]
     judge = F.coalesce(_some(F.trim(F.regexp_extract(t, r"(?im)^\s*\[?([A-Z][A-Za-z .]+)\]?\s*\n\s*Information\s+Commissioner", 1), F.lit(" []"))), _some(F.trim(F.regexp_extract(t, r"(?i)(?:Chief )?Information Commissioner\s*[:\-]?\s*([^\n]+)", 1), F.lit(" ,:"))))
-    respondent = party(t, "respondent")
-    body = _some(F.trim(tx.squeeze(F.regexp_extract(F.coalesce(respondent, t), rules.PUBLIC_AUTHORITY, 0)), F.lit(" ,.")))
-    return docs.select(
-        "doc_id", F.coalesce(party(t, "appellant"), party(t, "complainant")).alias("appellant"), respondent.alias("respondent"), judge.alias("commissioner"),
-        F.coalesce(party(t, "cpio"), party(t, "pio")).alias("officer"), F.coalesce(party(t, "faa"), party(t, "first appellate authority")).alias("appellate_authority"), body.alias("public_authority"),
-        F.when(F.contains(body, F.lit("Department")), body).alias("department"), _some(F.trim(F.regexp_extract(t, r"(?i)\b(Ministry\s+of\s+[A-Za-z &,/.-]+)", 1), F.lit(" ,."))).alias("ministry"),
-    )
+    ministry = _some(F.trim(F.regexp_extract(t, r"(?i)\b(Ministry\s+of\s+[A-Za-z &,/.-]+)", 1), F.lit(" ,.")))
+    named = lines.select(*docs.columns, *who, judge.alias("commissioner"), ministry.alias("ministry"))
+    body = _some(F.trim(tx.squeeze(F.regexp_extract(F.coalesce("respondent", t), rules.PUBLIC_AUTHORITY, 0)), F.lit(" ,.")))
+    named = named.withColumn("public_authority", body).withColumn("department", F.when(F.contains("public_authority", F.lit("Department")), F.col("public_authority")))
+    return named.select(*docs.columns, "appellant", "respondent", "commissioner", "officer", "appellate_authority", "public_authority", "department", "ministry")
 
 
 def source_of(text: Column, table=rules.SOURCE_RULES) -> Column:
@@ -144,11 +172,15 @@ def entities(docs: DataFrame, most: int = 12, general: bool = False) -> DataFram
 
     An appellant and a public_authority, where docs have these columns, come first among people and authorities.
     """
+    return docs.select("doc_id", *[c.alias(name) for name, c in _entity_columns(docs, most).items()], *([general_entities(docs).alias("entities")] if general else []))
+
+
+def _entity_columns(docs: DataFrame, most: int = 12) -> dict[str, Column]:
     def found(p: str, n: int, lead: str = "") -> Column:
         seen = F.transform(F.regexp_extract_all(F.substring(tx.blank_if_null(F.col("text")), 1, n), F.lit(p), 0), lambda s: F.trim(tx.squeeze(s), F.lit(" ,.")))
         return F.slice(F.array_distinct(F.concat(_lead(docs, lead), seen)), 1, most)
 
-    return docs.select("doc_id", found(rules.PEOPLE, 5000, "appellant").alias("people"), found(rules.AUTHORITIES, 6000, "public_authority").alias("authorities"), found(rules.DEPARTMENTS, 6000).alias("departments"), found(rules.LOCATIONS, 8000).alias("locations"), *([general_entities(docs).alias("entities")] if general else []))
+    return {"people": found(rules.PEOPLE, 5000, "appellant"), "authorities": found(rules.AUTHORITIES, 6000, "public_authority"), "departments": found(rules.DEPARTMENTS, 6000), "locations": found(rules.LOCATIONS, 8000)}
 
 
 def _lead(docs: DataFrame, name: str) -> Column:
@@ -269,14 +301,16 @@ def representative_cases(cases: DataFrame, n: int = 5) -> DataFrame:
 
 def extract_cases(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) to one case each, with the fields of the case table."""
-    t = tx.clean_text(F.col("text"), 3)
-    parts = named_parties(docs.select("doc_id", t.alias("text")))
-    dates = labelled_dates(docs.select("doc_id", t.alias("text")))
-    clean = docs.select("doc_id", t.alias("text"))
+    spark = docs.sparkSession
+    path = scratch(spark, "case-texts")
+    # the searches of a text cost far more than dealing the texts out evenly; all but the blocks are columns beside it
+    made = docs.select("doc_id", tx.clean_text(F.col("text"), 3).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    made.write.parquet(path)
+    clean = spark.read.schema(made.schema).parquet(path)
     blocks = segmentation.labelled_blocks(clean).groupBy("doc_id").agg(*[F.max(F.when(F.col("block") == b, tx.squeeze(F.col("text")))).alias(b) for b in ("facts", "grounds")])
-    known = clean.join(parts.select("doc_id", "appellant", "public_authority"), "doc_id")
-    named = entities(known, general=True).withColumnsRenamed({c: f"entities_{c}" for c in ("people", "authorities", "departments", "locations")})
-    base = clean.join(parts, "doc_id").join(dates, "doc_id").join(named, "doc_id").join(blocks, "doc_id", "left")
+    known = _with_dates(_with_parties(clean))
+    named = known.select("*", *[c.alias(f"entities_{name}") for name, c in _entity_columns(known).items()], general_entities(known).alias("entities"))
+    base = named.join(blocks, "doc_id", "left")
     cited = citations(F.col("text"))
     imposed, value = penalty(F.col("text"), F.col("text"))
     observed = key_sentences(F.col("text"), rules.OBSERVATION_WORDS, 6, first_two=False)
