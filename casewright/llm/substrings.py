@@ -439,15 +439,19 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
     return run
 
 
-def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters: bool = False, extra: str | None = None) -> DataFrame:
-    """docs (doc_id, text and the struct column `extra`, if named) cut; `output` names the columns of the result."""
-    if not 33 <= span <= 50 + 6 or span < GRAM + 8:
+def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters: bool = False, extra: str | None = None, pack_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+    """docs (doc_id, text and the struct column `extra`, if named) cut; `output` names the columns of the result.
+
+    span: 33 to 55, so that the strings that can share a least gram have a bit each in an answer of 32. pack_bytes and
+    bucket_bytes: of text, PACK_BYTES and BUCKET_BYTES if not given; larger ones take more memory a task and fewer rows.
+    """
+    if not 33 <= span <= GRAM + 31:
         raise ValueError("span is out of range")
     spark = docs.sparkSession
     work = Work(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n, m = max(1, -(-size // PACK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    n, m = max(1, -(-size // (pack_bytes or PACK_BYTES))), max(1, -(-size // (bucket_bytes or BUCKET_BYTES)))
     payload = ["doc_id", *([extra] if extra else [])]
     own = docs.schema[extra] if extra else None
     pack = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("pack")
@@ -466,12 +470,12 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(m, span, payload, to_arrow_schema(kind), whole_characters), kind)
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, **sizes) -> DataFrame:
     """docs with their texts cut; a character stays unless all its bytes go. All columns stay; null texts stay null."""
     extra, blank = fresh(docs, "_row"), fresh(docs, "_blank")
     others = [F.col(c) for c in docs.columns if c != "text"]
     nested = docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias(blank)).alias(extra))
-    kept = cut_repeats(nested, f"{extra} int, kept binary", span, True, extra)
+    kept = cut_repeats(nested, f"{extra} int, kept binary", span, True, extra, **sizes)
     text = F.when(~F.col(extra)[blank], F.col("kept").cast("string"))
     return kept.select(*[text.alias(c) if c == "text" else F.col(extra)[c].alias(c) for c in docs.columns])
 

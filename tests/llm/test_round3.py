@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from casewright.llm import hard_negatives, spelling, toxicity
+from casewright.llm import decontaminate, hard_negatives, quality, spelling, substrings, toxicity
 from casewright.llm.textblocks import text_bytes
 from casewright.llm.work import Work
 
@@ -234,3 +234,26 @@ def test_node_numbers_are_equal_for_equal_prefixes_alone(spark):
         for k, node in enumerate(r.nodes, 1):
             assert of.setdefault(words[r.key][:k], node) == node
     assert len(set(of.values())) == len(of) and len(got) == len(words)
+
+
+def test_item_ids_that_are_empty_beside_null(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([("", "one"), (None, "two"), ("a", "three")], "item_id string, text string")
+    out, name = decontaminate.annotate(docs, items)
+    assert {r.doc_id: r[name]["items"] for r in out.collect()} == {1: ["", "a", None], 2: []}
+
+
+def test_quality_without_any_label(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    out, name = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [r[name] for r in out.collect()] == [0.5, 0.5]
+
+
+def test_spans_that_do_not_fit_an_answer_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x" * 80), (2, "x" * 70)], "doc_id long, text string")
+    for span in (32, 56):
+        with pytest.raises(ValueError):
+            substrings.remove_repeats(docs, span)
+    for span in (33, 55):
+        got = {r.doc_id: r.text for r in substrings.remove_repeats(docs, span, pack_bytes=64, bucket_bytes=64).collect()}
+        assert got == {1: "x" * 80, 2: ""}
