@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last give the columns of
 `documents`. Between stages the rows are written as Parquet and read again.
+
+Defined cases, for every stage: an empty table gives no rows; further columns, whatever their names, pass through all
+stages but the last; null and empty texts are scored by the first stage, and no later one but the last does anything to
+them; rows without a doc_id pass the near-duplicates all, lose in the third stage what named documents hold, and are
+packed with null ids. Rows that repeat a doc_id are scored each; one of them stays in the second stage, also where their
+texts differ.
 """
 
 from __future__ import annotations
