@@ -71,3 +71,31 @@ def test_every_stage_equals_its_plain_version(spark):
     for r in docs.collect():
         again[r.doc_id].add((r.piece, r.start, r.length, r.ids_crc32))
     assert whole == again
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated ids with other texts, rows without an id, clashing columns, and an empty table, stage by stage."""
+    good = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 2000").orderBy("doc_id").limit(12).collect()]
+    rows = [*good, (None, good[0][1]), (None, good[3][1][:1500] + " tail"), (good[0][0], good[5][1][::-1]), (900_001, None), (900_002, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score double, _row string, kept boolean, component int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "x", None, 1) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        got = out.collect()
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted({i for i, _ in rows if i is not None})
+            assert sum(r.doc_id is None for r in got) == 2
+        elif name == "substrings":
+            assert len(got) == len(rows)
+            texts = {r.doc_id: r.text for r in got if r.doc_id in (900_001, 900_002)}
+            assert texts == {900_001: None, 900_002: ""}
+            # rows without an id come after all others, so a copy of a named text goes whole
+            assert min(len(r.text) for r in got if r.doc_id is None) == 0
+            assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+        elif name == "decontaminate":
+            assert {900_001, 900_002} <= {r.doc_id for r in got}
+        elif name == "packing":
+            assert {r.doc_id for r in got} == {i for i, _ in rows}
