@@ -34,6 +34,7 @@ from casewright.llm.work import Work, fresh, read, with_arrow_columns
 
 CUT = 0.7
 SAMPLE, TERMS, ROUNDS = 40_000, 8192, 6
+PARTS = 16  # of the training sample
 SINGLE, TIERS = 8, (0.9, 0.5, 0.2)  # voters of one term for each kind; toxic rates of the lexicons
 PREFIXES = (4, 5)
 INSULTS = "bastard clown coward creep cretin degenerate dimwit disgusting dumb fool freak garbage idiot imbecile loser moron pathetic pig pervert psycho rat scum sleazy slob stupid trash twit vermin vile worthless".split()
@@ -349,7 +350,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         return lambda masks, y: [np.where(y.to_numpy() >= 0, y.to_numpy(), model.posterior(masks.to_numpy()))]
 
     some = with_arrow_columns(_drawn(classes, known.count(), sample, 2), ["votes", "y"], [T.StructField("p", T.DoubleType())], posterior)
-    weights, offset = fit_weights(work.table(some.select("terms", "p"), "posterior"), len(voters.terms))
+    # a bounded sample, however many tasks read it: each step of the fit sends the driver one gradient for each part
+    weights, offset = fit_weights(work.table(some.select("terms", "p").repartition(PARTS), "posterior"), len(voters.terms))
     return Classifier(voters, model, weights, offset), known
 
 
