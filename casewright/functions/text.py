@@ -19,12 +19,12 @@ def blank_if_null(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space runs become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(blank_if_null(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(blank_if_null(text), r"\s{2,}|[\t\n\x0B\f\r]", " "))  # single blanks stay untouched
 
 
 def words(text: Column) -> Column:
     """Pieces between white space."""
-    return F.filter(F.split(squeeze(text), " "), lambda w: w != "")
+    return F.array_remove(F.split(squeeze(text), " "), "")
 
 
 def word_count(text: Column) -> Column:
@@ -56,11 +56,13 @@ def legal_tokens(text: Column) -> Column:
 
 def clean_text(text: Column, most_newlines: int = 3, comments: str | None = "newline") -> Column:
     """NUL to blank, one kind of line end, single blanks, no blanks around line ends, runs of line ends capped."""
-    t = F.regexp_replace(F.translate(blank_if_null(text), "\0", " "), "\r\n?", "\n")
+    swap = lambda t, old, new: F.replace(t, F.lit(old), F.lit(new))  # noqa: E731  plain search, where no pattern is needed
+    t = swap(swap(swap(blank_if_null(text), "\0", " "), "\r\n", "\n"), "\r", "\n")
     if comments:
         t = F.regexp_replace(t, r"(?i)<!--\s*page\s+\d+\s*-->", "\n" if comments == "newline" else "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\f\x0B]+", " "), " *\n *", "\n")
-    return F.regexp_replace(F.regexp_replace(t, f"\n{{{most_newlines + 1},}}", "\n" * most_newlines), r"\A\s+|\s+\z", "")
+    t = F.regexp_replace(t, r"[ \t\f\x0B]{2,}|[\t\f\x0B]", " ")
+    t = swap(swap(t, " \n", "\n"), "\n ", "\n")
+    return F.trim(F.regexp_replace(t, f"\n{{{most_newlines + 1},}}", "\n" * most_newlines), F.lit(" \t\n\x0B\f\r"))
 
 
 def compact(text: Column, limit: int) -> Column:
