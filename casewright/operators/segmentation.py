@@ -22,50 +22,96 @@ def normalized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tx.clean_text(F.col("text"), 3).alias("text"))
 
 
-def needed_words(pattern: str) -> list[str] | None:
-    """Lower-case strings of which every match of the pattern holds one; None if there is no telling."""
-    from re import _constants as kind
-    from re import _parser as parser
-
-    def of(tree) -> list[str] | None:
-        found, run = [], ""
-        for op, value in [*tree, (None, None)]:
-            if op is kind.LITERAL:
-                run += chr(value).lower()
-                continue
-            found.append([run] if run else None)
-            run = ""
-            if op is kind.BRANCH:
-                own = [of(x) for x in value[1]]
-                found.append(None if None in own else [w for x in own for w in x])
-            elif op is kind.SUBPATTERN:
-                found.append(of(value[3]))
-            elif op in (kind.MAX_REPEAT, kind.MIN_REPEAT) and value[0] > 0:
-                found.append(of(value[2]))
-        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=None)
-
-    return of(parser.parse(pattern, re.IGNORECASE))
+LITERAL = r"[A-Za-z0-9][A-Za-z0-9 ]*"
+#: patterns whose matches begin at a word of known letters: a word's edge or a line's start, then one or several beginnings
+BEGINNING = re.compile(rf"(?:\(\?[ims]+\))?(?P<edge>\\b|\^\\s\*)(?:\(\?:(?P<several>(?:[^()\\]|\\.)*)\)(?![?*{{])|(?P<one>{LITERAL}.?))")
+
+
+def _has_choice(pattern: str) -> bool:
+    """Whether a | stands outside all brackets."""
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern, flags=re.DOTALL)
+    while (inner := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = inner
+    return "|" in bare
+
+
+def beginnings(pattern: str) -> tuple[bool, list[str]] | None:
+    """(whether blanks from a line's start may come first, lower-case beginnings of which every match has one), or None.
+
+    Read off the pattern's own text; None where it has another form, such a pattern is searched for from every place.
+    """
+    form = BEGINNING.match(pattern)
+    if form is None or _has_choice(pattern):
+        return None
+    found = []
+    for part in [form["one"]] if form["one"] else form["several"].split("|"):
+        run = re.match(LITERAL, part)
+        if run is None:
+            return None
+        # a last letter that may be left out, or repeated, is none to count on
+        sure = run[0][:-1] if part[run.end() : run.end() + 1] in ("?", "*", "+", "{") else run[0]
+        if not sure:
+            return None
+        found.append(sure.lower())
+    return form["edge"] != r"\b", found
+
+
+def _line_start(text: str, place: int, least: int) -> int:
+    """The first line start from which nothing but white space leads to `place`, not before `least`; -1 if there is none."""
+    first = place
+    while first > least and text[first - 1].isspace():
+        first -= 1
+    if first == 0 or text[first - 1] == "\n":
+        return first
+    return text.find("\n", first, place) + 1 or -1
 
 
 def find_boundaries(docs: DataFrame, patterns=rules.BOUNDARY_PATTERNS) -> DataFrame:
     """All matches of all patterns: (doc_id, section, start, end, score, marker, priority).
 
-    Offsets of every match are no built-in, so a small Arrow map searches each text; rows come out one for each match. A
-    pattern is only searched for in texts that hold words it cannot match without.
+    Offsets of every match are no built-in, so a small Arrow map searches each text; rows come out one for each match. One
+    automaton over the beginnings of all patterns reads a text once, and a pattern is tried at its beginnings alone.
     """
     table = [(s, p, float(c)) for s, p, c in patterns]
     names = ["doc_id", "section", "start", "end", "score", "marker", "priority"]
 
     def search(batches):
-        compiled = [(s, re.compile(p, re.IGNORECASE | re.MULTILINE | re.DOTALL), c, k, needed_words(p)) for k, (s, p, c) in enumerate(table)]
+        import ahocorasick
+
+        compiled = [re.compile(p, re.IGNORECASE | re.MULTILINE | re.DOTALL) for _, p, _ in table]
+        begins = [beginnings(p) for _, p, _ in table]
+        owners: dict[str, list[int]] = {}
+        for k, known in enumerate(begins):
+            for word in known[1] if known else []:
+                owners.setdefault(word, []).append(k)
+        scan = ahocorasick.Automaton()
+        for word, own in owners.items():
+            scan.add_word(word, (len(word) - 1, own))
+        scan.make_automaton()
+
+        def matches(text: str, k: int, places) -> list:
+            found, end = [], 0
+            for place in sorted(set(places)):
+                start = place if not begins[k][0] or place < end else _line_start(text, place, end)
+                match = compiled[k].match(text, start) if place >= end and start >= 0 else None
+                if match:
+                    found.append(match)
+                    end = match.end()
+            return found
+
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                low, plain = text.lower(), not any(c in text for c in "\u017f\u212a\u0130")  # letters that match others without case
-                for s, p, c, k, needed in compiled:
-                    if not (plain and needed) or any(w in low for w in needed):
-                        out += [(doc, s, m.start(), m.end(), c, m[0].strip(), k) for m in p.finditer(text)]
+                places: dict[int, list[int]] = {}
+                low = text.lower()
+                plain = len(low) == len(text) and not any(c in text for c in "\u017f\u212a\u0130\u0131")  # letters that match others without case
+                for last, (back, own) in scan.iter(low) if plain and owners else ():
+                    for k in own:
+                        places.setdefault(k, []).append(last - back)
+                for k, (s, _, c) in enumerate(table):
+                    found = matches(text, k, places.get(k, ())) if plain and begins[k] else compiled[k].finditer(text)
+                    out += [(doc, s, m.start(), m.end(), c, m[0].strip(), k) for m in found]
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
