@@ -10,6 +10,7 @@ STOPWORDS = ("the", "a", "an", "is", "are", "was", "were", "in", "of", "and", "t
 # What a section reference and a case number look like in lower-case text.
 SECTION_REF = r"\b\d+\s*\(\s*\d+\s*\)\s*\(\s*[a-z]\s*\)|\b\d+\s*\(\s*\d+\s*\)|\bsection\s+\d+\s*\(\s*\d+\s*\)\s*\(\s*[a-z]\s*\)|\bsection\s+\d+\s*\(\s*\d+\s*\)|\bsection\s+\d+\b"
 CASE_REF = r"\b(?:cic|sic)[/_-][a-z0-9/_-]+\b"
+BLANKS = " \t\n\x0B\f\r"  # white space as patterns have it
 WORD = r"[a-z0-9]+(?:/[a-z0-9]+)*"
 
 
@@ -62,7 +63,7 @@ def clean_text(text: Column, most_newlines: int = 3, comments: str | None = "new
         t = F.regexp_replace(t, r"(?i)<!--\s*page\s+\d+\s*-->", "\n" if comments == "newline" else "")
     t = F.regexp_replace(t, r"[ \t\f\x0B]{2,}|[\t\f\x0B]", " ")
     t = swap(swap(t, " \n", "\n"), "\n ", "\n")
-    return F.trim(F.regexp_replace(t, f"\n{{{most_newlines + 1},}}", "\n" * most_newlines), F.lit(" \t\n\x0B\f\r"))
+    return F.trim(F.regexp_replace(t, f"\n{{{most_newlines + 1},}}", "\n" * most_newlines), F.lit(BLANKS))
 
 
 def compact(text: Column, limit: int) -> Column:

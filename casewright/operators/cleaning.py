@@ -73,7 +73,7 @@ def assemble_lines(lines: DataFrame) -> DataFrame:
 
 
 def bare(line: Column) -> Column:
-    return F.regexp_replace(line, r"\A\s+|\s+\z", "")
+    return F.trim(line, F.lit(tx.BLANKS))
 
 
 def is_table_row(line: Column) -> Column:
@@ -167,7 +167,7 @@ def dedup_paragraphs(lines: DataFrame) -> DataFrame:
 
 def join_hyphenated(lines: DataFrame) -> DataFrame:
     """No trailing blanks, single inner blanks; a line that ends in a dash takes the next if that starts lower-case."""
-    line = F.rtrim(F.regexp_replace("line", r"\s+\z", ""))
+    line = F.rtrim("line", F.lit(tx.BLANKS))
     line = F.when(is_table_row(line), line).otherwise(F.regexp_replace(line, r"(?<!\|)  +(?!\|)", " "))
     out = lines.withColumn("line", line)
     joins = F.endswith(F.lag("line").over(_line()), F.lit("-")) & F.col("line").rlike(r"\A\p{Ll}")

@@ -15,7 +15,7 @@ from casewright.functions import rules
 from casewright.functions import text as tx
 from casewright.sources.scratch import scratch
 
-EDGE = r"\A[ \n:\-]+|[ \n:\-]+\z"
+EDGE = " \n:-"
 
 
 def normalized(docs: DataFrame) -> DataFrame:
@@ -142,10 +142,10 @@ def slice_sections(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Each boundary's body to the next start; bodies of one section are joined and its score is the best, later ones less .05."""
     following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
     rows = boundaries.withColumn("next", following).join(docs.select("doc_id", "text"), "doc_id")
-    body = F.regexp_replace(F.substring("text", F.col("end") + 1, F.coalesce("next", F.length("text")) - F.col("end")), EDGE, "")
-    marker = F.regexp_replace("marker", EDGE, "")
+    body = strip_edges(F.substring("text", F.col("end") + 1, F.coalesce("next", F.length("text")) - F.col("end")))
+    marker = strip_edges(F.col("marker"))
     repeated = (marker != "") & F.startswith(F.lower(body), F.lower(marker))
-    body = F.when(repeated, F.regexp_replace(F.substring(body, F.length(marker) + 1, F.length(body)), EDGE, "")).otherwise(body)
+    body = F.when(repeated, strip_edges(F.substring(body, F.length(marker) + 1, F.length(body)))).otherwise(body)
     rows = rows.select("doc_id", "section", "start", "score", body.alias("body")).where("body <> ''")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("start")))
     score = F.max(F.when(F.col("k") == 1, F.col("score")).otherwise(F.col("score") - 0.05))
@@ -225,7 +225,7 @@ def labelled_blocks(docs: DataFrame, markers=rules.LABELLED_BLOCKS) -> DataFrame
     found = find_boundaries(docs, markers)
     following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
     rows = found.withColumn("next", following).join(docs.select("doc_id", "text"), "doc_id")
-    body = F.regexp_replace(F.substring("text", F.col("end") + 1, F.coalesce("next", F.length("text")) - F.col("end")), r"\A[ :\n]+|[ :\n]+\z", "")
+    body = F.trim(F.substring("text", F.col("end") + 1, F.coalesce("next", F.length("text")) - F.col("end")), F.lit(" :\n"))
     return rows.groupBy("doc_id", F.col("section").alias("block")).agg(F.max_by(body, "start").alias("text"))
 
 
@@ -242,4 +242,4 @@ def section_text(sections: DataFrame, names: list[str]) -> DataFrame:
 
 
 def strip_edges(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE, "")
+    return F.trim(text, F.lit(EDGE))
