@@ -5,7 +5,7 @@ import re
 import unicodedata
 
 from casewright.functions import rules
-from casewright.operators import extraction
+from casewright.operators import cases, extraction
 from casewright.plans.registry import QUERIES
 from casewright.plans.views import view
 from tests.test_plain import SF, clean, is_row, matches, repaired, resolved, split, texts, tokens
@@ -162,3 +162,10 @@ def test_clean_markdown(spark):
     for doc, text in texts(spark, "marked").items():
         assert got[doc] == markdown(text), doc
     assert len(got) == len(texts(spark, "marked"))
+
+
+def test_a_case_held_twice_is_updated_once(spark):
+    kind = "case_number string, outcome string, created_at int, updated_at int"
+    base = spark.createDataFrame([("A/1", "x", 5, 5), ("A/1", "y", 3, 6), ("B/1", "z", 1, 1)], kind)
+    new = spark.createDataFrame([("a_1", "new", 9, 9, 1), ("C/1", "c", 8, 8, 2)], kind + ", arrived int")
+    assert sorted(map(tuple, cases.upsert_cases(base, new).collect())) == [("A/1", "new", 3, 9), ("B/1", "z", 1, 1), ("C/1", "c", 8, 8)]
