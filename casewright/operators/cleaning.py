@@ -188,10 +188,14 @@ def clean_markdown(docs: DataFrame) -> DataFrame:
 
 
 def reduction_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Characters in and out and percent reduced, per document and in all (doc_id null)."""
+    """Characters in and out and percent reduced, per document and in all (doc_id null).
+
+    The percentage is rounded from whole numbers, halves away from zero: 2,000 characters that become 1,413 are 29.4.
+    """
     both = before.select("doc_id", F.length(tx.blank_if_null(F.col("text"))).alias("a")).join(after.select("doc_id", F.length(tx.blank_if_null(F.col("text"))).alias("b")), "doc_id")
     out = both.rollup("doc_id").agg(F.sum("a").alias("chars_in"), F.sum("b").alias("chars_out"))
-    return out.withColumn("reduced_pct", F.round(F.when(F.col("chars_in") > 0, 100 * (1 - F.col("chars_out") / F.col("chars_in"))).otherwise(0.0), 1))
+    tenths = F.expr("sign(chars_in - chars_out) * ((2000 * abs(chars_in - chars_out) + chars_in) div (2 * chars_in))")
+    return out.withColumn("reduced_pct", F.when(F.col("chars_in") > 0, tenths / 10).otherwise(0.0))
 
 
 def strip_embedded_images(text: Column) -> Column:

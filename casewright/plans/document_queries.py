@@ -150,8 +150,8 @@ def t13_clean_markdown(spark, sf):
     return cleaning.clean_markdown(_marked(spark, sf))
 
 
-@query("""WITH r AS (SELECT doc_id, sum(length(text)) AS a, sum(length(trim(regexp_replace(text, '[aeiou]', '', 'g')))) AS b FROM documents GROUP BY ROLLUP (doc_id))
-SELECT doc_id, CAST(a AS BIGINT) AS chars_in, CAST(b AS BIGINT) AS chars_out, round(100 * (1 - b / a), 1) AS reduced_pct FROM r""")
+@query("""WITH r AS (SELECT doc_id, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS a, CAST(sum(length(trim(regexp_replace(coalesce(text, ''), '[aeiou]', '', 'g')))) AS BIGINT) AS b FROM documents GROUP BY ROLLUP (doc_id))
+SELECT doc_id, a AS chars_in, b AS chars_out, CASE WHEN a > 0 THEN ((2000 * (a - b) + a) // (2 * a)) / 10 ELSE 0 END::DOUBLE AS reduced_pct FROM r""")
 def t14_reduction_report(spark, sf):
     docs = view(spark, sf, "docs")
     return cleaning.reduction_report(docs, docs.select("doc_id", F.trim(F.regexp_replace("text", "[aeiou]", "")).alias("text")))

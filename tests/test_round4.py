@@ -36,3 +36,18 @@ def test_first_year_in_a_case_number(same):
     day = datetime.date(1997, 3, 4)
     rows = same("k3_write_case_partitions", orders=([(11, 1900, "F", day, "1-URGENT", 1.0), (13, 2099, "O", day, "1-URGENT", 1.0), (15, 7, "F", day, "1-URGENT", 1.0), (16, 1950, "F", day, "1-URGENT", 1.0)], ORDERS))
     assert {r.case_number.rsplit("/", 1)[1]: r.year for r in rows} == {"11": "1900", "13": "2099", "15": "1995", "16": "1997"}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string"
+
+
+def test_percentages_that_end_in_a_half(same):
+    rows = same("t14_reduction_report", documents=([(1, "a" * 587 + "b" * 1413, "en", "s"), (2, "a" * 1 + "b" * 1999, "en", "s"), (3, "", "en", "s")], DOCUMENTS))
+    assert {r.doc_id: r.reduced_pct for r in rows}[1] == 29.4 and {r.doc_id: r.reduced_pct for r in rows}[2] == 0.1
+
+
+def test_percentages_of_texts_that_grow(spark):
+    from casewright.operators import cleaning
+
+    make = lambda n: spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")
+    assert [r.reduced_pct for r in cleaning.reduction_report(make(2000), make(2001)).collect()] == [-0.1, -0.1]
