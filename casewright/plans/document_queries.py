@@ -74,10 +74,19 @@ def _fields(spark, sf, labelled="doc_id % 10 <> 7"):
     return cleaning.critical_fields(view(spark, sf, "docs").select("doc_id", F.lit(1).alias("page_no"), F.when(F.expr(labelled), note).otherwise(F.col("text")).alias("text")))
 
 
-@query("""WITH d AS (SELECT * FROM documents WHERE doc_id % 10 <> 7)
-SELECT doc_id, 1 AS page_no, 'date' AS kind, CAST(doc_id % 40 AS VARCHAR) || '/12/2023' AS value, '' AS unit, doc_id % 40 > 31 AS suspicious FROM d
-UNION ALL SELECT doc_id, 1, 'amount', '5000', 'लाख', false FROM d
-UNION ALL SELECT doc_id, 1, 'reference', '12' || CASE WHEN doc_id % 3 = 0 THEN '$' ELSE '' END || '4/5', '', doc_id % 3 = 0 FROM d""")
+def _found_fields(labelled: str) -> str:
+    """The fields of `_fields` as SQL: every match in a whole text, the note and what follows it."""
+    blank, strip = r"[ \t\n\x0B\f\r]", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    date, amount, ref = (p.replace(r"[\s:—-]", r"[ \t\n\x0B\f\r:—-]").replace(r"[\s.]", r"[ \t\n\x0B\f\r.]").replace(r"[\d/$\s]", r"[\d/$ \t\n\x0B\f\r]").replace(r"\s", blank) for p in (rules.CRITICAL_DATE, rules.CRITICAL_AMOUNT, rules.CRITICAL_REFERENCE))
+    group = lambda p, k: f"unnest(regexp_extract_all(t, '{p}', {k}))"
+    return f"""WITH t AS (SELECT doc_id, CASE WHEN {labelled} THEN 'दिनांक: ' || CAST(doc_id % 40 AS VARCHAR) || '/12/2023 रु. 5,000 लाख क्रमांक 12' || CASE WHEN doc_id % 3 = 0 THEN '$' ELSE '' END || '4/5' || chr(10) || text ELSE text END AS t FROM documents),
+d AS (SELECT doc_id, {group(date, 1)} AS d, {group(date, 2)} AS m, {group(date, 3)} AS y FROM t), a AS (SELECT doc_id, {group(amount, 1)} AS v, {group(amount, 2)} AS u FROM t), r AS (SELECT doc_id, {group(ref, 1)} AS v FROM t),
+fields AS (SELECT doc_id, 1 AS page_no, 'date' AS kind, concat_ws('/', d, m, y) AS value, '' AS unit, CAST(d AS INTEGER) > 31 OR CAST(m AS INTEGER) > 12 AS suspicious FROM d
+UNION ALL SELECT doc_id, 1, 'amount', replace(v, ',', ''), coalesce(u, ''), false FROM a
+UNION ALL SELECT doc_id, 1, 'reference', trim(v, {strip}), '', contains(v, '$') FROM r)"""
+
+
+@query(_found_fields("doc_id % 10 <> 7") + " SELECT * FROM fields")
 def t5_critical_fields(spark, sf):
     # reads every document; a tenth of them holds no field
     return _fields(spark, sf).drop("raw")

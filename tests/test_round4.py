@@ -51,3 +51,11 @@ def test_percentages_of_texts_that_grow(spark):
 
     make = lambda n: spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")
     assert [r.reduced_pct for r in cleaning.reduction_report(make(2000), make(2001)).collect()] == [-0.1, -0.1]
+
+
+BEGINNINGS = [(8, "56 and more", "en", "s"), (9, "$ 12 and more", "en", "s"), (11, "$7", "en", "s"), (17, "क्रमांक 9/8 रु. 1,200 दिनांक 45.1.24", "en", "s"), (27, "plain", "en", "s"), (32, None, "en", "s"), (1, "दिनांक: 1/13/2020 ₹ 7 हजार", "en", "s")]
+
+
+def test_fields_of_texts_that_go_on_with_numbers(same):
+    rows = same("t5_critical_fields", documents=(BEGINNINGS, DOCUMENTS))
+    assert {r.value for r in rows if r.kind == "reference" and r.doc_id in (8, 17)} == {"124/5\n56", "9/8"}
