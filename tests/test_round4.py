@@ -59,3 +59,8 @@ BEGINNINGS = [(8, "56 and more", "en", "s"), (9, "$ 12 and more", "en", "s"), (1
 def test_fields_of_texts_that_go_on_with_numbers(same):
     rows = same("t5_critical_fields", documents=(BEGINNINGS, DOCUMENTS))
     assert {r.value for r in rows if r.kind == "reference" and r.doc_id in (8, 17)} == {"124/5\n56", "9/8"}
+
+
+def test_fields_of_all_texts_that_go_on_with_numbers(same):
+    rows = same("t5_critical_fields_all", documents=(BEGINNINGS, DOCUMENTS))
+    assert len([r for r in rows if r.doc_id == 17]) == 6
