@@ -98,9 +98,9 @@ def t5_critical_fields_all(spark, sf):
     return _fields(spark, sf, "true").drop("raw")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 0 ELSE 1 END AS dates, CASE WHEN doc_id % 10 = 7 THEN 0 ELSE 1 END AS amounts, CASE WHEN doc_id % 10 = 7 THEN 0 ELSE 1 END AS refs,
-CASE WHEN doc_id % 10 = 7 THEN 0 ELSE CAST(doc_id % 40 > 31 AS INTEGER) + CAST(doc_id % 3 = 0 AS INTEGER) END AS suspicious,
-CASE WHEN doc_id % 10 = 7 THEN ['no dates', 'no reference numbers'] WHEN doc_id % 40 > 31 OR doc_id % 3 = 0 THEN ['suspicious values'] ELSE [] END AS flags FROM documents""")
+@query(_found_fields("doc_id % 10 <> 7") + """, c AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'date') AS dates, count(*) FILTER (WHERE kind = 'amount') AS amounts, count(*) FILTER (WHERE kind = 'reference') AS refs, count(*) FILTER (WHERE suspicious) AS suspicious FROM fields GROUP BY doc_id),
+q AS (SELECT doc_id, coalesce(dates, 0) AS dates, coalesce(amounts, 0) AS amounts, coalesce(refs, 0) AS refs, coalesce(suspicious, 0) AS suspicious FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN c USING (doc_id))
+SELECT *, list_filter([CASE WHEN dates = 0 THEN 'no dates' END, CASE WHEN refs = 0 THEN 'no reference numbers' END, CASE WHEN suspicious > 0 THEN 'suspicious values' END], lambda f: f IS NOT NULL) AS flags FROM q""")
 def t6_document_quality(spark, sf):
     return cleaning.document_quality(view(spark, sf, "docs"), _fields(spark, sf))
 

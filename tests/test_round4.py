@@ -64,3 +64,8 @@ def test_fields_of_texts_that_go_on_with_numbers(same):
 def test_fields_of_all_texts_that_go_on_with_numbers(same):
     rows = same("t5_critical_fields_all", documents=(BEGINNINGS, DOCUMENTS))
     assert len([r for r in rows if r.doc_id == 17]) == 6
+
+
+def test_quality_of_texts_that_go_on_with_numbers(same):
+    rows = same("t6_document_quality", documents=(BEGINNINGS, DOCUMENTS))
+    assert {r.doc_id: r.suspicious for r in rows} == {8: 0, 9: 1, 11: 1, 17: 1, 27: 0, 32: 0, 1: 1}
