@@ -174,7 +174,7 @@ CASE WHEN c = 0 OR m / c < 0.05 THEN 'english' WHEN m / c > 0.5 THEN 'hindi' ELS
 def t15_detect_script(spark, sf):
     """Whole texts with Hindi words around them."""
     t = F.expr("CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || repeat(' सूचना', CAST(length(text) DIV 5 AS INT)) WHEN 2 THEN repeat('सूचना ', CAST(length(text) DIV 50 AS INT)) || text ELSE 'सूचना ' || text END")
-    return view(spark, sf, "docs").select("doc_id", *[tx.detect_script(t, v).alias(v.lower()) for v in "ABC"])
+    return tx.detect_scripts(view(spark, sf, "docs"), t)
 
 
 @query(_SCRIPT)

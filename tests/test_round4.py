@@ -1,6 +1,7 @@
 """Rows on which queries and their SQL parted, and plans that were to grow no faster than their input."""
 
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -69,3 +70,16 @@ def test_fields_of_all_texts_that_go_on_with_numbers(same):
 def test_quality_of_texts_that_go_on_with_numbers(same):
     rows = same("t6_document_quality", documents=(BEGINNINGS, DOCUMENTS))
     assert {r.doc_id: r.suspicious for r in rows} == {8: 0, 9: 1, 11: 1, 17: 1, 27: 0, 32: 0, 1: 1}
+
+
+def searches(df) -> list[int]:
+    """How many searches by pattern each node of the plan names."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [len(re.findall(r"regexp_\w+\(|RLIKE", line)) for line in plan.splitlines()]
+
+
+@pytest.mark.parametrize("name", ["t15_detect_script", "t15_detect_script_all"])
+def test_each_count_of_scripts_once(spark, same, tmp_path, name):
+    texts = ["Z z", "", " \n\t", "abc", "सूचना", "सूचना abc x", "१२ 34 --", "é ß \U0001f600"]
+    same(name, documents=([(k, texts[k % 8], "en", "s") for k in range(32)], DOCUMENTS))
+    assert sum(searches(QUERIES[name](spark, str(tmp_path)))) == 3
