@@ -19,9 +19,10 @@ def _replace(rows: DataFrame, path: str, parts: list[str], keys: list[str]) -> N
         there = None
     if there is not None:
         there = there.withColumns({c: F.col(c).cast(rows.schema[c].dataType) for c in parts})
+        # one row for each folder that is touched: dealt out by folder, one task would read a whole one
         touched, new = rows.select(*parts).distinct(), rows.select(*keys).distinct()
         same = lambda a, names: [there[c].eqNullSafe(a[c]) for c in names]
-        rows = rows.unionByName(there.join(touched, same(touched, parts), "left_semi").join(new, same(new, keys), "left_anti"), allowMissingColumns=True)
+        rows = rows.unionByName(there.join(F.broadcast(touched), same(touched, parts), "left_semi").join(new, same(new, keys), "left_anti"), allowMissingColumns=True)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
