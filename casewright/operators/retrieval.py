@@ -219,7 +219,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: floa
     q, _ = blocks(queries, "query_id", "q")
     q = q.select("qi", "qe", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": vectors.schema["chunk_id"].dataType.simpleString()}
-    cut = q.join(v, "g").select("qi", "qe", "ci", "ce").mapInArrow(nearest_in_blocks(k, least), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
+    # arrays count for little in Spark's estimates, so it would send all blocks through the driver
+    cut = q.hint("merge").join(v.hint("merge"), "g").select("qi", "qe", "ci", "ce").mapInArrow(nearest_in_blocks(k, least), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, vector_score double")
     return top(cut, "vector_score", k)
 
 
