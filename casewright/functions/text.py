@@ -46,13 +46,16 @@ def approx_tokens(text: Column, floor: int = 1) -> Column:
 
 def legal_tokens(text: Column) -> Column:
     """Search terms: section references and case numbers whole (case numbers by part, too), then plain words."""
-    low = F.lower(blank_if_null(text))
-    refs = F.transform(F.regexp_extract_all(low, F.lit(SECTION_REF), 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), "^section", ""))
-    rest = F.regexp_replace(low, SECTION_REF, " ")
-    cases = F.transform(F.regexp_extract_all(rest, F.lit(CASE_REF), 0), lambda x: F.translate(x, "_-", "//"))
-    parts = F.flatten(F.transform(cases, lambda x: F.concat(F.array(x), F.split(x, "/"))))
-    plain = F.regexp_replace(F.regexp_replace(rest, CASE_REF, " "), r"[\p{Punct}&&[^/]]", " ")
-    return F.filter(F.concat(refs, parts, F.regexp_extract_all(plain, F.lit(WORD), 0)), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    once = lambda value, made: F.transform(F.array(value), made)[0]  # noqa: E731  a value that is named several times
+    none = F.array().cast("array<string>")
+    # few texts hold a reference or a case number, and a plain search tells which
+    cites = lambda low: F.contains(low, F.lit("(")) | F.contains(low, F.lit("section"))
+    refs = lambda low: F.transform(F.regexp_extract_all(low, F.lit(SECTION_REF), 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), "^section", ""))
+    cases = lambda rest: F.flatten(F.transform(F.transform(F.regexp_extract_all(rest, F.lit(CASE_REF), 0), lambda x: F.translate(x, "_-", "//")), lambda x: F.concat(F.array(x), F.split(x, "/"))))
+    words = lambda plain: F.regexp_extract_all(plain, F.lit(WORD), 0)  # noqa: E731  punctuation is in no word, so it may stay
+    after = lambda rest: F.when(rest.rlike("[cs]ic[/_-]"), F.concat(cases(rest), words(F.regexp_replace(rest, CASE_REF, " ")))).otherwise(words(rest))
+    made = lambda low: once(cites(low), lambda c: F.concat(F.when(c, refs(low)).otherwise(none), once(F.when(c, F.regexp_replace(low, SECTION_REF, " ")).otherwise(low), after)))
+    return F.filter(once(F.lower(blank_if_null(text)), made), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
 def clean_text(text: Column, most_newlines: int = 3, comments: str | None = "newline") -> Column:
