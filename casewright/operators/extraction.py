@@ -148,18 +148,19 @@ def key_sentences(text: Column, words: str = rules.FINDING_WORDS, most: int = 5,
 
 def requested_items(facts: Column) -> Column:
     """What was asked for: the numbered items, else sentences of four words or more, after the marker and before the grounds."""
-    t = tx.squeeze(facts)
-    after = F.try_element_at(F.split(t, r"(?i)\bsought\s+information\s+(?:on|regarding|about)\b", 2), F.lit(2))
-    part = F.element_at(F.split(F.coalesce(after, t), r"(?i)\bGrounds\s+for\s+(?:Second\s+)?Appeal\b|\bCPIO\s+reply\b", 2), 1)
+    once = lambda value, made: F.transform(F.array(value), made)[0]  # noqa: E731  a value that is named several times
+    part = lambda t: F.element_at(F.split(F.coalesce(F.try_element_at(F.split(t, r"(?i)\bsought\s+information\s+(?:on|regarding|about)\b", 2), F.lit(2)), t), r"(?i)\bGrounds\s+for\s+(?:Second\s+)?Appeal\b|\bCPIO\s+reply\b", 2), 1)
     edge = lambda s: F.regexp_replace(s, r"\A[ ;.]+|[ ;.]+\z", "")
-    numbered = F.slice(F.filter(F.transform(F.regexp_extract_all(part, F.lit(r"(?:^|\s)(?:\d+[).]|[a-z]\))\s*([^.;]+(?:[.;]|$))"), 1), lambda s: edge(tx.compact(s, 220))), lambda s: s != ""), 1, 12)
-    plain = F.transform(F.filter(F.slice(F.split(part, r"(?<=[.!?])\s+"), 1, 8), lambda s: F.size(F.split(F.trim(s), r"\s+")) >= 4), lambda s: edge(tx.compact(s, 240)))
-    return F.when(F.size(numbered) > 0, numbered).otherwise(plain)
+    numbered = lambda p: F.slice(F.filter(F.transform(F.regexp_extract_all(p, F.lit(r"(?:^|\s)(?:\d+[).]|[a-z]\))\s*([^.;]+(?:[.;]|$))"), 1), lambda s: edge(tx.compact(s, 220))), lambda s: s != ""), 1, 12)
+    # eight sentences are looked at: the rest of the text stays one piece
+    plain = lambda p: F.transform(F.filter(F.slice(F.split(p, r"(?<=[.!?])\s+", 9), 1, 8), lambda s: F.size(F.split(F.trim(s), r"\s+")) >= 4), lambda s: edge(tx.compact(s, 240)))
+    return once(once(tx.squeeze(facts), part), lambda p: once(numbered(p), lambda n: F.when(F.size(n) > 0, n).otherwise(plain(p))))
 
 
 def final_order(text: Column, patterns=rules.FINAL_ORDER_PATTERNS) -> Column:
-    t = tx.squeeze(text)
-    return F.coalesce(*[F.when(t.rlike(p), tx.compact(F.regexp_extract(t, p, 1), 650)) for p in patterns])
+    # each text is squeezed once, and what a pattern finds is squeezed once
+    found = lambda t, p: F.transform(F.array(F.when(t.rlike(p), F.regexp_extract(t, p, 1))), lambda x: F.when(x.isNotNull(), tx.compact(x, 650)))[0]
+    return F.transform(F.array(tx.squeeze(text)), lambda t: F.coalesce(*[found(t, p) for p in patterns]))[0]
 
 
 def references(text: Column, pattern: str) -> Column:
@@ -299,8 +300,11 @@ def representative_cases(cases: DataFrame, n: int = 5) -> DataFrame:
     return cases.withColumn("sample_score", score).orderBy(F.desc("sample_score"), "case_number").limit(n)
 
 
-def extract_cases(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, text) to one case each, with the fields of the case table."""
+def extract_cases(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """documents (doc_id, text) to one case each, with the fields of the case table, or those named beside doc_id.
+
+    The table is written once: what reads it, filters it or names a field several times makes no search of a text again.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "case-texts")
     # the searches of a text cost far more than dealing the texts out evenly; all but the blocks are columns beside it
@@ -321,4 +325,8 @@ def extract_cases(docs: DataFrame) -> DataFrame:
     out = out.withColumn("reasoning_pattern", reasoning_tags(F.col("text"), F.col("outcome"))).withColumn("learning_signal", learning_signal(F.col("text")))
     out = out.withColumn("precedent", precedent_summary(F.col("information_requested"), F.col("key_findings"), F.col("final_order"), F.col("outcome")))
     present = {"case_number": F.col("case_number") != "UNKNOWN", "decision_date": F.col("decision_date").isNotNull(), "sections_invoked": F.size("rti_sections") > 0, "party": F.coalesce("appellant", "respondent").isNotNull(), "request": F.lit(False), "findings": F.size("key_findings") > 0, "outcome": F.col("outcome").isNotNull()}
-    return out.withColumn("extraction_confidence", extraction_confidence(present)).drop("text")
+    out = out.withColumn("extraction_confidence", extraction_confidence(present)).drop("text")
+    out = out if fields is None else out.select("doc_id", *fields)
+    table = scratch(spark, "cases-made")
+    out.write.parquet(table)
+    return spark.read.schema(out.schema).parquet(table)

@@ -437,7 +437,7 @@ def e13_general_entities(spark, sf):
 
 @query()
 def e14_precedent_summary(spark, sf):
-    return extraction.extract_cases(view(spark, sf, "decision_docs")).select("doc_id", "precedent")
+    return extraction.extract_cases(view(spark, sf, "decision_docs"), ["precedent"])
 
 
 @query("SELECT doc_id, round(0.25::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0 END, 3) AS confidence FROM documents")
@@ -504,7 +504,7 @@ def e19_applicant_details(spark, sf):
 
 @query(_D + " SELECT count(*) AS cases, 1.0::DOUBLE AS with_number, 1.0::DOUBLE AS with_sections, 1.0::DOUBLE AS with_outcome FROM v_decision_docs")
 def e20_extraction_quality(spark, sf):
-    return extraction.extraction_quality(extraction.extract_cases(view(spark, sf, "decision_docs")))
+    return extraction.extraction_quality(extraction.extract_cases(view(spark, sf, "decision_docs"), ["case_number", "rti_sections", "outcome"]))
 
 
 # --- chunking ---------------------------------------------------------------------------------------------------------
@@ -548,7 +548,7 @@ def c4_synthetic_chunks(spark, sf):
 
 @query()
 def c5_summary_chunk(spark, sf):
-    return chunking.summary_chunk(extraction.extract_cases(view(spark, sf, "decision_docs")))
+    return chunking.summary_chunk(extraction.extract_cases(view(spark, sf, "decision_docs"), ["case_number", "precedent", "outcome", "rti_sections", "key_findings"]))
 
 
 @query()

@@ -6,6 +6,8 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from casewright.plans.registry import ORACLE_SQL, QUERIES
 from tests.test_queries import plain
 
@@ -83,3 +85,59 @@ def test_each_count_of_scripts_once(spark, same, tmp_path, name):
     texts = ["Z z", "", " \n\t", "abc", "सूचना", "सूचना abc x", "१२ 34 --", "é ß \U0001f600"]
     same(name, documents=([(k, texts[k % 8], "en", "s") for k in range(32)], DOCUMENTS))
     assert sum(searches(QUERIES[name](spark, str(tmp_path)))) == 3
+
+
+def test_cases_are_searched_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a text of some words. And one more sentence here.", "en", "s")], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert max(searches(QUERIES["c5_summary_chunk"](spark, str(tmp_path)))) < 5
+    assert max(searches(QUERIES["c4_synthetic_chunks"](spark, str(tmp_path)))) < 5
+
+
+def test_blocks_of_vectors_stay_off_the_driver(spark):
+    from casewright.operators import retrieval
+
+    vectors = spark.range(50).select(F.col("id").alias("chunk_id"), F.array((F.col("id") % 7).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    plan = retrieval.cosine_topk(vectors.withColumnRenamed("chunk_id", "query_id"), vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+TERMS = ["", "The section 8 ( 1 ) (j) and 7(1) of CIC/ABC-1/A/2020/5, music-hall", "music/al a/.b a//b c/d-e", "sic_x/y basic-1 no (here)", "section 20 Sec 3 12 ( 4 )x", "x.y,z!w ÄÖ é 1/2"]
+
+
+def test_terms_as_before(spark):
+    from casewright.functions import text as tx
+
+    def before(text):
+        low = F.lower(tx.blank_if_null(text))
+        refs = F.transform(F.regexp_extract_all(low, F.lit(tx.SECTION_REF), 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), "^section", ""))
+        rest = F.regexp_replace(low, tx.SECTION_REF, " ")
+        cases = F.transform(F.regexp_extract_all(rest, F.lit(tx.CASE_REF), 0), lambda x: F.translate(x, "_-", "//"))
+        parts = F.flatten(F.transform(cases, lambda x: F.concat(F.array(x), F.split(x, "/"))))
+        plain = F.regexp_replace(F.regexp_replace(rest, tx.CASE_REF, " "), r"[\p{Punct}&&[^/]]", " ")
+        return F.filter(F.concat(refs, parts, F.regexp_extract_all(plain, F.lit(tx.WORD), 0)), lambda t: (t != "") & ~t.isin(*tx.STOPWORDS))
+
+    texts = spark.createDataFrame([(t,) for t in [*TERMS, None]], "text string")
+    rows = texts.select("text", tx.legal_tokens(F.col("text")).alias("now"), before(F.col("text")).alias("then")).collect()
+    assert [r.now for r in rows] == [r.then for r in rows]
+
+
+def test_texts_are_searched_a_few_at_a_time(spark):
+    from casewright.operators import segmentation
+
+    n = 2 * segmentation.SLICE + 1
+    docs = spark.createDataFrame([(k, "Background: x\nOrder: y") for k in range(n)], "doc_id long, text string").coalesce(1)
+    found = segmentation.find_boundaries(docs).groupBy("doc_id").count().collect()
+    assert len(found) == n and len({r["count"] for r in found}) == 1
+
+
+def test_touched_folders_are_not_dealt_out(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from casewright.sources import writers
+
+    rows = spark.createDataFrame([(k, "A" if k % 2 else "B", "CIC", "t") for k in range(10)], "chunk_id long, case_number string, source string, text string")
+    writers.write_chunks(rows, f"{tmp_path}/chunks")
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()), write(self, path, *a, **k))[1])
+    writers.write_chunks(rows.where("case_number = 'A'"), f"{tmp_path}/chunks")
+    assert "strategy=broadcast" in plans[0] and spark.read.parquet(f"{tmp_path}/chunks").count() == 10
