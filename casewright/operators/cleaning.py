@@ -233,20 +233,29 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, low: int = 3, high
 
 
 def apply_corrections(docs: DataFrame, corrections: DataFrame, word: str = r"[ऀ-ॿ]+") -> tuple[DataFrame, DataFrame]:
-    """(documents with corrected words, log of word and term counts); structural lines stay as they are."""
-    lines = explode_lines(docs)
-    s = bare(F.col("line"))
-    structural = (s == "") | s.rlike(r"\A(?:[:॥#|>]|```|<!--|---)") | s.rlike(r"\A[-*]\s") | s.rlike(r"\A\d+\.\s")
-    marked = F.when(structural, F.array("line")).otherwise(F.filter(F.split(F.regexp_replace("line", f"({word})", "\u0001$1\u0001"), "\u0001"), lambda x: x != ""))
-    # what is beside an explode is computed for every row that comes out of it, so the line is judged ahead
-    judged = lines.select("doc_id", "line_no", structural.alias("fixed"), marked.alias("marked"))
-    pieces = judged.select("doc_id", "line_no", "fixed", F.posexplode_outer("marked").alias("k", "piece"))
-    fix = corrections.where("accepted").select(F.col("word").alias("piece"), "term")
-    joined = pieces.join(fix, "piece", "left").withColumn("term", F.when(~F.col("fixed"), F.col("term")))
-    ordered = F.sort_array(F.collect_list(F.struct("k", F.coalesce("term", "piece", F.lit("")).alias("w"))))
-    out = joined.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), "").alias("line"))
-    log = joined.where("term is not null").groupBy(F.col("piece").alias("word"), "term").agg(F.count("*").alias("n"))
-    return assemble_lines(out), log
+    """(documents with corrected words, log of word and term counts); structural lines stay as they are.
+
+    Of a document each distinct piece is joined to the corrections once, and those it has come back to it as a map: what is
+    shuffled is its vocabulary and its text, not a row for each piece. A word with several terms takes the first of them.
+    """
+    text = F.regexp_replace(tx.blank_if_null(F.col("text")), "\r\n?", "\n")
+
+    def structural(line: Column) -> Column:
+        s = bare(line)
+        return (s == "") | s.rlike(r"\A(?:[:॥#|>]|```|<!--|---)") | s.rlike(r"\A[-*]\s") | s.rlike(r"\A\d+\.\s")
+
+    marked = lambda line: F.filter(F.split(F.regexp_replace(line, f"({word})", "\u0001$1\u0001"), "\u0001"), lambda x: x != "")
+    pieces = F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda line: ~structural(line)), marked))
+    fix = corrections.where("accepted").groupBy(F.col("word").alias("piece")).agg(F.min("term").alias("term"))
+    some = docs.select("doc_id", tx.each(F.array_distinct(pieces)).alias("piece")).where("piece is not null")
+    own = some.join(fix, "piece").groupBy(F.col("doc_id").alias("_of")).agg(F.map_from_entries(F.collect_set(F.struct("piece", "term"))).alias("_terms"))
+    both = docs.select("doc_id", text.alias("text")).join(own, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    fixed = lambda line: F.array_join(F.transform(marked(line), lambda x: F.coalesce(F.try_element_at(F.col("_terms"), x), x)), "")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.when(structural(line), line).otherwise(fixed(line)))
+    changed = F.col("_terms").isNotNull() | F.contains(F.col("text"), F.lit("\u0001"))
+    log = docs.select(tx.each(pieces).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
+    log = log.join(fix.withColumnRenamed("piece", "word"), "word").select("word", "term", "n")
+    return both.select("doc_id", F.when(changed, F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text")), log
 
 
 def boost_frequencies(dictionary: DataFrame, words: DataFrame, step: int = 500) -> DataFrame:
