@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.llm import textblocks as tb
-from casewright.llm.work import Work, fresh, read
+from casewright.llm.work import Work, fresh, read, sparing
 
 WINDOW = 10
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20  # of training text in a block, of benchmark text in a slice
@@ -261,7 +261,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     together = dealt.union(tests).repartition(parts, "block").sortWithinPartitions("block", "kind")
     match = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(items.schema["i"].dataType)), T.StructField("longest", T.LongType()), T.StructField("longest_at", T.LongType())])
     schema = T.StructType([T.StructField("row", dealt.schema["doc"].dataType["row"].dataType), T.StructField("match", match)])
-    out = together.mapInArrow(_scan(window, (longest or 0) // 2 + 1, to_arrow_type(match)), schema)
+    out = together.mapInArrow(sparing(_scan(window, (longest or 0) // 2 + 1, to_arrow_type(match))), schema)
     return out.select("row.*", F.col("match").alias(name)), name
 
 

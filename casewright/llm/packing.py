@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import textblocks as tb
 from casewright.llm.tokenizing import encoder
-from casewright.llm.work import Work, read
+from casewright.llm.work import Work, read, sparing
 
 CAPACITY = 2048
 
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     """Pieces of docs (doc_id, text) with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     work = Work(spark, "packing")
-    pieces = work.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer, end, capacity), PIECES), "pieces")
+    pieces = work.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sparing(_cut(tokenizer, end, capacity), keep=True), PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     ahead = work.table(counts.select("length", "part", (F.sum("n").over(before) - F.col("n")).alias("ahead"), "n"), "ahead")

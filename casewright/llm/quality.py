@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.llm import textblocks as tb
-from casewright.llm.work import Work, fresh, read, with_arrow_columns
+from casewright.llm.work import BATCH_BYTES, Work, fresh, read, with_arrow_columns
 
 CUT = 0.3
 SHRINK = 0.05
@@ -205,7 +205,7 @@ def held_out(key):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> tuple[Discriminant, DataFrame]:
     """The model and the table it was made of: doc_id and statistics x of every row of docs. labels: doc_id and the label."""
-    work = Work(docs.sparkSession, "quality")
+    work = Work(docs.sparkSession, "quality", BATCH_BYTES)
     plain, z = with_statistics(docs.select("doc_id", F.col(text).alias("text")))
     known = work.table(plain.select("doc_id", F.col(z).alias("x")), "statistics")  # labels meet numbers, never texts
     own = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("_id")))

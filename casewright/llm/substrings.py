@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import textblocks as tb
-from casewright.llm.work import Work, fresh, read
+from casewright.llm.work import BATCH_BYTES, Work, fresh, read, sparing
 
 U = np.uint64
 SPAN, GRAM = 50, 24
@@ -43,6 +43,7 @@ LAST = (1 << 63) - 1  # stands for no doc_id
 SORT_BYTES = 1 << 19  # of neighbourhoods sorted at once; grams part a bucket, so a part is complete
 _PRIME = tb.mix(np.arange(21, 25, dtype=np.uint64)) | U(1)
 _BLOCK = 1 << 18  # bytes whose hashes stay in a core's cache
+_AT_ONCE = 1 << 14  # neighbourhoods whose strings are marked at once: each takes some hundred bytes a string
 
 
 # --- difference cover -------------------------------------------------------------------------------------------------
@@ -411,27 +412,36 @@ def _cut(buckets: int, span: int, payload: list[str], schema: pa.Schema, whole_c
             mask = np.empty(len(first), np.uint32)
             mask[order] = np.concatenate([np.frombuffer(by[b], np.uint32) for b in sorted(by)])
             owner = ids[row[first]]
-            place = np.repeat(np.arange(len(start)), count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            covered = (mask[of[place]] >> step.astype(np.uint32) & 1).astype(bool) | (ids[row[place]] > owner[of[place]])
-            at = (start[place] + step)[covered]
-            covered = np.zeros(len(buf) + 1, np.int32)
-            covered[at + 1] = 1
+            covered = np.zeros(len(buf) + 1, bool)
+            for low in range(0, len(start), _AT_ONCE):
+                some = slice(low, low + _AT_ONCE)
+                n, kind = count[some], of[some]
+                place = np.repeat(np.arange(len(n)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = (mask[kind][place] >> step.astype(np.uint32) & 1).astype(bool) | (ids[row[some]] > owner[kind])[place]
+                covered[(start[some][place] + step)[hit] + 1] = True
             before = np.cumsum(covered, dtype=np.int32)  # covered starts ahead of each place
             edge = min(span - 1, len(buf))
-            removed = before[1:] > np.concatenate([np.zeros(edge, np.int32), before[: len(buf) - edge]])
-        if whole_characters:  # a character stays unless all of its bytes go
-            first_bytes = (buf & 0xC0) != 0x80
-            first_bytes[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-            lead = np.flatnonzero(first_bytes)
-            if len(lead):
-                removed = np.repeat(np.logical_and.reduceat(removed, lead), np.diff(np.r_[lead, len(buf)]))
-        edge = removed & ~np.r_[False, removed[:-1]] if len(buf) else removed
-        edge[offsets[:-1][offsets[:-1] < offsets[1:]]] |= removed[offsets[:-1][offsets[:-1] < offsets[1:]]]
-        gone, runs = np.concatenate([[0], np.cumsum(removed)]), np.concatenate([[0], np.cumsum(edge)])
-        kept = [buf[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            removed[:edge] = before[1 : edge + 1] > 0
+            np.greater(before[edge + 1 :], before[: len(buf) - edge], out=removed[edge:])
+            del covered, before
+        del h, start, count, row, first, of
+        gone, runs, kept = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), []
+        for low, high in tb.row_blocks(offsets, _BLOCK):  # counts take many times the bytes that they count
+            own, cut, at = buf[offsets[low] : offsets[high]], removed[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            heads = at[:-1][at[:-1] < at[1:]]
+            if whole_characters:  # a character stays unless all of its bytes go
+                first_bytes = (own & 0xC0) != 0x80
+                first_bytes[heads] = True
+                lead = np.flatnonzero(first_bytes)
+                if len(lead):
+                    cut = np.repeat(np.logical_and.reduceat(cut, lead), np.diff(np.r_[lead, len(own)]))
+            edge = cut & ~np.r_[False, cut[:-1]] if len(own) else cut
+            edge[heads] |= cut[heads]
+            gone[low:high], runs[low:high] = (np.diff(np.r_[0, np.cumsum(x)][at]) for x in (cut, edge))
+            kept += [own[a:b][~cut[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         values = {
-            "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(gone[offsets[1:]] - gone[offsets[:-1]]), "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]),
+            "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(gone), "n_spans": pa.array(runs),
             "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
         return pa.table([both.column(f"own {f.name}") if f.name in payload else values[f.name] for f in schema], schema=schema)
@@ -448,26 +458,26 @@ def cut_repeats(docs: DataFrame, output: str, span: int = SPAN, whole_characters
     if not 33 <= span <= GRAM + 31:
         raise ValueError("span is out of range")
     spark = docs.sparkSession
-    work = Work(spark, "substrings")
+    work = Work(spark, "substrings", BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.col("text").cast("binary").alias("text"), *([extra] if extra else []))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, m = max(1, -(-size // (pack_bytes or PACK_BYTES))), max(1, -(-size // (bucket_bytes or BUCKET_BYTES)))
     payload = ["doc_id", *([extra] if extra else [])]
     own = docs.schema[extra] if extra else None
     pack = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("pack")
-    chunks = work.table(docs.select(pack, "place", "text", *payload).mapInArrow(_chunk(["place", "text"], payload), "pack int, texts binary, rest binary"), "chunks")
+    chunks = work.table(docs.select(pack, "place", "text", *payload).mapInArrow(sparing(_chunk(["place", "text"], payload)), "pack int, texts binary, rest binary"), "chunks")
     packs = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack")
     slim = packs.select("pack", "texts")
-    grams = slim.groupBy("pack").applyInArrow(_send_grams(m, span), "bucket int, pack int, grams binary")
-    shared = work.table(grams.groupBy("bucket").applyInArrow(_answer_grams(HOT), "pack int, grams binary"), "grams")
-    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_send_neighbourhoods(m, span), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
-    bits = near.groupBy("bucket").applyInArrow(_sort_bucket(span), "bucket int, pack int, bits binary")
+    grams = slim.groupBy("pack").applyInArrow(sparing(_send_grams(m, span)), "bucket int, pack int, grams binary")
+    shared = work.table(grams.groupBy("bucket").applyInArrow(sparing(_answer_grams(HOT)), "pack int, grams binary"), "grams")
+    near = slim.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(sparing(_send_neighbourhoods(m, span)), "bucket int, pack int, texts binary, sizes binary, parts binary, owners binary")
+    bits = near.groupBy("bucket").applyInArrow(sparing(_sort_bucket(span)), "bucket int, pack int, bits binary")
     answers = work.table(shared.select("pack", "grams", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(bits.select("pack", F.lit(None).cast("binary").alias("grams"), "bucket", "bits")), "answers")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     kind = StructType([own if f.name == extra else f for f in _parse_datatype_string(output)])
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(m, span, payload, to_arrow_schema(kind), whole_characters), kind)
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(sparing(_cut(m, span, payload, to_arrow_schema(kind), whole_characters)), kind)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, **sizes) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from casewright.llm import textblocks as tb
+from casewright.llm.work import KEPT
 
 CACHE_PIECES = 500_000
 _SPACE = tb.byte_set((0x09, 0x0D), (0x20, 0x20))
@@ -145,11 +146,8 @@ class Encoder:
             yield low, high, *self.rows(column.slice(low, high - low))
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, dtype=np.uint32) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    if (path, dtype) not in KEPT:
+        KEPT[path, dtype] = Encoder(path, dtype)
+    return KEPT[path, dtype]

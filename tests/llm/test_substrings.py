@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from casewright.llm import substrings
@@ -118,3 +120,22 @@ def test_shuffled_rows_are_packs_times_buckets_at_most(spark, monkeypatch):
     packs, buckets = -(-size // 20_000), -(-size // 80_000)
     assert substrings.op3_substrings(spark, SF).count() == docs.count()
     assert made["grams"] <= packs * buckets and made["answers"] <= 2 * packs * buckets
+
+
+def test_a_pack_is_cut_in_little_memory():
+    rnd = np.random.default_rng(5)
+    text = bytes(rnd.integers(97, 123, 1 << 20).astype(np.uint8))
+    docs = pa.table({"pack": pa.array([0, 0], pa.int32()), "place": pa.array([1, 2]), "text": pa.array([text, b"-" + text]), "doc_id": pa.array([1, 2])})
+    pack = pa.Table.from_batches(list(substrings._chunk(["place", "text"], ["doc_id"])(docs.to_batches())))
+    key = (pa.scalar(0, pa.int32()),)
+    grams = substrings._answer_grams(substrings.HOT)(key, substrings._send_grams(1, 50)(key, pack))
+    bits = substrings._sort_bucket(50)(key, substrings._send_neighbourhoods(1, 50)(key, pack, grams))
+    answers = pa.concat_tables([grams, bits.select(["bucket", "pack", "bits"])], promote_options="default")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    cut = substrings._cut(1, 50, ["doc_id"], schema, True)
+    tracemalloc.start()
+    out = cut(key, pack, answers).to_pydict()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out["n_removed"], out["n_spans"], out["kept"]) == ([0, len(text)], [0, 1], [text, b"-"])
+    assert most < 40 * len(text)  # 20 for each byte of the pack
