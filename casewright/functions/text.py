@@ -14,6 +14,7 @@ STOPWORDS = ("the", "a", "an", "is", "are", "was", "were", "in", "of", "and", "t
 SECTION_REF = r"\b\d+\s*\(\s*\d+\s*\)\s*\(\s*[a-z]\s*\)|\b\d+\s*\(\s*\d+\s*\)|\bsection\s+\d+\s*\(\s*\d+\s*\)\s*\(\s*[a-z]\s*\)|\bsection\s+\d+\s*\(\s*\d+\s*\)|\bsection\s+\d+\b"
 CASE_REF = r"\b(?:cic|sic)[/_-][a-z0-9/_-]+\b"
 BLANKS = " \t\n\x0B\f\r"  # white space as patterns have it
+RUNS = r"\s{2,}|[\t\n\x0B\f\r]"  # white space that is more or other than one blank
 WORD = r"[a-z0-9]+(?:/[a-z0-9]+)*"
 
 
@@ -23,7 +24,7 @@ def blank_if_null(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space runs become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(blank_if_null(text), r"\s{2,}|[\t\n\x0B\f\r]", " "))  # single blanks stay untouched
+    return F.trim(F.regexp_replace(blank_if_null(text), RUNS, " "))  # single blanks stay untouched
 
 
 def words(text: Column) -> Column:

@@ -121,14 +121,13 @@ def repair_tables(lines: DataFrame) -> DataFrame:
     texts = F.sum((~row & ~blank).cast("int")).over(_so_far())
     out = lines.withColumn("_row", row).withColumn("_blank", blank).withColumn("_run", texts)
     own = Window.partitionBy("doc_id", "_run")
-    started = F.max(F.col("_row").cast("int")).over(own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)) == 1
-    out = out.withColumn("_in", started).where(~(F.col("_in") & F.col("_blank")))
+    place = F.sum(F.col("_row").cast("int")).over(own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_place", place).where((F.col("_place") == 0) | ~F.col("_blank"))  # of a row its number, too
     inner = F.transform(F.split(F.regexp_replace(bare(F.col("line")), r"\A\|+|\|+\z", ""), r"\|"), bare)
     out = out.withColumn("_cells", F.when(F.col("_row"), inner))
     width = F.max(F.when(F.col("_row"), F.size("_cells"))).over(own)
-    place = F.when(F.col("_row"), F.row_number().over(Window.partitionBy("doc_id", "_run", "_row").orderBy("line_no")))
     last = F.max(F.when(F.col("_row"), F.col("line_no"))).over(own)
-    out = out.withColumn("_width", width).withColumn("_place", place).withColumn("_last", last)
+    out = out.withColumn("_width", width).withColumn("_last", last)
     filled = F.filter("_cells", lambda c: c != "")
     span = (F.size(filled) > 1) & (F.size(F.array_distinct(filled)) == 1)
     separator = F.forall("_cells", lambda c: c.rlike(r"\A:?-+:?\z") | (c == ""))
@@ -145,30 +144,34 @@ def repair_tables(lines: DataFrame) -> DataFrame:
 
 
 def renumber_lists(lines: DataFrame) -> DataFrame:
-    """Bullets as dashes, `1)` as `1.`, and numbers counted anew in each run of a list."""
+    """Bullets as dashes, `1)` as `1.`, and numbers counted anew in each run of a list.
+
+    A number is the items so far less those up to the last line that ended a list: all in the lines' own order.
+    """
     line = F.regexp_replace(F.regexp_replace("line", r"\A(\s*)[–—•▪➤►▶]\s+", "$1- "), r"\A(\s*)(\d+)\)\s+", "$1$2. ")
     out = lines.withColumn("line", line).withColumn("_item", F.col("line").rlike(r"\A\s*\d+\.\s+"))
     ends = ~F.col("_item") & (bare(F.col("line")) != "") & ~F.startswith(bare(F.col("line")), F.lit("-"))
-    out = out.withColumn("_list", F.sum(ends.cast("int")).over(_so_far()))
-    number = F.sum(F.col("_item").cast("int")).over(Window.partitionBy("doc_id", "_list").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_ends", ends).withColumn("_n", F.sum(F.col("_item").cast("int")).over(_so_far()))
+    out = out.withColumn("_before", F.max(F.when(F.col("_ends"), F.col("_n"))).over(_so_far()))
+    number = F.col("_n") - F.coalesce("_before", F.lit(0))
     numbered = F.concat(F.regexp_extract("line", r"\A(\s*)", 1), number.cast("string"), F.lit(". "), F.regexp_extract("line", r"(?s)\A\s*\d+\.\s+(.*)", 1))
-    return out.withColumn("line", F.when(F.col("_item"), numbered).otherwise(F.col("line"))).drop("_item", "_list")
+    return out.withColumn("line", F.when(F.col("_item"), numbered).otherwise(F.col("line"))).drop("_item", "_ends", "_n", "_before")
 
 
 def dedup_paragraphs(lines: DataFrame) -> DataFrame:
     """Of a document's long lines (over 30 characters, no table, header or comment) that agree without case, the first."""
     s = bare(F.col("line"))
-    form = F.lower(F.regexp_replace(s, r"\s+", " "))
-    counts = (F.length(form) > 30) & ~is_table_row(s) & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("<!--"))
-    key = F.when(counts, form).otherwise(F.concat(F.lit("\n"), F.col("line_no").cast("string")))
+    lines = lines.withColumn("_form", F.lower(F.regexp_replace(s, tx.RUNS, " ")))  # a column, as it is named twice
+    counts = (F.length("_form") > 30) & ~is_table_row(s) & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("<!--"))
+    key = F.when(counts, F.col("_form")).otherwise(F.concat(F.lit("\n"), F.col("line_no").cast("string")))
     first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("line_no"))
-    return lines.withColumn("_key", key).withColumn("_k", first).where("_k = 1").drop("_key", "_k")
+    return lines.withColumn("_key", key).drop("_form").withColumn("_k", first).where("_k = 1").drop("_key", "_k")
 
 
 def join_hyphenated(lines: DataFrame) -> DataFrame:
     """No trailing blanks, single inner blanks; a line that ends in a dash takes the next if that starts lower-case."""
     line = F.rtrim("line", F.lit(tx.BLANKS))
-    line = F.when(is_table_row(line), line).otherwise(F.regexp_replace(line, r"(?<!\|)  +(?!\|)", " "))
+    line = F.when(~F.contains(line, F.lit("  ")) | is_table_row(line), line).otherwise(F.regexp_replace(line, r"(?<!\|)  +(?!\|)", " "))
     out = lines.withColumn("line", line)
     joins = F.endswith(F.lag("line").over(_line()), F.lit("-")) & F.col("line").rlike(r"\A\p{Ll}")
     out = out.withColumn("_joins", F.coalesce(joins, F.lit(False))).withColumn("_open", F.coalesce(F.lead("_joins").over(_line()), F.lit(False)))

@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from casewright.operators import cleaning
 from casewright.plans.registry import ORACLE_SQL, QUERIES
 from tests.test_queries import plain
 
@@ -141,3 +142,12 @@ def test_touched_folders_are_not_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()), write(self, path, *a, **k))[1])
     writers.write_chunks(rows.where("case_number = 'A'"), f"{tmp_path}/chunks")
     assert "strategy=broadcast" in plans[0] and spark.read.parquet(f"{tmp_path}/chunks").count() == 10
+
+
+def test_line_passes_sort_few_times(spark):
+    """Places in tables and numbers in lists come in the lines' own order, without a sort for each."""
+    docs = spark.createDataFrame([(1, "| a |\n\n| b |\n1. x\ny\n3) z\n4) w\n– v")], "doc_id long, text string")
+    made = cleaning.renumber_lists(cleaning.repair_tables(cleaning.explode_lines(docs)))
+    assert [r.line for r in made.orderBy("line_no").collect()] == ["| a |", "| --- |", "| b |", "", "1. x", "y", "1. z", "2. w", "- v"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in x for x in plan.splitlines()) <= 3
